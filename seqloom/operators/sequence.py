@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vocabulary as v
-from seqloom.operators import skew
+from seqloom.operators import replay, skew
 
 START = -(2**63)  # before every position
 PLAN = ["plan_id"]
@@ -96,54 +96,100 @@ def _gate_ordinary(rows: DataFrame) -> DataFrame:
 
 
 def step_facts(rows: DataFrame) -> DataFrame:
-    """One row per (plan, step): first arrival and how many rows there are."""
-    return rows.groupBy(*STEP).agg(
-        F.min("pos").alias("_first"),
-        F.min("ts").alias("_first_ts"),
-        F.min(_tombstone_pos()).alias("_tomb"),
+    """One row per (plan, step): first arrival, its fate at the store, row count.
+
+    Where a plan resumes (``_done`` steps at position ``_since``), copies of the
+    next step that came before count as stranded, not as arrivals.
+    """
+    arrived = F.when(
+        (F.col("_step") > 0)
+        & ~((F.col("_step") == F.col("_done") + 1) & (F.col("pos") <= F.col("_since"))),
+        F.col("pos"),
+    )
+    return rows.groupBy(*STEP, "_done", "_since").agg(
+        F.min(arrived).alias("_first"),
+        F.min(F.when(arrived.isNotNull(), F.col("ts"))).alias("_first_ts"),
+        F.min_by("_poison", arrived).alias("_first_poison"),
         F.count(F.lit(1)).alias("_n"),
     )
 
 
 def reach_of(facts: DataFrame) -> DataFrame:
     """Add ``_whole``, ``_before`` and ``applied_ts`` by a scan over step buckets."""
-    positive = F.col("_step") > 0
     scanned = skew.running(
         facts,
         PLAN,
         F.floor(F.col("_step") / skew.SEQ_BUCKET),
         ["_step"],
         {
-            "_seen": ("sum", F.when(positive, 1).otherwise(0)),
-            "_before": ("max", F.when(positive, F.col("_first"))),
-            "_before_ts": ("max", F.when(positive, F.col("_first_ts"))),
+            "_seen": ("sum", F.when(F.col("_first").isNotNull(), 1).otherwise(0)),
+            "_before": ("max", F.col("_first")),
+            "_before_ts": ("max", F.col("_first_ts")),
         },
     )
-    # The next step's first arrival, without a window across buckets.
-    following = facts.filter(positive).select(
+    following = facts.select(
         "plan_id", (F.col("_step") - 1).alias("_step"), F.col("_first").alias("_next_first")
     )
+    arrived = F.col("_first").isNotNull()
     return scanned.join(following, STEP, "left").withColumns(
         {
-            "_whole": F.col("_seen") + 1 == F.col("_step"),
-            "_before": F.coalesce("_before", F.lit(START)),
+            "_whole": arrived & (F.col("_done") + F.col("_seen") + 1 == F.col("_step")),
+            "_before": F.coalesce("_before", "_since"),
             "applied_ts": F.greatest("_before_ts", "_first_ts"),
+            "_floor": F.when(F.col("_step") == F.col("_done") + 1, F.col("_since")).otherwise(
+                F.lit(START)
+            ),
         }
     )
 
 
+def _strands() -> Column:
+    """An arrival moves the counter, the store refuses it, and so the drain is
+    skipped while the next step is already waiting."""
+    return F.coalesce(
+        F.col("_first_poison")
+        & (F.col("_first") > F.col("_before"))
+        & (F.col("_first") == F.col("applied_pos"))
+        & (F.col("_next_first") < F.col("applied_pos")),
+        F.lit(False),
+    )
+
+
 def _gate_hot(rows: DataFrame) -> DataFrame:
-    facts = skew.cut(step_facts(rows))
+    """Settle the steps of hot plans, then look every row's step up.
+
+    Without refused events one round settles everything. A refusal that strands
+    waiting steps ends the round for its plan there; the next round takes the
+    plan up behind it.
+    """
     # One row per hot plan, hence at most skew.HOT_KEYS rows to broadcast.
-    aborts = facts.groupBy(*PLAN).agg(F.min("_tomb").alias("_abort"))
-    facts = skew.cut(
-        reach_of(facts).select(
-            *STEP, "_first", "_first_ts", "_before", "_whole", "applied_ts", "_next_first", "_n"
+    aborts = skew.cut(rows.groupBy(*PLAN).agg(F.min(_tombstone_pos()).alias("_abort")))
+    open_rows = rows.withColumns({"_done": F.lit(0), "_since": F.lit(START)})
+    settled = None
+    while open_rows is not None:
+        facts = skew.cut(step_facts(open_rows))
+        facts = reach_of(facts).join(F.broadcast(aborts), PLAN, "left")
+        facts = skew.cut(
+            _verdicts(facts.withColumns({"event_type": F.lit(""), "pos": F.col("_first")}))
         )
-    )
-    found = skew.spread_lookup(rows, facts, STEP, "_n", by="pos")
-    found = found.join(F.broadcast(aborts), PLAN, "left")
-    return _verdicts(found).withColumn("_floor", F.lit(START))
+        stops = skew.cut(
+            facts.filter(_strands())
+            .groupBy(*PLAN)
+            .agg(F.min("_step").alias("_stop"), F.min_by("_first", "_step").alias("_stop_pos"))
+        )
+        done = facts.join(F.broadcast(stops), PLAN, "left").filter(
+            F.col("_stop").isNull() | (F.col("_step") <= F.col("_stop"))
+        )
+        done = done.select(
+            *STEP, "_first", "_before", "_whole", "_floor", "_next_first", "applied_ts", "_n"
+        )
+        settled = done if settled is None else settled.unionByName(done)
+        open_rows = None
+        if not stops.isEmpty():
+            resume = stops.select("plan_id", F.col("_stop").alias("_done"), F.col("_stop_pos").alias("_since"))
+            open_rows = rows.join(F.broadcast(resume), PLAN).filter(F.col("_step") > F.col("_done"))
+    found = skew.spread_lookup(rows, settled, STEP, "_n", by="pos")
+    return _verdicts(found.join(F.broadcast(aborts), PLAN, "left"))
 
 
 def _takers() -> Column:
@@ -172,27 +218,55 @@ def _pick_hot(gated: DataFrame) -> DataFrame:
     ).drop("_pick")
 
 
-_SCRATCH = ["_step", "_whole", "_first", "_first_ts", "_before", "_next_first", "_floor", "_pick"]
+_SCRATCH = [
+    "_step",
+    "_poison",
+    "_whole",
+    "_first",
+    "_first_ts",
+    "_first_poison",
+    "_before",
+    "_next_first",
+    "_floor",
+]
 
 
 def _public(gated: DataFrame) -> DataFrame:
     return gated.withColumnRenamed("_abort", "abort_pos").drop(*_SCRATCH)
 
 
-def seq_gate(log: DataFrame) -> DataFrame:
+def _gate_whole_plans(rows: DataFrame, store_faults: bool) -> DataFrame:
+    gated = _gate_ordinary(rows)
+    if not store_faults:
+        return _public(_pick_ordinary(gated))
+    plan = Window.partitionBy(*PLAN).orderBy("_step")
+    plan = plan.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gated = gated.withColumn("_first_poison", F.col("_poison") & (F.col("pos") == F.col("_first")))
+    gated = gated.withColumn("_stranded", F.max(_strands()).over(plan))
+    smooth = _public(_pick_ordinary(gated.filter(~F.col("_stranded")).drop("_stranded")))
+    replayed = replay.replay_plans(gated.filter("_stranded").select(*rows.columns, "_abort"))
+    return smooth.unionByName(_public(replayed).select(*smooth.columns))
+
+
+def seq_gate(log: DataFrame, store_faults: bool = False) -> DataFrame:
     """Verdict of every routable event, with ``applied_pos, applied_ts, abort_pos, applied``.
 
     ``applied`` marks the one row per step that reaches the store: the arrival
     that moved the counter, or the smallest waiting payload the drain takes.
     Tombstones keep a null verdict. Rows without a step number are left out;
     they go to the dead letters.
+
+    With ``store_faults`` (the log then has ``persist_error``) an event that the
+    store refuses on direct arrival does not drain the waiting room. Only plans
+    where this leaves something waiting differ from the closed form; they are
+    replayed event by event, one bounded group per plan.
     """
-    rows = _prepared(log)
+    poison = F.col("persist_error").isNotNull() if store_faults else F.lit(False)
     return skew.both(
-        rows,
+        _prepared(log).withColumn("_poison", poison),
         PLAN,
         skew.hot_keys(log, PLAN),
-        lambda df: _public(_pick_ordinary(_gate_ordinary(df))),
+        lambda df: _gate_whole_plans(df, store_faults),
         lambda df: _public(_pick_hot(_gate_hot(df))),
     )
 
