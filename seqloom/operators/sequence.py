@@ -364,3 +364,13 @@ def gap_report(log: DataFrame) -> DataFrame:
         )
 
     return skew.both(seen, PLAN, skew.hot_keys(log, PLAN), ordinary, hot)
+
+
+def last_wins(gated: DataFrame) -> DataFrame:
+    """Drain variant whose waiting room keeps only the last event of a step."""
+    candidates = gated.filter(F.col("pos") <= F.col("applied_pos"))
+    kept = [c for c in candidates.columns if c not in ("plan_id", "seq_id")]
+    picked = candidates.groupBy("plan_id", "seq_id").agg(
+        F.max_by(F.struct(*kept), "pos").alias("_last")
+    )
+    return picked.select("plan_id", "seq_id", "_last.*")
