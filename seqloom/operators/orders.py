@@ -24,7 +24,7 @@ def with_persist_error(log: DataFrame) -> DataFrame:
 
 
 def _timeline(gated: DataFrame) -> DataFrame:
-    """Applied events and tombstones the store takes, placed at (at, seq_id)."""
+    """Applied events and tombstones the store takes, placed at (at_pos, seq_id)."""
     abort = F.col("event_type") == v.ABORT
     return (
         with_persist_error(gated)
@@ -38,7 +38,7 @@ def _timeline(gated: DataFrame) -> DataFrame:
             "pos",
             abort.alias("is_abort"),
             F.when(abort, F.lit(0)).otherwise(F.col("seq_id")).alias("seq_id"),
-            F.when(abort, F.col("pos")).otherwise(F.col("applied_pos")).alias("at"),
+            F.when(abort, F.col("pos")).otherwise(F.col("applied_pos")).alias("at_pos"),
             F.when(abort, F.col("ts")).otherwise(F.col("applied_ts")).alias("at_ts"),
             s.status_of_event(F.col("event_type")).alias("status"),
             F.coalesce("user_id", F.lit("unknown")).alias("user_id"),
@@ -57,15 +57,15 @@ def _changes_status(last_accept: Column, last_abort: Column) -> Column:
 
 
 def _guard_ordinary(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*ORDER).orderBy("at", "seq_id")
+    order = Window.partitionBy(*ORDER).orderBy("at_pos", "seq_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     event = ~F.col("is_abort")
     top = F.max(F.when(event, F.col("seq_id"))).over(before)
     rows = rows.withColumn("accepted", event & (top.isNull() | (F.col("seq_id") > top)))
-    accepted_at = F.when(F.col("accepted"), F.col("at"))
+    accepted_at = F.when(F.col("accepted"), F.col("at_pos"))
     last_accept = F.max(accepted_at).over(before)
-    last_abort = F.max(F.when(F.col("is_abort"), F.col("at"))).over(before)
+    last_abort = F.max(F.when(F.col("is_abort"), F.col("at_pos"))).over(before)
     return rows.withColumns(
         {
             "effective": F.col("is_abort") & last_accept.isNotNull(),
@@ -84,7 +84,7 @@ def _guard_hot(rows: DataFrame) -> DataFrame:
     facts = (
         rows.filter(~F.col("is_abort"))
         .groupBy("order_id", "seq_id")
-        .agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.min("at_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     )
     facts = skew.running(
         facts,
@@ -101,18 +101,18 @@ def _guard_hot(rows: DataFrame) -> DataFrame:
     )
     # One row per hot order, hence at most skew.HOT_KEYS rows to broadcast.
     spans = facts.groupBy(*ORDER).agg(F.max(F.when(F.col("_wins"), F.col("_first"))).alias("last_at"))
-    flagged = skew.spread_lookup(rows, facts, ["order_id", "seq_id"], "_n", by="at")
+    flagged = skew.spread_lookup(rows, facts, ["order_id", "seq_id"], "_n", by="at_pos")
     flagged = flagged.withColumn(
-        "accepted", F.coalesce(F.col("_wins") & (F.col("at") == F.col("_first")), F.lit(False))
+        "accepted", F.coalesce(F.col("_wins") & (F.col("at_pos") == F.col("_first")), F.lit(False))
     ).drop("_wins", "_first")
     flagged = skew.running(
         flagged,
         ORDER,
         F.date_trunc("hour", "at_ts"),
-        ["at", "seq_id"],
+        ["at_pos", "seq_id"],
         {
-            "_last_accept": ("max", F.when(F.col("accepted"), F.col("at"))),
-            "_last_abort": ("max", F.when(F.col("is_abort"), F.col("at"))),
+            "_last_accept": ("max", F.when(F.col("accepted"), F.col("at_pos"))),
+            "_last_abort": ("max", F.when(F.col("is_abort"), F.col("at_pos"))),
         },
     )
     return (
@@ -141,7 +141,7 @@ def order_state(guarded: DataFrame) -> DataFrame:
     """Final order rows. Accepted steps only rise, so the step orders them."""
     accepted = F.col("accepted")
     step = F.when(accepted, F.col("seq_id"))
-    late_abort = F.when(F.col("effective") & (F.col("at") > F.col("last_at")), F.col("at_ts"))
+    late_abort = F.when(F.col("effective") & (F.col("at_pos") > F.col("last_at")), F.col("at_ts"))
     priced = F.when(accepted & F.col("total_amount").isNotNull(), F.col("seq_id"))
     return (
         guarded.groupBy(*ORDER)
@@ -236,7 +236,7 @@ def order_history(guarded: DataFrame, hot: DataFrame | None = None) -> DataFrame
 def abort_order(guarded: DataFrame) -> DataFrame:
     """Every tombstone with what it did to its order row."""
     return guarded.filter("is_abort").select(
-        "order_id", "plan_id", "event_id", "at", "at_ts", "effective", "changes_status"
+        "order_id", "plan_id", "event_id", "at_pos", "at_ts", "effective", "changes_status"
     )
 
 

@@ -105,7 +105,7 @@ applied as (select plan_id, pos as applied_pos, unnest(took, recursive := true)
 # Store timeline: good applied events and tombstones, then the order guard by self-join.
 STORE = REPLAY + f""",
 tl as (select e.order_id, e.plan_id, e.event_id, e.event_type, e.payload, e.pos, false is_abort, e.seq_id,
-         a.applied_pos as at, t.ts as at_ts, {STATUS_SQL.replace('event_type', 'e.event_type', 1)} as status,
+         a.applied_pos as at_pos, t.ts as at_ts, {STATUS_SQL.replace('event_type', 'e.event_type', 1)} as status,
          coalesce(e.user_id, 'unknown') user_id, e.total_amount::decimal(10,2) total_amount
        from applied a join ev e on e.plan_id = a.plan_id and e.pos = a.taken
        join ev t on t.plan_id = a.plan_id and t.pos = a.applied_pos
@@ -114,10 +114,10 @@ tl as (select e.order_id, e.plan_id, e.event_id, e.event_type, e.payload, e.pos,
        select order_id, plan_id, event_id, event_type, payload, pos, true, 0, pos, ts, 'aborted',
          'unknown', null from ev where event_type = 'ABORT_PLAN'),
 acc as (select * from tl where not is_abort and not exists (select 1 from tl p where p.order_id = tl.order_id
-        and not p.is_abort and p.seq_id >= tl.seq_id and (p.at, p.seq_id) < (tl.at, tl.seq_id))),
-abt as (select *, exists (select 1 from acc where acc.order_id = t.order_id and acc.at < t.at) effective,
-          coalesce((select max(acc.at) from acc where acc.order_id = t.order_id and acc.at < t.at) >
-            coalesce((select max(o.at) from tl o where o.order_id = t.order_id and o.is_abort and o.at < t.at), -1),
+        and not p.is_abort and p.seq_id >= tl.seq_id and (p.at_pos, p.seq_id) < (tl.at_pos, tl.seq_id))),
+abt as (select *, exists (select 1 from acc where acc.order_id = t.order_id and acc.at_pos < t.at_pos) effective,
+          coalesce((select max(acc.at_pos) from acc where acc.order_id = t.order_id and acc.at_pos < t.at_pos) >
+            coalesce((select max(o.at_pos) from tl o where o.order_id = t.order_id and o.is_abort and o.at_pos < t.at_pos), -1),
             false) changes_status
         from tl t where is_abort),
 ord as (select acc.order_id as id, arg_min(user_id, seq_id) user_id,
@@ -126,7 +126,7 @@ ord as (select acc.order_id as id, arg_min(user_id, seq_id) user_id,
           arg_max(plan_id, seq_id) plan_id, max(seq_id) last_seq_processed, min(at_ts) created_at,
           coalesce(max(z.late), max(at_ts)) updated_at
         from acc left join (select abt.order_id, min(abt.at_ts) late from abt
-             join (select order_id, max(at) m from acc group by all) l on l.order_id = abt.order_id and abt.at > l.m
+             join (select order_id, max(at_pos) m from acc group by all) l on l.order_id = abt.order_id and abt.at_pos > l.m
              group by all) z on z.order_id = acc.order_id
         group by acc.order_id),
 obx as (select {uuid_sql("md5(concat_ws('|', 'outbox', event_id, pos))")} as id, order_id as aggregate_id,
@@ -137,3 +137,53 @@ obx as (select {uuid_sql("md5(concat_ws('|', 'outbox', event_id, pos))")} as id,
 def q(log: str, stage: str, select: str) -> str:
     recursive = "recursive " if "run as (" in stage else ""
     return f"with {recursive}{log},\n{stage}\n{select}" if stage else f"with {log}\n{select}"
+
+
+# Order requests after defaults and rules; ``limit`` is the largest total allowed.
+def planned(limit: int) -> str:
+    return f"""req as (
+  select o_orderkey k, o_orderdate created, o_totalprice tp,
+    case when o_orderstatus = 'F' then {uuid_sql("md5('order|' || o_orderkey)")}
+         else {uuid_sql("md5(o_orderkey::varchar)")} end as order_id,
+    'plan_' || substr(sha256('plan|' || o_orderkey), 1, 16) as plan_id,
+    'customer_' || o_custkey as user_id,
+    case when o_orderpriority = '2-HIGH' then 'BRL' else 'USD' end as currency,
+    case o_orderpriority when '5-LOW' then 0 when '4-NOT SPECIFIED' then 1 else 2 end as n_items,
+    case o_orderpriority when '5-LOW' then 0 when '4-NOT SPECIFIED' then o_totalprice
+      else (o_totalprice - 100.0::double) + 100.0::double end as calculated,
+    case when o_orderstatus = 'P' and o_orderpriority = '1-URGENT' then 0.0::double
+         when o_orderstatus = 'P' then o_totalprice + 0.02::double else o_totalprice end as total_amount
+  from orders),
+val as (select *, case when n_items = 0 then 'items_empty' when total_amount <= 0 then 'invalid_amount'
+    when total_amount > {limit} then 'amount_exceeds_limit'
+    when abs(calculated - total_amount) > 0.01::double then 'amount_mismatch' end as abort_reason from req),
+steps as (select unnest([1, 2, 3, 4, 5]) as s),
+pe as (
+  select plan_id, order_id, s::integer as seq_id, {uuid_sql("md5(concat_ws('|', 'event', plan_id, s))")} as event_id,
+    {TYPE_SQL.format(seq="s")} as event_type, created as ts, s::bigint as pos,
+    case when s = 1 then user_id end as user_id, case when s = 1 then total_amount end as total_amount
+  from val join steps on abort_reason is null
+  union all
+  select plan_id, order_id, null, {uuid_sql("md5(concat_ws('|', 'event', plan_id, 0))")}, 'ABORT_PLAN',
+    created, 1, null, null from val where abort_reason is not null)"""
+
+
+PLAN_LIMIT = 400_000
+PLANNED = planned(PLAN_LIMIT) + ",\nev as (select *, event_id as payload from pe)"
+VALID_LATE = (
+    planned(PLAN_LIMIT)
+    + """,
+ev as (select * exclude (pos), event_id as payload, case when seq_id = 2 then pos + 1000 else pos end as pos
+       from pe where seq_id is not null)"""
+)
+VALID_ABORTED = (
+    planned(PLAN_LIMIT)
+    + """,
+ev as (select * exclude (pos), event_id as payload, pos * 2 as pos from pe where seq_id is not null
+       union all by name
+       select plan_id, order_id, null as seq_id, md5(event_id) as event_id, 'ABORT_PLAN' as event_type, ts,
+         md5(event_id) as payload, null as user_id, null as total_amount, pos * 2 + 1 as pos
+       from pe where seq_id = 1)"""
+)
+EVENTS_TWICE = EVENTS.replace("ev as (", "once as (", 1) + """,
+ev as (select * from once union all select * replace (pos + 1000000000000 as pos) from once)"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from seqloom.plans import sequencing
+from seqloom.plans import delivering, ordering, planning, reporting, sequencing, wiring
 
-_TOPICS = (sequencing,)
+_TOPICS = (sequencing, ordering, planning, wiring, delivering, reporting)
 QUERIES = {name: query for topic in _TOPICS for name, query in topic.QUERIES.items()}
 ORACLES = {name: sql for topic in _TOPICS for name, sql in topic.ORACLES.items()}

@@ -88,3 +88,117 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("user_id"),
         F.when(kind.isin("signup", "click"), F.col("value")).alias("total_amount"),
     )
+
+
+ITEM = "struct<product_id:string,quantity:int,unit_price:double>"
+REQUEST = (
+    f"order_id string, user_id string, items array<{ITEM}>, total_amount double, currency string"
+)
+
+
+def order_request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON order request per order row: ``request_key, created, value``.
+
+    Some miss their id or currency, some have no items, some totals do not match.
+    """
+    orders = read(spark, sf_dir, "orders")
+    price, priority, status = F.col("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")
+
+    def item(name: str, quantity: int, unit_price: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit(name), F.col("o_custkey").cast("string")).alias("product_id"),
+            F.lit(quantity).alias("quantity"),
+            unit_price.alias("unit_price"),
+        )
+
+    items = (
+        F.when(priority == "5-LOW", F.expr(f"cast(array() as array<{ITEM}>)"))
+        .when(priority == "4-NOT SPECIFIED", F.array(item("whole_", 1, price)))
+        .otherwise(F.array(item("main_", 1, price - 100.0), item("extra_", 2, F.lit(50.0))))
+    )
+    total = (
+        F.when((status == "P") & (priority == "1-URGENT"), F.lit(0.0))
+        .when(status == "P", price + 0.02)
+        .otherwise(price)
+    )
+    request = F.struct(
+        F.when(status != "F", s.uuid_shape(F.md5(F.col("o_orderkey").cast("string")))).alias("order_id"),
+        F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("user_id"),
+        items.alias("items"),
+        total.alias("total_amount"),
+        F.when(priority != "2-HIGH", F.lit("USD")).alias("currency"),
+    )
+    return orders.select(
+        F.col("o_orderkey").alias("request_key"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("created"),
+        F.to_json(request).alias("value"),
+    )
+
+
+def orders_json(texts: DataFrame) -> DataFrame:
+    """Order requests from JSON text."""
+    return texts.select(
+        "request_key", "created", F.from_json("value", REQUEST).alias("_r")
+    ).select("request_key", "created", "_r.*")
+
+
+def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without items, for the rules over a table of lines."""
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_key"),
+        F.col("o_orderkey").cast("string").alias("order_id"),
+        F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("user_id"),
+        F.col("o_totalprice").alias("total_amount"),
+        F.lit(None).cast("string").alias("currency"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("created"),
+    )
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("unit_price"),
+    )
+
+
+def delivery_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click stream as delivery attempts over sixteen endpoints."""
+    ev = read(spark, sf_dir, "events")
+    code = F.lit(500)
+    # --- fixed values: answer of each click-stream type; errors answer 500 ---
+    for name, answer in {"signup": 200, "view": 204, "click": 503, "purchase": 404}.items():
+        code = F.when(F.col("event_type") == name, F.lit(answer)).otherwise(code)
+    lost = F.col("value") > 150
+    return ev.select(
+        F.concat(F.lit("hook_"), F.substring(F.md5(F.col("user_id").cast("string")), 1, 1)).alias(
+            "endpoint"
+        ),
+        F.col("event_id").alias("attempt_id"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.when(~lost, code).alias("status_code"),
+        lost.alias("transport_error"),
+    )
+
+
+def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click stream as a change log of the breaker settings; errors are unreadable."""
+    ev = read(spark, sf_dir, "events")
+    number = F.get_json_object("props", "$.k")
+    key = F.lit("success_threshold")
+    # --- fixed values: setting each click-stream type changes ---
+    names = {
+        "signup": "failure_threshold",
+        "click": "timeout_seconds",
+        "purchase": "open_duration_seconds",
+    }
+    for name, setting in names.items():
+        key = F.when(F.col("event_type") == name, F.lit(setting)).otherwise(key)
+    return ev.select(
+        key.alias("key"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("x"), number))
+        .otherwise(number)
+        .alias("value"),
+        F.col("event_id").alias("version"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+    )

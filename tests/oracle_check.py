@@ -8,6 +8,7 @@ import time
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -25,7 +26,7 @@ def connect(sf_dir):
 def canonical(frame):
     frame = frame[sorted(frame.columns)]
     rows = [
-        tuple("<null>" if v is None or v != v else _text(v) for v in row)
+        tuple("<null>" if pd.isna(v) else _text(v) for v in row)
         for row in frame.itertuples(index=False, name=None)
     ]
     return sorted(rows)
@@ -52,8 +53,9 @@ def differences(spark, con, sf_dir, name, query, sql):
             problems.append(f"{c}: {got[c].dtype} != {want[c].dtype}")
     a, b = canonical(got.astype(object)), canonical(want.astype(object))
     if a != b:
-        extra = [r for r in a if r not in set(b)][:3]
-        missing = [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        extra = [r for r in a if r not in in_b][:3]
+        missing = [r for r in b if r not in in_a][:3]
         problems.append(f"rows {len(a)} vs {len(b)}; only spark {extra}; only sql {missing}")
     return problems, len(a)
 
