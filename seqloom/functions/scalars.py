@@ -73,19 +73,19 @@ def span_id_of(header: Column) -> Column:
     return F.nullif(F.regexp_extract(header, v.TRACEPARENT_PATTERN, 2), F.lit(""))
 
 
-def variant_kind(value: Column) -> Column:
-    """JSON kind of a VARIANT value: object, array, string, integer, number, boolean, null.
+# --- fixed values: JSON kinds as the schema of a VARIANT names them ---
+KINDS = {
+    "string": ["STRING"],
+    "integer": ["BIGINT"],
+    "number": ["BIGINT", "DECIMAL", "DOUBLE"],
+    "boolean": ["BOOLEAN"],
+    "array": ["ARRAY"],
+    "object": ["OBJECT"],
+    "null": ["VOID"],
+}
+
 
-    SQL null means the field is absent.
-    """
+def variant_kind(value: Column) -> Column:
+    """Kind of a VARIANT value (see KINDS); SQL null where the field is absent."""
     schema = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(schema.startswith("OBJECT"), F.lit("object"))
-        .when(schema.startswith("ARRAY"), F.lit("array"))
-        .when(schema == "STRING", F.lit("string"))
-        .when(schema == "BIGINT", F.lit("integer"))
-        .when(schema == "BOOLEAN", F.lit("boolean"))
-        .when(schema == "VOID", F.lit("null"))
-        .otherwise(F.lit("number"))
-    )
+    return F.substring_index(F.substring_index(schema, "<", 1), "(", 1)

@@ -87,19 +87,20 @@ def persist_check(spark, sf):
 
 
 def validate_envelope(spark, sf):
-    messages = wire.raw_events(spark, sf).withColumn("_m", F.try_parse_json("value"))
+    raw = wire.raw_events(spark, sf)
+    once = F.explode(F.array(F.try_parse_json("value"))).alias("_m")
+    messages = raw.select("offset", once).filter(F.col("_m").isNotNull())
     failed = contracts.validate_envelope(F.col("_m"))
-    return messages.filter(F.col("_m").isNotNull()).select(
-        F.col("offset").alias("pos"), _joined(failed).alias("failed")
-    )
+    return messages.select(F.col("offset").alias("pos"), _joined(failed).alias("failed"))
 
 
 def _validated(spark, sf, contract):
-    checked = _parsed(spark, sf).filter(F.col("data").isNotNull())
+    known = F.col("event_type").isin(*contracts.CONTRACTS[contract])
+    checked = _parsed(spark, sf).filter(F.col("data").isNotNull() & known)
     failed = contracts.validate_payload(F.col("event_type"), F.col("data"), contract)
     return checked.select(
         F.col("offset").alias("pos"), "event_type", _joined(failed).alias("failed")
-    ).filter(F.col("failed").isNotNull())
+    )
 
 
 def validate_payload(spark, sf):
@@ -240,8 +241,9 @@ def _rules_sql(doc: str, fields: dict, closed: bool) -> list[tuple[str, str]]:
         if "enum" in rule:
             domain = ", ".join(f"'{e}'" for e in rule["enum"])
             out.append((f"{name}:enum", f"{right} and {text} not in ({domain})"))
-        if "pattern" in rule:
-            out.append((f"{name}:format", f"{right} and not regexp_matches({text}, '{rule['pattern']}')"))
+        if "format" in rule:
+            pattern = contracts.FORMATS[rule["format"]]
+            out.append((f"{name}:format", f"{right} and not regexp_matches({text}, '{pattern}')"))
         if "minimum" in rule:
             out.append((f"{name}:minimum", f"{right} and {text}::double < {rule['minimum']}"))
         if "items" in rule:

@@ -53,8 +53,27 @@ def header_map(headers: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: last(k).cast("string")))
 
 
-def _kind(message: Column, field: str) -> Column:
-    return s.variant_kind(F.try_variant_get(message, f"$.{field}", "variant"))
+ENVELOPE = (
+    "event_id string, event_type string, plan_id string, seq_id int, order_id string, "
+    "timestamp string, schema_version string, data variant"
+)
+
+
+def _kind(message: Column | str, field: str | Column) -> Column:
+    path = F.concat(F.lit("$."), field) if isinstance(field, Column) else f"$.{field}"
+    return s.variant_kind(F.try_variant_get(message, path, "variant"))
+
+
+def _well_typed() -> Column:
+    """Text fields are strings, the step number an integer, ``data`` an object,
+    as far as they are there at all."""
+    kinds = {f: "STRING" for f in TEXT_FIELDS} | {"seq_id": "BIGINT", "data": "OBJECT"}
+    fields = F.array(
+        *[F.struct(F.lit(f).alias("name"), F.lit(k).alias("kind")) for f, k in kinds.items()]
+    )
+    return F.forall(
+        fields, lambda f: F.coalesce(_kind("_m", f["name"]), F.lit("VOID")).isin("VOID", f["kind"])
+    )
 
 
 def parse_envelope(raw: DataFrame) -> DataFrame:
@@ -63,50 +82,49 @@ def parse_envelope(raw: DataFrame) -> DataFrame:
     Strict: text fields must be JSON strings, the step number a JSON integer,
     ``data`` an object. Absent and null fields are empty, not errors.
     """
-    message = F.col("_m")
-    text_ok = F.lit(True)
-    for field in TEXT_FIELDS:
-        text_ok = text_ok & F.coalesce(_kind(message, field).isin("string", "null"), F.lit(True))
-    whole = F.coalesce(_kind(message, "seq_id").isin("integer", "null"), F.lit(True))
-    fits = F.try_variant_get(message, "$.seq_id", "bigint")
-    fits = fits.isNull() | fits.between(-(2**31), 2**31 - 1)
-    data_ok = F.coalesce(_kind(message, "data").isin("object", "null"), F.lit(True))
-    top = s.variant_kind(message)
-    alone = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
-    object_ok = (top == "object") & text_ok & whole & fits & data_ok
-    ok = F.coalesce(alone & ((top == "null") | object_ok), F.lit(False))
     # The parser ignores what follows a value; inside brackets it cannot.
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    parsed = (
-        raw.withColumn("_wrapped", wrapped)
-        .withColumn("_m", F.try_variant_get("_wrapped", "$[0]", "variant"))
-        .withColumn("parse_ok", ok)
-        .drop("_wrapped")
+    alone = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
+    message = F.try_variant_get("_wrapped", "$[0]", "variant")
+    step = F.coalesce(F.try_variant_get("_m", "$.seq_id", "bigint"), F.lit(0))
+    ok = (
+        s.variant_kind(F.col("_m")).isin("OBJECT", "VOID")
+        & _well_typed()
+        & step.between(-(2**31), 2**31 - 1)
     )
-    only_ok = lambda c: F.when(F.col("parse_ok"), c)
     texts = {
-        f if f != "timestamp" else "sent_at": only_ok(
-            F.coalesce(F.try_variant_get(message, f"$.{f}", "string"), F.lit(""))
+        "sent_at" if f == "timestamp" else f: F.coalesce(
+            F.col(f"_e.{f}"), F.when(F.col("_p.ok"), F.lit(""))
         )
         for f in TEXT_FIELDS
     }
+    parsed = raw.withColumn("_wrapped", wrapped).withColumn("_m", F.when(alone, message))
+    parsed = parsed.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    envelope = F.when(F.col("_ok"), F.from_json("value", ENVELOPE))
+    # As a generator, so that later filters on parsed fields stay above it and
+    # do not parse every message once more.
+    once = F.explode(F.array(F.struct(F.col("_ok").alias("ok"), envelope.alias("envelope"))))
+    parsed = parsed.select(*raw.columns, once.alias("_p")).withColumn("_e", F.col("_p.envelope"))
     return parsed.withColumns(
         {
+            "parse_ok": F.col("_p.ok"),
             **texts,
-            "seq_id": only_ok(F.try_variant_get(message, "$.seq_id", "int")),
-            "data": only_ok(F.try_variant_get(message, "$.data", "variant")),
+            "seq_id": F.col("_e.seq_id"),
+            "data": F.col("_e.data"),
         }
-    ).drop("_m")
+    ).drop("_p", "_e")
 
 
 def payload_fields(data: Column) -> dict[str, Column]:
     """``user_id`` only if it is a string, ``total_amount`` only if a number."""
-    amount = _kind(data, "total_amount").isin("integer", "number")
+    user, amount = _kind(data, "user_id"), _kind(data, "total_amount")
     return {
         "user_id": F.when(
-            _kind(data, "user_id") == "string", F.try_variant_get(data, "$.user_id", "string")
+            user.isin(*s.KINDS["string"]), F.try_variant_get(data, "$.user_id", "string")
+        ),
+        "total_amount": F.when(
+            amount.isin(*s.KINDS["number"]), F.try_variant_get(data, "$.total_amount", "double")
         ),
-        "total_amount": F.when(amount, F.try_variant_get(data, "$.total_amount", "double")),
     }
 
 
