@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from seqloom.plans import delivering, ordering, planning, reporting, sequencing, wiring
+from seqloom.plans import (
+    delivering,
+    ordering,
+    planning,
+    reporting,
+    sequencing,
+    streams,
+    wiring,
+)
 
-_TOPICS = (sequencing, ordering, planning, wiring, delivering, reporting)
+_TOPICS = (sequencing, ordering, planning, wiring, delivering, reporting, streams)
 QUERIES = {name: query for topic in _TOPICS for name, query in topic.QUERIES.items()}
 ORACLES = {name: sql for topic in _TOPICS for name, sql in topic.ORACLES.items()}

@@ -63,9 +63,12 @@ def log_lineitem(spark: SparkSession, sf_dir: str, split_plans: bool = False) ->
     )
 
 
-def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Click stream as events: one plan per user and day, errors abort it."""
     ev = read(spark, sf_dir, "events")
+    if stream:
+        files = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1000)
+        ev = files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     kind = F.col("event_type")
     seq = F.lit(None).cast("int")
     # --- fixed values: step number of each click-stream type ---
