@@ -243,7 +243,9 @@ def abort_order(guarded: DataFrame) -> DataFrame:
 def outbox_rows(guarded: DataFrame) -> DataFrame:
     """One row per accepted event and one per tombstone, whatever it changed."""
     return guarded.filter(F.col("accepted") | F.col("is_abort")).select(
-        s.stable_uuid(F.lit("outbox"), F.col("event_id"), F.col("pos")).alias("id"),
+        s.stable_uuid(F.lit("outbox"), F.col("plan_id"), F.col("event_id"), F.col("pos")).alias(
+            "id"
+        ),
         F.col("order_id").alias("aggregate_id"),
         "event_type",
         "payload",

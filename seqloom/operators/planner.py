@@ -72,26 +72,15 @@ def _iso(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
-def _envelope(seq: Column, kind: Column, data: Column) -> list[Column]:
-    return [
-        s.stable_uuid(F.lit("event"), F.col("plan_id"), F.coalesce(seq, F.lit(0))).alias("event_id"),
-        kind.alias("event_type"),
-        "plan_id",
-        seq.alias("seq_id"),
-        "order_id",
-        _iso(F.col("created")).alias("timestamp"),
-        F.lit(v.SCHEMA_VERSION).alias("schema_version"),
-        data.alias("data"),
-        "user_id",
-        "total_amount",
-        "created",
-    ]
+def _event(seq: Column, kind: str, payload: Column) -> Column:
+    return F.struct(
+        seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), F.to_json(payload).alias("data")
+    )
 
 
-def plan_events(valid: DataFrame) -> DataFrame:
-    """Five sequenced events per order, ``data`` as JSON text. No shuffle."""
+def _five_events(has_items: bool) -> Column:
     plan, created = F.col("plan_id"), F.col("created")
-    items = [F.col("items")] if "items" in valid.columns else []
+    items = [F.col("items")] if has_items else []
     payloads = [
         F.struct("user_id", *items, "total_amount", "currency"),
         F.struct(
@@ -114,34 +103,51 @@ def plan_events(valid: DataFrame) -> DataFrame:
         ),
         F.struct(_iso(created).alias("completed_at"), F.lit("delivered").alias("final_status")),
     ]
-    events = [
-        F.struct(
-            F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.to_json(payload).alias("data")
-        )
-        for seq, (kind, payload) in enumerate(zip(v.SEQUENCED_TYPES, payloads, strict=True), 1)
-    ]
-    exploded = valid.withColumn("_e", F.explode(F.array(*events)))
-    return exploded.select(*_envelope(F.col("_e.seq"), F.col("_e.kind"), F.col("_e.data")))
+    steps = enumerate(zip(v.SEQUENCED_TYPES, payloads, strict=True), 1)
+    return F.array(*[_event(F.lit(seq), kind, payload) for seq, (kind, payload) in steps])
+
+
+def _tombstone() -> Column:
+    payload = F.struct(
+        F.concat(F.lit(v.ABORT_REASON_PREFIX), F.col("abort_reason")).alias("reason"),
+        s.abort_code_of(F.col("abort_reason")).alias("abort_code"),
+        F.col("current_seq").alias("aborted_at_seq"),
+    )
+    return F.array(_event(F.lit(None), v.ABORT, payload))
+
+
+def _emit(orders: DataFrame, events: Column) -> DataFrame:
+    seq = F.col("_e.seq")
+    return orders.withColumn("_e", F.explode(events)).select(
+        s.stable_uuid(F.lit("event"), F.col("plan_id"), F.coalesce(seq, F.lit(0))).alias("event_id"),
+        F.col("_e.kind").alias("event_type"),
+        "plan_id",
+        seq.alias("seq_id"),
+        "order_id",
+        _iso(F.col("created")).alias("timestamp"),
+        F.lit(v.SCHEMA_VERSION).alias("schema_version"),
+        F.col("_e.data").alias("data"),
+        "user_id",
+        "total_amount",
+        "created",
+    )
+
+
+def plan_events(valid: DataFrame) -> DataFrame:
+    """Five sequenced events per order, ``data`` as JSON text. No shuffle."""
+    return _emit(valid, _five_events("items" in valid.columns))
 
 
 def plan_abort_event(aborted: DataFrame) -> DataFrame:
     """One tombstone per refused order; it has no step number."""
-    data = F.to_json(
-        F.struct(
-            F.concat(F.lit(v.ABORT_REASON_PREFIX), F.col("abort_reason")).alias("reason"),
-            s.abort_code_of(F.col("abort_reason")).alias("abort_code"),
-            F.col("current_seq").alias("aborted_at_seq"),
-        )
-    )
-    return aborted.select(*_envelope(F.lit(None).cast("int"), F.lit(v.ABORT), data))
+    return _emit(aborted, _tombstone())
 
 
 def plan_route(validated: DataFrame) -> DataFrame:
-    """All events of all orders: five each, or the tombstone."""
+    """All events of all orders in one pass: five each, or the tombstone."""
     refused = F.col("abort_reason").isNotNull()
-    return plan_events(validated.filter(~refused)).unionByName(
-        plan_abort_event(validated.filter(refused))
-    )
+    five = _five_events("items" in validated.columns)
+    return _emit(validated, F.when(refused, _tombstone()).otherwise(five))
 
 
 def envelope_json(events: DataFrame) -> Column:

@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from seqloom.functions import vocabulary as v
 
 
+FOREVER = 2**62  # later than any time stamp, and still a BIGINT
+
+
 class Arrival(NamedTuple):
     pos: int
     seq: int | None  # None for a tombstone
@@ -78,8 +81,7 @@ def expire(plan, now: int, lifetimes: Lifetimes) -> list:
 def step(plan, arrival: Arrival, lifetimes: Lifetimes = Lifetimes()) -> Outcome:
     expired = expire(plan, arrival.ts, lifetimes)
     if arrival.seq is None:
-        forever = lifetimes.abort is None
-        plan.abort_until = float("inf") if forever else arrival.ts + lifetimes.abort
+        plan.abort_until = FOREVER if lifetimes.abort is None else arrival.ts + lifetimes.abort
         plan.empty_out()
         plan.last_add = None
         return Outcome(None, [], expired)

@@ -129,7 +129,7 @@ ord as (select acc.order_id as id, arg_min(user_id, seq_id) user_id,
              join (select order_id, max(at_pos) m from acc group by all) l on l.order_id = abt.order_id and abt.at_pos > l.m
              group by all) z on z.order_id = acc.order_id
         group by acc.order_id),
-obx as (select {uuid_sql("md5(concat_ws('|', 'outbox', event_id, pos))")} as id, order_id as aggregate_id,
+obx as (select {uuid_sql("md5(concat_ws('|', 'outbox', plan_id, event_id, pos))")} as id, order_id as aggregate_id,
           event_type, payload, 'order-notifications' as topic, false as processed, at_ts as created_at
         from (select * from acc union all by name select * exclude (effective, changes_status) from abt))"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as s
-from seqloom.operators import faults, planner
+from seqloom.operators import faults, planner, skew
 from seqloom.plans.base import PLAN_LIMIT, PLANNED, TYPE_SQL, planned, uuid_sql
 from seqloom.sources import tables
 
@@ -21,13 +21,13 @@ def validated(spark, sf, limit=PLAN_LIMIT):
 
 
 def planned_log(spark, sf):
-    return planner.as_log(planner.plan_route(validated(spark, sf)))
+    return skew.stage(planner.as_log(planner.plan_route(validated(spark, sf))))
 
 
 def valid_log(spark, sf):
     """Only orders that pass the rules: complete plans of five events."""
     valid = validated(spark, sf).filter(F.col("abort_reason").isNull())
-    return planner.as_log(planner.plan_events(valid))
+    return skew.stage(planner.as_log(planner.plan_events(valid)))
 
 
 def src_orders_json(spark, sf):

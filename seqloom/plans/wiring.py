@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as s
-from seqloom.operators import contracts, orders, pipeline, planner
+from seqloom.operators import contracts, orders, pipeline, planner, skew
 from seqloom.plans import planning
 from seqloom.plans.base import REPLAY, STATUS_SQL, uuid_sql
 from seqloom.sources import tables, wire
@@ -16,7 +16,7 @@ def _parsed(spark, sf):
 
 
 def _log(spark, sf):
-    return wire.to_log(_parsed(spark, sf))
+    return wire.log_of(wire.typed_rows(_parsed(spark, sf)))
 
 
 def _joined(column):
@@ -116,9 +116,8 @@ def contract_report(spark, sf):
 
 
 def _dead_letters(spark, sf):
-    parsed = _parsed(spark, sf)
-    log = wire.to_log(parsed)
-    return wire.dead_letters(parsed, log, pipeline.process_log(log).gated)
+    typed = skew.stage(wire.typed_rows(_parsed(spark, sf)))
+    return wire.dead_letters(typed, pipeline.process_log(wire.log_of(typed)).gated)
 
 
 def sink_dlq(spark, sf):

@@ -19,6 +19,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Let all cores take part where an input is a single small file.
+
+    For text-heavy work behind the scan. Any input with as many splits as there
+    are cores is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _type_of_seq(seq: Column) -> Column:
     out = F.concat(F.lit("Unknown"), seq.cast("string"))
     for number, name in enumerate(v.SEQUENCED_TYPES, start=1):
@@ -104,7 +114,7 @@ def order_request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Some miss their id or currency, some have no items, some totals do not match.
     """
-    orders = read(spark, sf_dir, "orders")
+    orders = spread_small(read(spark, sf_dir, "orders"))
     price, priority, status = F.col("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")
 
     def item(name: str, quantity: int, unit_price: Column) -> Column:
@@ -140,9 +150,9 @@ def order_request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_json(texts: DataFrame) -> DataFrame:
     """Order requests from JSON text."""
-    return texts.select(
-        "request_key", "created", F.from_json("value", REQUEST).alias("_r")
-    ).select("request_key", "created", "_r.*")
+    # As a generator, so that later filters do not parse the text once more.
+    once = F.explode(F.array(F.from_json("value", REQUEST))).alias("_r")
+    return texts.select("request_key", "created", once).select("request_key", "created", "_r.*")
 
 
 def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as s
 from seqloom.functions import vocabulary as v
-from seqloom.sources.tables import read
+from seqloom.sources.tables import read, spread_small
 
 # --- fixed values: envelope fields and the JSON kinds the parser takes for them ---
 TEXT_FIELDS = ["event_id", "event_type", "plan_id", "order_id", "timestamp", "schema_version"]
@@ -145,9 +145,12 @@ def message_text() -> Column:
     )
 
 
-def to_log(parsed: DataFrame) -> DataFrame:
-    """Parsed messages as an event log; positions are the log offsets."""
-    return parsed.filter("parse_ok").select(
+def typed_rows(parsed: DataFrame) -> DataFrame:
+    """The log columns of every message, with ``parse_ok`` and the raw text of
+    those that cannot be read. Positions are the log offsets."""
+    return parsed.select(
+        "parse_ok",
+        F.when(~F.col("parse_ok"), F.col("value")).alias("raw"),
         "plan_id",
         "order_id",
         "seq_id",
@@ -155,11 +158,16 @@ def to_log(parsed: DataFrame) -> DataFrame:
         "event_type",
         F.col("timestamp").alias("ts"),
         F.col("offset").alias("pos"),
-        message_text().alias("payload"),
+        F.when(F.col("parse_ok"), message_text()).alias("payload"),
         *[c.alias(name) for name, c in payload_fields(F.col("data")).items()],
     )
 
 
+def log_of(typed: DataFrame) -> DataFrame:
+    """The readable messages as an event log."""
+    return typed.filter("parse_ok").drop("parse_ok", "raw")
+
+
 def to_records(events: DataFrame, value: Column) -> DataFrame:
     """Keyed messages with a traceparent header, ready for a log sink.
 
@@ -192,25 +200,15 @@ def _dead_letter(df: DataFrame, code: str, reason: Column, raw: Column | None =
     )
 
 
-def dead_letters(parsed: DataFrame, log: DataFrame, gated: DataFrame) -> DataFrame:
+def dead_letters(typed: DataFrame, gated: DataFrame) -> DataFrame:
     """Everything that failed: unreadable, without a step number, refused by the store."""
-    unread = parsed.filter(~F.col("parse_ok")).select(
-        "event_id",
-        "event_type",
-        "plan_id",
-        "seq_id",
-        "order_id",
-        F.lit(None).cast("string").alias("payload"),
-        F.col("timestamp").alias("ts"),
-        F.col("offset").alias("pos"),
-        "value",
-    )
-    missing = log.filter(F.col("seq_id").isNull() & (F.col("event_type") != v.ABORT))
+    unread = typed.filter(~F.col("parse_ok"))
+    missing = log_of(typed).filter(F.col("seq_id").isNull() & (F.col("event_type") != v.ABORT))
     refused = gated.filter(F.col("applied") & F.col("persist_error").isNotNull())
     refused = refused.withColumn("ts", F.col("applied_ts"))
     reason = F.concat(F.lit(v.REASON_DB_PREFIX), F.col("persist_error"))
     return (
-        _dead_letter(unread, v.PARSE_ERROR, F.lit(v.REASON_PARSE), F.col("value"))
+        _dead_letter(unread, v.PARSE_ERROR, F.lit(v.REASON_PARSE), F.col("raw"))
         .unionByName(_dead_letter(missing, v.MISSING_SEQ_ID, F.lit(v.REASON_MISSING_SEQ)))
         .unionByName(_dead_letter(refused, v.DB_ERROR, reason))
     )
@@ -314,7 +312,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         seq = F.when(F.col("kind") == known, F.lit(number)).otherwise(seq)
     owner = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd"))
     rows = (
-        read(spark, sf_dir, "events")
+        spread_small(read(spark, sf_dir, "events"))
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         .withColumns(
             {

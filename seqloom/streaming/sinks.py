@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import vocabulary as v
-from seqloom.operators import orders
+from seqloom.operators import orders, skew
 from seqloom.streaming import gate
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -34,8 +33,7 @@ def write_batches(out: DataFrame, path: str, checkpoint: str, once: bool = True)
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='seqloom-')}/stream-{uuid.uuid4().hex}"
+    return f"{skew.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @contextlib.contextmanager
