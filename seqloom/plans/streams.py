@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.operators.replay import Lifetimes
-from seqloom.plans import ordering, sequencing
-from seqloom.sources import tables
+from seqloom.plans import ordering, sequencing, wiring
+from seqloom.sources import tables, wire
 from seqloom.streaming import sinks
 
 
@@ -19,11 +19,26 @@ def stream_gate(spark, sf):
     return written.select("plan_id", "pos", "seq_id", "verdict")
 
 
-def stream_order_state(spark, sf):
+def src_event_log(spark, sf):
+    """The raw log consumed as a stream, parsed, and written batch by batch."""
+    typed = wire.typed_rows(wire.parse_envelope(wire.raw_events(spark, sf, stream=True)))
+    kind = F.when(F.col("parse_ok"), F.lit("event")).otherwise(F.lit("unread"))
+    written = sinks.run_to_end(typed.withColumn("kind", kind))
+    return written.select(
+        "pos", "kind", F.coalesce("event_type", F.lit("-")).alias("event_type")
+    )
+
+
+def sink_orders(spark, sf):
     state, _ = sinks.order_tables(_forever(spark, sf))
     return state.withColumn("total_amount", F.col("total_amount").cast("double"))
 
 
+def sink_outbox(spark, sf):
+    _, outbox = sinks.order_tables(_forever(spark, sf))
+    return outbox
+
+
 def buffer_timeout(spark, sf):
     written = sinks.run_gate(tables.log_events(spark, sf, stream=True))
     return sinks.timeout_letters(written)
@@ -37,8 +52,14 @@ def abort_expiry(spark, sf):
     return written.filter("kind = 'applied'").select("plan_id", "seq_id", "pos", "applied_pos")
 
 
-QUERIES = {f.__name__: f for f in (stream_gate, stream_order_state, buffer_timeout, abort_expiry)}
+QUERIES = {
+    f.__name__: f
+    for f in (src_event_log, stream_gate, sink_orders, sink_outbox, buffer_timeout, abort_expiry)
+}
 ORACLES = {
     "stream_gate": sequencing.ORACLES["seq_gate"],
-    "stream_order_state": ordering.ORACLES["order_state_events"],
+    "sink_orders": ordering.ORACLES["order_state_events"],
+    "sink_outbox": ordering.ORACLES["outbox_rows"],
+    "src_event_log": f"""select pos, case when parse_ok then 'event' else 'unread' end as kind, event_type
+        from ({wiring.ORACLES["parse_envelope"]})""",
 }

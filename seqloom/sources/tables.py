@@ -19,6 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The same table as a file stream, a bounded number of files per micro-batch."""
+    files = spark.readStream.schema(read(spark, sf_dir, table).schema)
+    files = files.option("maxFilesPerTrigger", 1000).option("pathGlobFilter", f"{table}.parquet")
+    return files.parquet(sf_dir)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Let all cores take part where an input is a single small file.
 
@@ -75,10 +82,7 @@ def log_lineitem(spark: SparkSession, sf_dir: str, split_plans: bool = False) ->
 
 def log_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Click stream as events: one plan per user and day, errors abort it."""
-    ev = read(spark, sf_dir, "events")
-    if stream:
-        files = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1000)
-        ev = files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ev = read_stream(spark, sf_dir, "events") if stream else read(spark, sf_dir, "events")
     kind = F.col("event_type")
     seq = F.lit(None).cast("int")
     # --- fixed values: step number of each click-stream type ---

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as s
 from seqloom.functions import vocabulary as v
-from seqloom.sources.tables import read, spread_small
+from seqloom.sources.tables import read, read_stream, spread_small
 
 # --- fixed values: envelope fields and the JSON kinds the parser takes for them ---
 TEXT_FIELDS = ["event_id", "event_type", "plan_id", "order_id", "timestamp", "schema_version"]
@@ -296,7 +296,7 @@ def _data_text() -> Column:
     )
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Click stream as raw log records. Ranges of ``value`` pick an envelope fault."""
     name, k, value = F.col("event_type"), F.col("k"), F.col("value")
     kind = (
@@ -311,8 +311,11 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, known in enumerate(v.SEQUENCED_TYPES, 1):
         seq = F.when(F.col("kind") == known, F.lit(number)).otherwise(seq)
     owner = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd"))
+    events = (
+        read_stream(spark, sf_dir, "events") if stream else spread_small(read(spark, sf_dir, "events"))
+    )
     rows = (
-        spread_small(read(spark, sf_dir, "events"))
+        events
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         .withColumns(
             {

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions import vocabulary as v
 from seqloom.operators import orders, skew
@@ -49,15 +50,19 @@ def rocksdb(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
-def run_gate(log: DataFrame, lifetimes=gate.STANDARD, delay: str = "10 minutes") -> DataFrame:
-    """Run a streaming log to its end and read back everything it wrote."""
-    spark = log.sparkSession
+def run_to_end(out: DataFrame) -> DataFrame:
+    """Run a streaming frame to the end of its input and read back what it wrote."""
+    spark = out.sparkSession
     folder = scratch(spark)
-    with rocksdb(spark):
-        out = gate.gate_stream(log, lifetimes, delay)
-        query = write_batches(out, f"{folder}/out", f"{folder}/checkpoint")
-        query.awaitTermination()
-    return spark.read.schema(f"{gate.OUTPUT}, batch bigint").parquet(f"{folder}/out")
+    write_batches(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    schema = T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+def run_gate(log: DataFrame, lifetimes=gate.STANDARD, delay: str = "10 minutes") -> DataFrame:
+    """Run a streaming log through the gate to its end."""
+    with rocksdb(log.sparkSession):
+        return run_to_end(gate.gate_stream(log, lifetimes, delay))
 
 
 def gated_rows(written: DataFrame) -> DataFrame:
