@@ -45,6 +45,10 @@ def delivery_outcome(attempts: DataFrame) -> DataFrame:
     )
 
 
+def _micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def retry_schedule(
     outbox: DataFrame, attempts: int = v.RETRY_MAX, delay: int = v.RETRY_DELAY_SECONDS
 ) -> DataFrame:
@@ -69,7 +73,7 @@ def failure_streaks(attempts: DataFrame, threshold: int) -> DataFrame:
 
     A run is named by the number of successes before it.
     """
-    rows = delivery_outcome(attempts)
+    rows = delivery_outcome(attempts).withColumn("_micros", _micros())
     success = F.when(F.col("breaker_failure"), 0).otherwise(1)
 
     def ordinary(df: DataFrame) -> DataFrame:
@@ -78,8 +82,9 @@ def failure_streaks(attempts: DataFrame, threshold: int) -> DataFrame:
         return df.withColumn("_run", F.coalesce(F.sum(success).over(before), F.lit(0)))
 
     def hot(df: DataFrame) -> DataFrame:
-        hour = F.date_trunc("hour", "ts")
-        return skew.running(df, ENDPOINT, hour, ["ts", "attempt_id"], {"_run": ("sum", success)})
+        df = skew.chunked(df, ENDPOINT, "_micros")
+        order = ["ts", "attempt_id"]
+        return skew.running(df, ENDPOINT, F.col("_chunk"), order, {"_run": ("sum", success)})
 
     runs = skew.both(rows, ENDPOINT, skew.hot_keys(attempts, ENDPOINT), ordinary, hot)
     return (
@@ -164,11 +169,11 @@ def breaker_replay(
 
     Adds ``called`` (false: rejected without a call) and ``breaker_state`` after
     the attempt. An ordinary endpoint is one bounded group. A hot endpoint is cut
-    into hours that are replayed at the same time: every hour starts from a
-    guessed state, hours whose true start state turns out different are replayed
+    into time ranges that are replayed at the same time: every range starts from a
+    guessed state, ranges whose true start state turns out different are replayed
     again, until all guesses hold. The result is the sequential one.
     """
-    rows = delivery_outcome(attempts).withColumn("_micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = delivery_outcome(attempts).withColumn("_micros", _micros())
     start = {"_mode": F.lit(CLOSED), "_count": F.lit(0), "_until": F.lit(0).cast("bigint")}
 
     def play(pdf: pd.DataFrame):
@@ -194,7 +199,7 @@ def breaker_replay(
 
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, _, _, breaker = play(pdf)
-        row = pdf.iloc[[0]][["endpoint", "_hour"]]
+        row = pdf.iloc[[0]][["endpoint", "_chunk"]]
         return row.assign(_out_mode=breaker.mode, _out_count=breaker.count, _out_until=breaker.until)
 
     def decided(df: DataFrame, by: list[str]) -> DataFrame:
@@ -206,8 +211,8 @@ def breaker_replay(
         return decided(df.withColumns(start), ENDPOINT).drop(*_ENTRY)
 
     def hot(df: DataFrame) -> DataFrame:
-        chunk = [*ENDPOINT, "_hour"]
-        df = df.withColumn("_hour", F.date_trunc("hour", "ts"))
+        chunk = [*ENDPOINT, "_chunk"]
+        df = skew.cut(skew.chunked(df, ENDPOINT, "_micros"))
         narrow = skew.cut(df.select(*chunk, "_micros", "attempt_id", "breaker_failure"))
         entries = skew.cut(narrow.select(*chunk).distinct().withColumns(start))
         out_schema = T.StructType(
@@ -227,8 +232,8 @@ def breaker_replay(
             )
             kept = None if exits is None else exits.join(replayed, chunk, "left_anti")
             exits = replayed if kept is None else skew.cut(kept.unionByName(replayed))
-            # One row per endpoint and hour.
-            chain = Window.partitionBy(*ENDPOINT).orderBy("_hour")
+            # One row per endpoint and range.
+            chain = Window.partitionBy(*ENDPOINT).orderBy("_chunk")
             true_start = exits.select(
                 *chunk,
                 F.coalesce(F.lag("_out_mode").over(chain), F.lit(CLOSED)).alias("_mode"),
@@ -238,7 +243,7 @@ def breaker_replay(
             true_start = skew.cut(true_start)
             stale = skew.cut(true_start.exceptAll(entries))
             entries = true_start
-        return decided(df.join(entries, chunk), chunk).drop(*_ENTRY, "_hour")
+        return decided(df.join(entries, chunk), chunk).drop(*_ENTRY, "_chunk")
 
     out = skew.both(rows, ENDPOINT, skew.hot_keys(attempts, ENDPOINT), ordinary, hot)
     return out.drop("_micros")

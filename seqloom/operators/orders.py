@@ -106,9 +106,9 @@ def _guard_hot(rows: DataFrame) -> DataFrame:
         "accepted", F.coalesce(F.col("_wins") & (F.col("at_pos") == F.col("_first")), F.lit(False))
     ).drop("_wins", "_first")
     flagged = skew.running(
-        flagged,
+        skew.chunked(skew.cut(flagged), ORDER, "at_pos"),
         ORDER,
-        F.date_trunc("hour", "at_ts"),
+        F.col("_chunk"),
         ["at_pos", "seq_id"],
         {
             "_last_accept": ("max", F.when(F.col("accepted"), F.col("at_pos"))),
@@ -123,7 +123,7 @@ def _guard_hot(rows: DataFrame) -> DataFrame:
             }
         )
         .join(F.broadcast(spans), ORDER, "left")
-        .drop("_last_accept", "_last_abort")
+        .drop("_last_accept", "_last_abort", "_chunk")
     )
 
 

@@ -136,6 +136,26 @@ def spread_lookup(
     return salted.drop("_copies").join(spread, [*keys, "_salt"], "left").drop("_salt")
 
 
+def chunked(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Add ``_chunk``: ranges of ``column`` that hold a quarter of ``hot_rows`` on average.
+
+    For the rows of hot keys only: there is one span per key, at most HOT_KEYS.
+    """
+    keys = list(keys)
+    spans = df.groupBy(*keys).agg(
+        F.min(column).cast("double").alias("_low"),
+        F.max(column).cast("double").alias("_high"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    pieces = F.ceil(F.col("_rows") * 4 / hot_rows(df))
+    spans = spans.select(
+        *keys, "_low", ((F.col("_high") - F.col("_low") + 1) / pieces).alias("_width")
+    )
+    placed = df.join(F.broadcast(spans), keys)
+    chunk = F.floor((F.col(column).cast("double") - F.col("_low")) / F.col("_width"))
+    return placed.withColumn("_chunk", chunk).drop("_low", "_width")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
