@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import vocabulary as v
 from seqloom.operators import faults, pipeline, reports, sequence
 from seqloom.plans import planning
-from seqloom.plans.base import EVENTS, GATE, LINEITEM, PLANNED, REPLAY, STORE, VALID_ABORTED, VALID_LATE, WAITING, q
+from seqloom.plans.base import EVENTS, GATE, LINEITEM, PLANNED, STORE, VALID_ABORTED, VALID_LATE, WAITING, q
 from seqloom.sources import tables
 
 

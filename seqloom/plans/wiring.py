@@ -286,6 +286,9 @@ bad as (select pos, order_id as key, 'MISSING_SEQ_ID' as error_code, 'missing se
 select * from bad"""
 
 ORACLES = {
+    "src_headers": _W
+    + """select pos, '00-' || md5(owner) || '-' || substr(md5(event_uuid), 1, 16) || '-01' as traceparent
+        from raw""",
     "traceparent_parse": _W + "select pos, md5(owner) as trace_id, substr(md5(event_uuid), 1, 16) as span_id from raw",
     "traceparent_format": """select event_id, '00-' || lpad(printf('%x', user_id), 32, '0') || '-'
         || lpad(printf('%x', event_id), 16, '0') || '-01' as traceparent from events""",
