@@ -58,3 +58,8 @@ def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) <= size:
         spark.conf.set(key, str(size))
+
+
+def bounded(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """`df` to be broadcast if it has at most so many rows, else as it is; it should be a written table."""
+    return df if df.limit(rows + 1).count() > rows else F.broadcast(df)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from seqloom.llm import langid, minhash, mixing, quality
+from seqloom.llm import langid, minhash, mixing, pieces, quality
 from seqloom.llm.common import table
 
 QUERIES = {
+    "op1_sentencepiece": lambda spark, d: pieces.token_report(table(spark, d, "documents")),
     "op2_quality_rules": lambda spark, d: quality.quality_report(table(spark, d, "documents")),
     "op3_language_id": lambda spark, d: langid.language_report(table(spark, d, "documents")),
     "op9_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
