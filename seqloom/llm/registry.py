@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from seqloom.llm import langid, minhash, mixing, pieces, quality
+from seqloom.llm import archives, langid, minhash, mixing, pieces, quality
 from seqloom.llm.common import table
 
 QUERIES = {
     "op1_sentencepiece": lambda spark, d: pieces.token_report(table(spark, d, "documents")),
     "op2_quality_rules": lambda spark, d: quality.quality_report(table(spark, d, "documents")),
     "op3_language_id": lambda spark, d: langid.language_report(table(spark, d, "documents")),
+    "op4_warc": lambda spark, d: archives.archive_report(table(spark, d, "pages")),
     "op9_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.mixed(table(spark, d, "documents")),
 }
 ORACLES = {
     "op2_quality_rules": quality.QUALITY_SQL,
+    "op4_warc": archives.ARCHIVE_SQL,
     "op10_mixing": mixing.MIXING_SQL,
 }
