@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import archives, html, langid, minhash, mixing, pieces, quality
+from seqloom.llm import archives, html, langid, lattice, minhash, mixing, pieces, quality
 from seqloom.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_language_id": lambda spark, d: langid.language_report(table(spark, d, "documents")),
     "op4_warc": lambda spark, d: archives.archive_report(table(spark, d, "pages")),
     "op6_html_text": lambda spark, d: html.text_report(table(spark, d, "pages")),
+    "op8_lattice_dedup": lambda spark, d: lattice.near_duplicates(table(spark, d, "embeddings")),
     "op9_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.mixed(table(spark, d, "documents")),
 }
