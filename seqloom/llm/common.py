@@ -48,9 +48,19 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """`df` written to the shared folder and read again, so that later plans start from files all executors see."""
-    path = f"{shared_folder(df.sparkSession, label)}/t"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(f"{folder}/t")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/t")
+    out.staged_folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:

@@ -203,7 +203,8 @@ def predictor(model: LanguageModel | None):
                 scores.append(float(np.clip((f[b] + 1) / 2, 0, 1)) if len(codes) else 0.0)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return F.arrow_udf(predict, "struct<lang string, score double>")
+    # Not deterministic, so that a filter on the answer does not make Spark ask twice.
+    return F.arrow_udf(predict, "struct<lang string, score double>").asNondeterministic()
 
 
 def identified(documents: DataFrame, model: LanguageModel | None = None, out: str = "language") -> DataFrame:

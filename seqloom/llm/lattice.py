@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import small_batches, staged
-from seqloom.llm.linking import components, linked
+from seqloom.llm.linking import linked
 from seqloom.llm.shingles import mix
 
 COSINE = 0.98
@@ -165,7 +165,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     shared = filed.groupBy("grp").agg(F.count("*").alias("c"), F.max("home").alias("met")).where("c > 1 and met")
     members = filed.join(shared, "grp").select("grp", "node", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     members = members.join(classes.select("node", "label_hash", "size", "unit"), "node")
-    roots = staged(components(linked(staged(members, "members"), cosine_links, BLOCK, pack=4000)), "roots")
+    roots = linked(staged(members, "members"), cosine_links, BLOCK, pack=4000)
 
     grouped = staged(roots.join(classes, "node").select("root", "node", "first_id", "times", "unit"), "grouped")
     width = grouped.groupBy("root").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("blocks"), F.min("first_id").alias("component_id"))

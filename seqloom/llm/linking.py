@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import staged
+from seqloom.llm.common import discard, staged
 
 LINKS = "a binary, b binary"
 
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
-        edges = staged(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct(), "edges")
+        last, edges = edges, staged(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -103,7 +104,7 @@ def _tasks(compare, residual: bool):
 
 
 def linked(members: DataFrame, compare: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]], block: int = 256, pack: int = 20_000) -> DataFrame:
-    """Links (a, b) that connect the members of each group as all links between them would.
+    """(node, root) of the components that the links inside all groups make, for the nodes that have links.
 
     `members` has grp, node (binary), blocks (into how many its group is cut) and what `compare` reads; it should be a
     written table. compare(rows) of one group's rows gives alike(i, js).
@@ -115,9 +116,9 @@ def linked(members: DataFrame, compare: Callable[[pa.Table], Callable[[int, np.n
     reach = F.when(F.col("at") == 0, F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array("at"))
     cut = parts.withColumn("y", F.explode(reach)).withColumn("task", F.struct(F.xxhash64("grp").alias("x"), "y")).drop("at", "y")
     edges = staged(whole.unionByName(cut).groupBy("task").applyInArrow(_tasks(compare, False), LINKS), "links")
-    if parts.isEmpty():
-        return edges
     roots = components(edges)
+    if parts.isEmpty():
+        return roots
     known = staged(
         parts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known"
     )
@@ -126,7 +127,7 @@ def linked(members: DataFrame, compare: Callable[[pa.Table], Callable[[int, np.n
     known = known.join(main, "grp").withColumn("outside", F.col("root") != F.col("main")).drop("main")
     rest = known.where("outside")
     if rest.isEmpty():
-        return edges
+        return roots
     held = rest.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("tiles"))
     known = known.join(held, "grp")
     tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
@@ -136,4 +137,4 @@ def linked(members: DataFrame, compare: Callable[[pa.Table], Callable[[int, np.n
     out = known.where("outside").withColumn("i", tile).withColumn("j", F.explode(width))
     both = own.unionByName(out).withColumn("task", F.struct(F.xxhash64("grp").alias("x"), "i", "j")).drop("at", "i", "j", "tiles")
     more = staged(both.groupBy("task").applyInArrow(_tasks(compare, True), LINKS), "links")
-    return edges.unionByName(more)
+    return roots if more.isEmpty() else components(edges.unionByName(more))

@@ -6,8 +6,9 @@ A document is the set of its distinct word 4-grams (A-Z in lower case). Two docu
 1. Each text becomes its set's size, digest and sketch (the K smallest hashes). Equal sets are one class from here on.
 2. Every retained value has an inverted list of classes. Values held by one class only are of no use. Values held by
    more than CAP classes (passages that many documents share) are hot: a class enters its M smallest other lists, and,
-   if over a quarter of its sketch is hot, its M smallest hot lists too. Two classes with similarity 0.8 miss each
-   other in all of them with a chance near 0.2**M (for at most 45 shingles: not at all).
+   if over half of its sketch is hot, its M_HOT smallest hot lists too. Two classes with similarity 0.8 of which a
+   share f is hot have (0.8 - f) / (1 - f) in common of the rest, 0.6 at one half, and so miss each other in all of
+   their lists with a chance below 0.4**M there, 0.2**M without hot values, 0.2**M_HOT in the hot lists.
 3. In each list, pairs of fitting sizes are kept if the union sketch estimates their similarity at ESTIMATE or more
    (four standard deviations below 0.8; sketches that hold the whole set are compared exactly). The components of
    these pairs are the candidate groups; only their texts are read again.
@@ -23,17 +24,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm import shingles
-from seqloom.llm.common import small_batches, staged
-from seqloom.llm.linking import components, linked
+from seqloom.llm.common import discard, small_batches, staged
+from seqloom.llm.linking import linked
 
 SIZE = 4  # words in a shingle
 PERCENT = 80
 K = 32
 M = 12
+M_HOT = 8
 CAP = 256
 ESTIMATE = 0.5
 BLOCK = 256
@@ -60,12 +63,11 @@ def _signature(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches)], ["n", "digest", "sketch"])
 
 
-def _full_set(text: pa.Array) -> pa.Array:
-    digests, sets = [], []
-    for s in shingles.shingle_sets(text, SIZE):
-        digests.append(_digest(s))
-        sets.append(s)
-    return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), _lists(sets)], ["digest", "members"])
+def _full_set(text: pa.Array, digest: pa.Array) -> pa.Array:
+    """The set of each text that has the digest asked for; null for other texts of the same doc_id."""
+    sets = list(shingles.shingle_sets(text, SIZE))
+    wrong = [_digest(s) != d for s, d in zip(sets, digest.to_pylist(), strict=True)]
+    return pc.if_else(pa.array(wrong), pa.scalar(None, pa.list_(pa.int64())), _lists(sets))
 
 
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
@@ -88,6 +90,8 @@ class _Sketches:
         self.n, self.s = n, s
         self.whole = n <= K
         self.upto = np.where(self.whole, _NONE - 1, s[:, K - 1])
+        values, ids = np.unique(s, return_inverse=True)
+        self.ids, self.marked = ids.reshape(s.shape), np.zeros(len(values), bool)
 
     def __call__(self, i: int, js: np.ndarray) -> np.ndarray:
         n, a = self.n[js], self.s[i]
@@ -97,7 +101,9 @@ class _Sketches:
             b = self.s[js]
             upto = np.minimum(self.upto[js], self.upto[i])
             inside = b <= upto[:, None]
-            both = (np.isin(b, a) & inside).sum(1)
+            self.marked[self.ids[i]] = True
+            both = (self.marked[self.ids[js]] & inside).sum(1)
+            self.marked[self.ids[i]] = False
             union = np.searchsorted(a, upto, "right") + inside.sum(1) - both
             exact = self.whole[js] & self.whole[i]
             hit[hit] = np.where(exact, 100 * both >= PERCENT * union, both >= ESTIMATE * union)
@@ -144,13 +150,16 @@ def candidates(classes: DataFrame) -> DataFrame:
         .withColumn("cold", F.filter("vs", lambda x: x.c <= CAP))
         .withColumn("hot", F.filter("vs", lambda x: x.c > CAP))
     )
-    dense = 4 * F.size("hot") > F.least(F.lit(K), F.col("n"))
-    chosen = F.concat(F.slice("cold", 1, M), F.when(dense, F.slice("hot", 1, M)).otherwise(F.slice("hot", 1, 0)))
-    entries = per_class.select("digest", F.explode(chosen).alias("x")).select(
-        F.col("x.v").alias("grp"), F.ceil(F.col("x.c") / BLOCK).cast("int").alias("blocks"), "digest"
-    )
-    rows = entries.join(classes.select("digest", "n", "sketch"), "digest").withColumnRenamed("digest", "node")
-    return components(linked(staged(rows, "lists"), estimates, BLOCK))
+    dense = 2 * F.size("hot") > F.least(F.lit(K), F.col("n"))
+    chosen = F.concat(F.slice("cold", 1, M), F.when(dense, F.slice("hot", 1, M_HOT)).otherwise(F.slice("hot", 1, 0)))
+    entries = staged(per_class.select("digest", F.explode(chosen).alias("x")).select(F.col("x.v").alias("grp"), "x.c", "digest"), "entries")
+    large = entries.where(F.col("c") > BLOCK).groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = entries.join(large, "grp", "left").select("grp", F.coalesce("blocks", F.lit(1)).alias("blocks"), "digest")
+    rows = sized.join(classes.select("digest", "n", "sketch"), "digest").withColumnRenamed("digest", "node")
+    rows = staged(rows, "lists")
+    roots = linked(rows, estimates, BLOCK)
+    discard(entries, rows)
+    return roots
 
 
 def component_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -162,13 +171,14 @@ def component_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").alias("first_id"), F.col("text").cast("binary").alias("text"))
     full = (
         texts.join(wanted, "first_id")
-        .withColumn("set", F.arrow_udf(_full_set, "struct<digest binary, members array<long>>")("text"))
-        .where("set.digest = digest")
-        .select(F.col("root").alias("grp"), F.col("digest").alias("node"), "blocks", F.col("set.members").alias("members"))
+        .withColumn("members", F.arrow_udf(_full_set, "array<long>").asNondeterministic()("text", "digest"))  # once per row
+        .where("members is not null")
+        .select(F.col("root").alias("grp"), F.col("digest").alias("node"), "blocks", "members")
         .dropDuplicates(["node"])
     )
-    edges = linked(staged(full, "sets"), exact, BLOCK, pack=1000)
-    roots = components(edges).select(F.col("node").alias("digest"), "root")
+    full = staged(full, "sets")
+    roots = linked(full, exact, BLOCK, pack=1000).select(F.col("node").alias("digest"), "root")
+    discard(groups, full)
     named = classes.select("digest", "first_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return named.join(least, "root").select("digest", "component_id")
@@ -183,7 +193,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    found = component_of(classes, documents)
+    found = staged(component_of(classes, documents), "components")
+    discard(classes)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         rows.select("doc_id", "n", "digest")

@@ -141,6 +141,8 @@ class Encoder:
         self.alone[[ord(c) for c in inner]] = False
         bytes_ = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(p.texts, p.types, strict=True)) if k == BYTE}
         self.byte_ids = np.array([bytes_[b] for b in range(256)], np.int64) if len(bytes_) == 256 else None
+        if self.byte_ids is None:
+            self.alone[:] = False  # unknown characters in a row are one token
         self.unknown = next((i for i, k in enumerate(p.types) if k == UNKNOWN), 0)
         raw = [t.replace(chr(SPACE), " ").encode() if k in (NORMAL, USER_DEFINED) else bytes([int(t[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" for t, k in zip(p.texts, p.types, strict=True)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
