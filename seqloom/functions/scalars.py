@@ -49,12 +49,21 @@ def money(amount: Column) -> Column:
     return amount.try_cast("decimal(10,2)")
 
 
-def persist_error(event_type: Column, order_id: Column, amount: Column) -> Column:
-    """Why the store would refuse the event, or null when it takes it."""
+def persist_error(
+    event_type: Column, order_id: Column, amount: Column, seq: Column, plan_id: Column, user_id: Column
+) -> Column:
+    """Why the store would refuse the event, or null when it takes it.
+
+    A tombstone only looks up its order, so nothing but its order id can be wrong.
+    """
+    sequenced = event_type != v.ABORT
     return (
         F.when(status_of_event(event_type) == "", F.lit("unknown event type"))
         .when(~is_uuid(order_id), F.lit("invalid order id"))
-        .when(amount.isNotNull() & money(amount).isNull(), F.lit("amount overflow"))
+        .when(sequenced & amount.isNotNull() & money(amount).isNull(), F.lit("amount overflow"))
+        .when(sequenced & (F.abs(seq) > v.MAX_STORED_STEP), F.lit("step overflow"))
+        .when(sequenced & (F.length(plan_id) > v.MAX_PLAN_ID), F.lit("plan id too long"))
+        .when(sequenced & (F.length(user_id) > v.MAX_USER_ID), F.lit("user id too long"))
     )
 
 

@@ -84,3 +84,8 @@ DATE_TIME_PATTERN = (
     "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?"
     "(Z|[+-][0-9]{2}:[0-9]{2})$"
 )
+
+# --- fixed values: limits of the order table's columns ---
+MAX_STORED_STEP = 2**31 - 1
+MAX_USER_ID = 50
+MAX_PLAN_ID = 100

@@ -107,8 +107,13 @@ def effective_config(changes: DataFrame) -> DataFrame:
     scanned in hour buckets, with one carried row per hour.
     """
     number = F.col("value").try_cast("bigint")
-    readable = F.col("value").rlike("^[0-9]+$") & number.between(1, 2**32 - 1)
-    valid = {k: F.when((F.col("key") == k) & readable, number) for k in v.BREAKER_DEFAULTS}
+    # Counts are unsigned 32-bit numbers, durations signed 64-bit ones.
+    count = F.col("value").rlike("^[0-9]+$") & number.between(1, 2**32 - 1)
+    seconds = F.col("value").rlike("^[+-]?[0-9]+$") & (number > 0)
+    valid = {
+        k: F.when((F.col("key") == k) & (seconds if k.endswith("_seconds") else count), number)
+        for k in v.BREAKER_DEFAULTS
+    }
     scanned = skew.running(
         changes,
         [],

@@ -19,7 +19,8 @@ ORDER = ["order_id"]
 
 def with_persist_error(log: DataFrame) -> DataFrame:
     return log.withColumn(
-        "persist_error", s.persist_error(F.col("event_type"), F.col("order_id"), F.col("total_amount"))
+        "persist_error",
+        s.persist_error(*[F.col(c) for c in ("event_type", "order_id", "total_amount", "seq_id", "plan_id", "user_id")]),
     )
 
 

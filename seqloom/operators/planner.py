@@ -54,8 +54,29 @@ def totals_from_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def request_error(orders: DataFrame) -> Column:
+    """Why no event at all can be made of a request: what the event models refuse before anything is sent."""
+    unreadable = F.col("unreadable") if "unreadable" in orders.columns else F.lit(False)
+    out = F.when(unreadable, F.lit("unreadable")).when(F.col("total_amount").isNull(), F.lit("no_total"))
+    if "items" in orders.columns:
+        bad = lambda i: i.isNull() | i["quantity"].isNull() | i["unit_price"].isNull()
+        out = out.when(F.exists("items", bad), F.lit("item_incomplete"))
+    return out
+
+
+def model_error(orders: DataFrame) -> Column:
+    """Item values that the rules let through and the event models do not."""
+    if "items" not in orders.columns:
+        return F.lit(None).cast("string")
+    wrong = lambda i: (i["quantity"] < 1) | (i["unit_price"] < 0)
+    return F.when(F.exists("items", wrong), F.lit("item_invalid"))
+
+
 def plan_validate(orders: DataFrame, limit: float = v.ORDER_MAX_AMOUNT) -> DataFrame:
-    """Add ``abort_reason`` (first failing rule, or null) and ``status``."""
+    """Add ``abort_reason`` (first failing rule, or null), ``request_error`` and ``status``.
+
+    A request in error is neither planned nor aborted: no event is made of it.
+    """
     total = F.col("total_amount")
     reason = (
         F.when(F.col("n_items") == 0, F.lit("items_empty"))
@@ -63,8 +84,14 @@ def plan_validate(orders: DataFrame, limit: float = v.ORDER_MAX_AMOUNT) -> DataF
         .when(total > limit, F.lit("amount_exceeds_limit"))
         .when(F.abs(F.col("calculated") - total) > v.AMOUNT_TOLERANCE, F.lit("amount_mismatch"))
     )
-    return orders.withColumn("abort_reason", reason).withColumn(
-        "status", F.when(F.col("abort_reason").isNull(), F.lit("planning")).otherwise("aborted")
+    broken = request_error(orders)
+    judged = orders.withColumn("abort_reason", F.when(broken.isNull(), reason))
+    error = F.coalesce(broken, F.when(F.col("abort_reason").isNull(), model_error(orders)))
+    return judged.withColumn("request_error", error).withColumn(
+        "status",
+        F.when(F.col("request_error").isNotNull(), F.lit("failed"))
+        .when(F.col("abort_reason").isNull(), F.lit("planning"))
+        .otherwise("aborted"),
     )
 
 
@@ -135,6 +162,8 @@ def _emit(orders: DataFrame, events: Column) -> DataFrame:
 
 def plan_events(valid: DataFrame) -> DataFrame:
     """Five sequenced events per order, ``data`` as JSON text. No shuffle."""
+    if "request_error" in valid.columns:
+        valid = valid.filter(F.col("request_error").isNull())
     return _emit(valid, _five_events("items" in valid.columns))
 
 
@@ -145,6 +174,7 @@ def plan_abort_event(aborted: DataFrame) -> DataFrame:
 
 def plan_route(validated: DataFrame) -> DataFrame:
     """All events of all orders in one pass: five each, or the tombstone."""
+    validated = validated.filter(F.col("request_error").isNull())
     refused = F.col("abort_reason").isNotNull()
     five = _five_events("items" in validated.columns)
     return _emit(validated, F.when(refused, _tombstone()).otherwise(five))

@@ -91,7 +91,8 @@ def step(plan, arrival: Arrival, lifetimes: Lifetimes = Lifetimes()) -> Outcome:
         return Outcome(v.DUPLICATE, [], expired)
     if arrival.seq > plan.counter + 1:
         plan.put(arrival)
-        plan.last_add = arrival.ts
+        # An event that comes late by its own clock does not shorten the others' wait.
+        plan.last_add = arrival.ts if plan.last_add is None else max(plan.last_add, arrival.ts)
         return Outcome(v.OUT_OF_ORDER, [], expired)
     plan.counter = arrival.seq
     applied = [arrival]

@@ -44,7 +44,7 @@ def _prepared(log: DataFrame) -> DataFrame:
     tombstone = F.col("event_type") == v.ABORT
     return log.filter(tombstone | F.col("seq_id").isNotNull()).withColumn(
         "_step",
-        F.when(tombstone | (F.col("seq_id") < 1), F.lit(0)).otherwise(F.col("seq_id")).cast("int"),
+        F.when(tombstone | (F.col("seq_id") < 1), F.lit(0)).otherwise(F.col("seq_id")).cast("bigint"),
     )
 
 
@@ -335,7 +335,7 @@ def buffer_snapshot(gated: DataFrame, as_of: Column, ttl_seconds: int) -> DataFr
 def gap_report(log: DataFrame) -> DataFrame:
     """Missing step ranges below the highest step seen, one row per range.
 
-    Ranges, because a single stray step near 2**31 would otherwise blow up into
+    Ranges, because a single stray step near 2**63 would otherwise blow up into
     billions of rows.
     """
     seen = (

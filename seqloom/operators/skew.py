@@ -26,7 +26,7 @@ HOT_ROWS = 1_000_000
 # Hot keys handled apart. A key outside this list has at most 1/HOT_KEYS of
 # all rows, whatever the data; the list itself is small enough to broadcast.
 HOT_KEYS = 100_000
-# Sequence numbers are INT, so a key has at most 2**31 / SEQ_BUCKET buckets.
+# Steps per bucket of a running aggregate; only buckets that hold steps exist.
 SEQ_BUCKET = 65_536
 
 
@@ -35,11 +35,14 @@ def hot_rows(df: DataFrame) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of its own
-    only where none is set, as on a single machine."""
+    """The cluster's shared folder (spark.checkpoint.dir). A local session that
+    names none gets one of its own; a cluster must name it, as executors cannot
+    see each other's folders."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="seqloom-")
         context.setCheckpointDir(named)
     return named
@@ -53,6 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove ``path`` when the session's JVM ends."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -60,6 +70,7 @@ def stage(df: DataFrame) -> DataFrame:
     later reads take only the columns they need.
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    delete_at_end(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

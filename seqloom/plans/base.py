@@ -79,8 +79,8 @@ REPLAY = """arr as (select *, row_number() over (partition by plan_id order by p
     event_type = 'ABORT_PLAN' as tomb, event_type like 'Unknown%' as bad from ev
     where event_type = 'ABORT_PLAN' or seq_id is not null),
 run as (
-  select plan_id, 0::bigint n, 0 c, false dead, []::struct(s integer, payload varchar, pos bigint)[] w,
-    null::varchar verdict, null::bigint pos, []::struct(s integer, payload varchar, pos bigint)[] took
+  select plan_id, 0::bigint n, 0::bigint c, false dead, []::struct(s bigint, payload varchar, pos bigint)[] w,
+    null::varchar verdict, null::bigint pos, []::struct(s bigint, payload varchar, pos bigint)[] took
   from (select distinct plan_id from arr)
   union all
   select plan_id, n, case when v = 'OK' then lst else c end, dead or tomb,
@@ -93,9 +93,9 @@ run as (
             list_filter(w, lambda m: m.s > seq_id and m.s <= lst and m.payload =
               list_min(list_transform(list_filter(w, lambda u: u.s = m.s), lambda u: u.payload))) else [] end drained
     from (select *, case when v = 'OK' and not bad then list_min(list_filter(range(seq_id + 1, seq_id + len(w) + 2),
-              lambda k: not list_contains(list_transform(w, lambda m: m.s), k))) - 1 else seq_id end::integer lst
+              lambda k: not list_contains(list_transform(w, lambda m: m.s), k))) - 1 else seq_id end::bigint lst
       from (select run.plan_id, arr.n, run.c, run.dead, run.w, arr.tomb, arr.bad, arr.seq_id, arr.payload, arr.pos,
-              {s: arr.seq_id, payload: arr.payload, pos: arr.pos}::struct(s integer, payload varchar, pos bigint) me,
+              {s: arr.seq_id, payload: arr.payload, pos: arr.pos}::struct(s bigint, payload varchar, pos bigint) me,
               case when arr.tomb then null when run.dead then 'ABORTED' when arr.seq_id <= run.c then 'DUPLICATE'
                    when arr.seq_id = run.c + 1 then 'OK' else 'OUT_OF_ORDER' end v
             from run join arr on arr.plan_id = run.plan_id and arr.n = run.n + 1)))),
@@ -143,18 +143,19 @@ def q(log: str, stage: str, select: str) -> str:
 def planned(limit: int) -> str:
     return f"""req as (
   select o_orderkey k, o_orderdate created, o_totalprice tp,
-    case when o_orderstatus = 'F' then {uuid_sql("md5('order|' || o_orderkey)")}
+    case when o_orderkey % 97 = 0 then 'unreadable' when o_orderkey % 89 = 0 then 'no_total' end as request_error,
+    case when o_orderstatus = 'F' or o_orderkey % 97 = 0 then {uuid_sql("md5('order|' || o_orderkey)")}
          else {uuid_sql("md5(o_orderkey::varchar)")} end as order_id,
     'plan_' || substr(sha256('plan|' || o_orderkey), 1, 16) as plan_id,
     'customer_' || o_custkey as user_id,
-    case when o_orderpriority = '2-HIGH' then 'BRL' else 'USD' end as currency,
+    case when o_orderpriority = '2-HIGH' or o_orderkey % 97 = 0 then 'BRL' else 'USD' end as currency,
     case o_orderpriority when '5-LOW' then 0 when '4-NOT SPECIFIED' then 1 else 2 end as n_items,
     case o_orderpriority when '5-LOW' then 0 when '4-NOT SPECIFIED' then o_totalprice
       else (o_totalprice - 100.0::double) + 100.0::double end as calculated,
     case when o_orderstatus = 'P' and o_orderpriority = '1-URGENT' then 0.0::double
          when o_orderstatus = 'P' then o_totalprice + 0.02::double else o_totalprice end as total_amount
   from orders),
-val as (select *, case when n_items = 0 then 'items_empty' when total_amount <= 0 then 'invalid_amount'
+val as (select *, case when request_error is not null then null when n_items = 0 then 'items_empty' when total_amount <= 0 then 'invalid_amount'
     when total_amount > {limit} then 'amount_exceeds_limit'
     when abs(calculated - total_amount) > 0.01::double then 'amount_mismatch' end as abort_reason from req),
 steps as (select unnest([1, 2, 3, 4, 5]) as s),
@@ -162,7 +163,7 @@ pe as (
   select plan_id, order_id, s::integer as seq_id, {uuid_sql("md5(concat_ws('|', 'event', plan_id, s))")} as event_id,
     {TYPE_SQL.format(seq="s")} as event_type, created as ts, s::bigint as pos,
     case when s = 1 then user_id end as user_id, case when s = 1 then total_amount end as total_amount
-  from val join steps on abort_reason is null
+  from val join steps on abort_reason is null and request_error is null
   union all
   select plan_id, order_id, null, {uuid_sql("md5(concat_ws('|', 'event', plan_id, 0))")}, 'ABORT_PLAN',
     created, 1, null, null from val where abort_reason is not null)"""

@@ -84,7 +84,8 @@ ORACLES = {
     + " select endpoint, attempt_id, called, st as breaker_state from run where attempt_id is not null",
     "effective_config": """with c as (select event_id as version, ts, event_type,
             case when event_type <> 'error' and (json_extract_string(props, '$.k'))::bigint > 0
-              then (json_extract_string(props, '$.k'))::bigint end as ok from events)
+              then (json_extract_string(props, '$.k'))::bigint * case when event_type = 'purchase'
+                and (json_extract_string(props, '$.k'))::bigint % 11 = 0 then 100000000 else 1 end end as ok from events)
           select version, ts,
             coalesce(last_value(case when event_type = 'signup' then ok end ignore nulls) over w, 5) as failure_threshold,
             coalesce(last_value(case when event_type = 'view' then ok end ignore nulls) over w, 2) as success_threshold,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as s
-from seqloom.operators import faults, planner, skew
+from seqloom.operators import planner, skew
 from seqloom.plans.base import PLAN_LIMIT, PLANNED, TYPE_SQL, planned, uuid_sql
 from seqloom.sources import tables
 
@@ -32,7 +32,7 @@ def valid_log(spark, sf):
 
 def src_orders_json(spark, sf):
     return requests(spark, sf).select(
-        "request_key", "order_id", "user_id", F.size("items").alias("n_items"), "currency"
+        "request_key", "order_id", "user_id", F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), "currency"
     )
 
 
@@ -45,7 +45,7 @@ def order_defaults(spark, sf):
 def plan_validate(spark, sf):
     return planner.plan_validate(
         planner.totals_from_array(planner.order_defaults(requests(spark, sf)))
-    ).select("order_id", "plan_id", "abort_reason", "status")
+    ).select("order_id", "plan_id", "abort_reason", "request_error", "status")
 
 
 def plan_validate_lines(spark, sf):
@@ -123,12 +123,6 @@ def abort_code_of(spark, sf):
     )
 
 
-def inject_faults(spark, sf):
-    return faults.inject_faults(valid_log(spark, sf)).select(
-        "scenario", "plan_id", "seq_id", "event_id", "pos"
-    )
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -142,7 +136,6 @@ QUERIES = {
         envelope_json,
         make_ids,
         abort_code_of,
-        inject_faults,
     )
 }
 
@@ -152,12 +145,14 @@ _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 
 ORACLES = {
     "src_orders_json": f"""with {PLANNED} select k as request_key,
-        case when o_orderstatus <> 'F' then order_id end as order_id, user_id, n_items,
-        case when o_orderpriority <> '2-HIGH' then 'USD' end as currency
+        case when o_orderstatus <> 'F' and k % 97 <> 0 then order_id end as order_id,
+        case when k % 97 <> 0 then user_id end as user_id, case when k % 97 <> 0 then n_items else 0 end as n_items,
+        case when o_orderpriority <> '2-HIGH' and k % 97 <> 0 then 'USD' end as currency
         from req join orders on o_orderkey = k""",
     "order_defaults": _WITH + "select k as request_key, order_id, plan_id, currency, 0 as current_seq from req",
-    "plan_validate": f"""with {planned(100_000)} select order_id, plan_id, abort_reason,
-        case when abort_reason is null then 'planning' else 'aborted' end as status from val""",
+    "plan_validate": f"""with {planned(100_000)} select order_id, plan_id, abort_reason, request_error,
+        case when request_error is not null then 'failed' when abort_reason is null then 'planning' else 'aborted' end as status
+        from val""",
     "plan_validate_lines": """with t as (select l_orderkey, count(*) n, sum(l_quantity::integer * l_extendedprice::decimal(12,2)) s
           from lineitem group by all)
         select coalesce(case when n is null then 'items_empty' when o_totalprice <= 0 then 'invalid_amount'
@@ -177,7 +172,7 @@ ORACLES = {
         case when s = 4 then 'TRK' || upper({_HEX.format(salt="tracking", size=10)}) end as tracking_code,
         case when s = 4 then {_ISO.format("created + interval 5 day")} end as estimated_delivery,
         case when s = 5 then 'delivered' end as final_status
-        from val join steps on abort_reason is null""",
+        from val join steps on abort_reason is null and request_error is null""",
     "plan_abort_event": _WITH
     + f"""select {uuid_sql("md5(concat_ws('|', 'event', plan_id, 0))")} as event_id, plan_id, order_id,
         'Validacao do plano falhou: ' || abort_reason as reason,

@@ -103,11 +103,6 @@ def verdicts_per_minute(spark, sf):
     return reports.verdicts_per_minute(gated.filter(F.col("verdict").isNotNull()))
 
 
-def replica_divergence(spark, sf):
-    found = reports.replica_divergence(reports.replica_states(planning.valid_log(spark, sf)))
-    return found.fillna(0, ["alpha_seq", "beta_seq"])
-
-
 def unresolved_buffers(spark, sf):
     return reports.unresolved_buffers(sequence.seq_gate(tables.log_lineitem(spark, sf)))
 
@@ -130,7 +125,6 @@ QUERIES = {
         trace_search_by_tag,
         plan_outcome_rate,
         verdicts_per_minute,
-        replica_divergence,
         unresolved_buffers,
     )
 }
@@ -142,10 +136,6 @@ au as (select 'order-server' as service, 'process-event' as operation, ev.event_
     case when ev.event_type = 'ABORT_PLAN' then 'error' else 'ok' end as status
   from ev left join g using (plan_id, pos) left join (select plan_id, r as pos, count(*) - 1 as n from rd
     where r is not null group by all) dr using (plan_id, pos))"""
-_REPLICAS = """ev2 as (select order_id, seq_id, pos, case when substr(md5(event_id), 1, 1) < '8' then 'alpha'
-    else 'beta' end as replica from ev),
-cnt as (select replica, order_id, max(seq_id) filter (n = seq_id) as last_seq from
-    (select *, row_number() over (partition by replica, order_id order by seq_id) n from ev2) group by all)"""
 
 ORACLES = {
     "completed_count": q(
@@ -227,13 +217,6 @@ ORACLES = {
         GATE,
         "select date_trunc('minute', ts) as minute, verdict, count(*) as n from g group by all",
     ),
-    "replica_divergence": q(
-        VALID_LATE,
-        _REPLICAS,
-        """select order_id, coalesce(max(last_seq) filter (replica = 'alpha'), 0) as alpha_seq,
-             coalesce(max(last_seq) filter (replica = 'beta'), 0) as beta_seq from cnt group by all
-           having alpha_seq <> beta_seq""",
-    ),
     "unresolved_buffers": q(
         LINEITEM,
         WAITING,

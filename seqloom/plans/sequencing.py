@@ -105,12 +105,6 @@ def gap_report(spark, sf):
     return sequence.gap_report(tables.log_lineitem(spark, sf))
 
 
-def last_wins_buffer(spark, sf):
-    return sequence.last_wins(_lines_gate(spark, sf)).select(
-        "plan_id", "seq_id", "payload", "applied_pos"
-    )
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -130,7 +124,6 @@ QUERIES = {
         buffer_snapshot,
         seq_counters,
         gap_report,
-        last_wins_buffer,
     )
 }
 
@@ -202,11 +195,4 @@ ORACLES = {
                    coalesce(lag(seq_id) over (partition by plan_id order by seq_id), 0) p
                  from (select distinct plan_id, seq_id from ev)) where seq_id > p + 1""",
     ),
-    "last_wins_buffer": q(
-        LINEITEM,
-        GATE,
-        """select plan_id, seq_id, payload, applied_pos from g
-           where applied_pos is not null and pos <= applied_pos
-           qualify row_number() over (partition by plan_id, seq_id order by pos desc) = 1""",
-    ),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.replay import Lifetimes
 from seqloom.plans import ordering, sequencing, wiring
-from seqloom.sources import tables, wire
+from seqloom.sources import messages, tables, wire
 from seqloom.streaming import sinks
 
 
@@ -21,7 +21,7 @@ def stream_gate(spark, sf):
 
 def src_event_log(spark, sf):
     """The raw log consumed as a stream, parsed, and written batch by batch."""
-    typed = wire.typed_rows(wire.parse_envelope(wire.raw_events(spark, sf, stream=True)))
+    typed = wire.typed_rows(wire.parse_envelope(messages.raw_events(spark, sf, stream=True)))
     kind = F.when(F.col("parse_ok"), F.lit("event")).otherwise(F.lit("unread"))
     written = sinks.run_to_end(typed.withColumn("kind", kind))
     return written.select(

@@ -8,11 +8,11 @@ from seqloom.functions import scalars as s
 from seqloom.operators import contracts, orders, pipeline, planner, skew
 from seqloom.plans import planning
 from seqloom.plans.base import REPLAY, STATUS_SQL, uuid_sql
-from seqloom.sources import tables, wire
+from seqloom.sources import messages, tables, wire
 
 
 def _parsed(spark, sf):
-    return wire.parse_envelope(wire.raw_events(spark, sf))
+    return wire.parse_envelope(messages.raw_events(spark, sf))
 
 
 def _log(spark, sf):
@@ -24,15 +24,15 @@ def _joined(column):
 
 
 def src_headers(spark, sf):
-    raw = wire.raw_events(spark, sf)
+    raw = messages.raw_events(spark, sf)
     header = wire.header_map(F.col("headers"))["traceparent"]
-    return raw.select(F.col("offset").alias("pos"), header.alias("traceparent"))
+    return raw.select(wire.position().alias("pos"), header.alias("traceparent"))
 
 
 def traceparent_parse(spark, sf):
     header = wire.header_map(F.col("headers"))["traceparent"]
-    return wire.raw_events(spark, sf).select(
-        F.col("offset").alias("pos"),
+    return messages.raw_events(spark, sf).select(
+        wire.position().alias("pos"),
         s.trace_id_of(header).alias("trace_id"),
         s.span_id_of(header).alias("span_id"),
     )
@@ -48,7 +48,7 @@ def traceparent_format(spark, sf):
 
 def parse_envelope(spark, sf):
     return _parsed(spark, sf).select(
-        F.col("offset").alias("pos"),
+        wire.position().alias("pos"),
         "parse_ok",
         F.coalesce("event_id", F.lit("-")).alias("event_id"),
         F.coalesce("event_type", F.lit("-")).alias("event_type"),
@@ -87,11 +87,11 @@ def persist_check(spark, sf):
 
 
 def validate_envelope(spark, sf):
-    raw = wire.raw_events(spark, sf)
+    raw = messages.raw_events(spark, sf)
     once = F.explode(F.array(F.try_parse_json("value"))).alias("_m")
-    messages = raw.select("offset", once).filter(F.col("_m").isNotNull())
+    readable = raw.select(wire.position().alias("pos"), once).filter(F.col("_m").isNotNull())
     failed = contracts.validate_envelope(F.col("_m"))
-    return messages.select(F.col("offset").alias("pos"), _joined(failed).alias("failed"))
+    return readable.select("pos", _joined(failed).alias("failed"))
 
 
 def _validated(spark, sf, contract):
@@ -99,7 +99,7 @@ def _validated(spark, sf, contract):
     checked = _parsed(spark, sf).filter(F.col("data").isNotNull() & known)
     failed = contracts.validate_payload(F.col("event_type"), F.col("data"), contract)
     return checked.select(
-        F.col("offset").alias("pos"), "event_type", _joined(failed).alias("failed")
+        wire.position().alias("pos"), "event_type", _joined(failed).alias("failed")
     )
 
 
@@ -173,7 +173,7 @@ typed as (select *, case event_type when 'signup' then 'OrderCreated' when 'view
 body as (select *, case kind when 'OrderCreated' then 1 when 'InventoryValidated' then 2 when 'PaymentProcessed' then 3
     when 'OrderShipped' then 4 when 'OrderCompleted' then 5 end as step,
   case kind
-    when 'OrderCreated' then '{{"user_id":' || case when k between 25 and 29 then '7' else '"user_' || user_id || '"' end
+    when 'OrderCreated' then '{{"user_id":' || case when k between 25 and 29 then '7' when k between 35 and 39 then '"user_' || repeat('x', 60) || '"' else '"user_' || user_id || '"' end
       || ',"items":' || case when k between 10 and 14 then '[]' else
            '[{{"product_id":"p' || k || '","quantity":' || k || ',"unit_price":' || amount || '}}]' end
       || ',"total_amount":' || case when k between 20 and 24 then '"' || amount || '"'
@@ -189,13 +189,14 @@ body as (select *, case kind when 'OrderCreated' then 1 when 'InventoryValidated
       || case when k < 25 then '2024-01-06' else stamp end || '"}}'
     when 'OrderCompleted' then '{{"final_status":"' || case when k < 75 then 'delivered' else 'lost' end
       || '","completed_at":"' || stamp || '"}}'
-    else case when k < 50 then '{{"reason":"r","abort_code":"timeout","aborted_at_seq":' || k || '}}'
+    else case when k < 10 then '{{"reason":"r","abort_code":"timeout","aborted_at_seq":' || k || ',"total_amount":123456789012.5}}'
+      when k < 50 then '{{"reason":"r","abort_code":"timeout","aborted_at_seq":' || k || '}}'
       else '{{"reason":"r","abort_code":"whatever"}}' end end as data_text from typed),
-raw as (select event_id as pos, ts, order_uuid, owner, event_uuid, case when value < 1 then '{{not json' else
+raw as (select (event_id // 4) * 4096 + event_id % 4 as pos, ts, order_uuid, owner, event_uuid, case when value < 1 then '{{not json' else
     '{{"event_id":"' || event_uuid || '","event_type":"' || case when value between 6 and 6.99 then 'Mystery' else kind end
     || '","plan_id":"' || case when value between 4 and 4.99 then 'bad plan ' else 'plan_' end || owner || '"'
     || case when step is null or value between 3 and 3.99 then '' when value between 1 and 1.99 then ',"seq_id":"' || step || '"'
-         when value between 2 and 2.99 then ',"seq_id":1.5' else ',"seq_id":' || step end
+         when value between 2 and 2.99 then ',"seq_id":1.5' when value between 9 and 9.99 then ',"seq_id":3000000000' else ',"seq_id":' || step end
     || ',"order_id":"' || case when value between 5 and 5.99 then 'no-uuid' else order_uuid end
     || '","timestamp":"' || case when value between 7 and 7.99 then 'yesterday' else stamp end
     || '","schema_version":"1.0"' || case when value between 8 and 8.99 then '' else ',"data":' || data_text end || '}}'
@@ -203,7 +204,7 @@ raw as (select event_id as pos, ts, order_uuid, owner, event_uuid, case when val
 parsed as (select *, json_valid(value) and coalesce(json_type(case when json_valid(value) then value end, '$.seq_id'),
       'BIGINT') in ('BIGINT', 'UBIGINT') as parse_ok, case when json_valid(value) then value::json end as j from raw),
 msg as (select pos, ts, json_extract_string(j, '$.event_id') as event_id, json_extract_string(j, '$.event_type') as event_type,
-    json_extract_string(j, '$.plan_id') as plan_id, json_extract_string(j, '$.seq_id')::integer as seq_id,
+    json_extract_string(j, '$.plan_id') as plan_id, json_extract_string(j, '$.seq_id')::bigint as seq_id,
     json_extract_string(j, '$.order_id') as order_id, json_extract(j, '$.data') as data from parsed where parse_ok),
 ev as (select *, event_id as payload, case when json_type(data, '$.user_id') = 'VARCHAR'
       then json_extract_string(data, '$.user_id') end as user_id,
@@ -213,7 +214,10 @@ ev as (select *, event_id as payload, case when json_type(data, '$.user_id') = '
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 _ERROR = f"""case when ({STATUS_SQL}) = '' then 'unknown event type'
   when not regexp_matches(order_id, '{_UUID}') then 'invalid order id'
-  when total_amount is not null and try_cast(total_amount as decimal(10,2)) is null then 'amount overflow' end"""
+  when event_type = 'ABORT_PLAN' then null
+  when total_amount is not null and try_cast(total_amount as decimal(10,2)) is null then 'amount overflow'
+  when seq_id > 2147483647 or seq_id < -2147483647 then 'step overflow'
+  when length(plan_id) > 100 then 'plan id too long' when length(user_id) > 50 then 'user id too long' end"""
 # Refused events of this log, instead of the unknown types of the others.
 _REPLAY = REPLAY.replace("event_type like 'Unknown%' as bad", f"({_ERROR}) is not null as bad")
 
@@ -281,8 +285,8 @@ _DLQ = f"""with recursive {_RAW},\n{_REPLAY},
 bad as (select pos, order_id as key, 'MISSING_SEQ_ID' as error_code, 'missing seq_id for non-ABORT event' as error_reason,
     event_id as original_event_id from ev where seq_id is null and event_type <> 'ABORT_PLAN'
   union all
-  select e.pos, e.order_id, 'DB_ERROR', 'db process error: ' || ({_ERROR}), e.event_id
-  from applied a join ev e on e.plan_id = a.plan_id and e.pos = a.taken where ({_ERROR}) is not null)
+  select pos, order_id, 'DB_ERROR', 'db process error: ' || ({_ERROR}), event_id
+  from (select e.* from applied a join ev e on e.plan_id = a.plan_id and e.pos = a.taken) where ({_ERROR}) is not null)
 select * from bad"""
 
 ORACLES = {

@@ -26,16 +26,6 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return files.parquet(sf_dir)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Let all cores take part where an input is a single small file.
-
-    For text-heavy work behind the scan. Any input with as many splits as there
-    are cores is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _type_of_seq(seq: Column) -> Column:
     out = F.concat(F.lit("Unknown"), seq.cast("string"))
     for number, name in enumerate(v.SEQUENCED_TYPES, start=1):
@@ -116,9 +106,10 @@ REQUEST = (
 def order_request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON order request per order row: ``request_key, created, value``.
 
-    Some miss their id or currency, some have no items, some totals do not match.
+    Some miss their id, currency or total, some have no items, some totals do not
+    match, some are no JSON.
     """
-    orders = spread_small(read(spark, sf_dir, "orders"))
+    orders = read(spark, sf_dir, "orders")
     price, priority, status = F.col("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")
 
     def item(name: str, quantity: int, unit_price: Column) -> Column:
@@ -138,6 +129,8 @@ def order_request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(status == "P", price + 0.02)
         .otherwise(price)
     )
+    total = F.when(F.col("o_orderkey") % 89 != 0, total)
+    broken = F.col("o_orderkey") % 97 == 0
     request = F.struct(
         F.when(status != "F", s.uuid_shape(F.md5(F.col("o_orderkey").cast("string")))).alias("order_id"),
         F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("user_id"),
@@ -148,15 +141,19 @@ def order_request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(
         F.col("o_orderkey").alias("request_key"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("created"),
-        F.to_json(request).alias("value"),
+        F.when(broken, F.lit("{broken")).otherwise(F.to_json(request)).alias("value"),
     )
 
 
 def orders_json(texts: DataFrame) -> DataFrame:
-    """Order requests from JSON text."""
+    """Order requests from JSON text; ``unreadable`` marks text that is no JSON object of these fields."""
     # As a generator, so that later filters do not parse the text once more.
-    once = F.explode(F.array(F.from_json("value", REQUEST))).alias("_r")
-    return texts.select("request_key", "created", once).select("request_key", "created", "_r.*")
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    parsed = F.from_json("value", f"{REQUEST}, _bad string", options)
+    once = F.explode(F.array(parsed)).alias("_r")
+    fields = [f"_r.{part.split()[0]}" for part in ("order_id", "user_id", "items", "total_amount", "currency")]
+    unreadable = (F.col("_r").isNull() | F.col("_r._bad").isNotNull() | F.col("value").isNull()).alias("unreadable")
+    return texts.select("request_key", "created", "value", once).select("request_key", "created", *fields, unreadable)
 
 
 def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +198,13 @@ def delivery_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click stream as a change log of the breaker settings; errors are unreadable."""
     ev = read(spark, sf_dir, "events")
-    number = F.get_json_object("props", "$.k")
+    k = F.get_json_object("props", "$.k")
+    # Durations may carry a sign and pass 32 bits.
+    number = (
+        F.when((F.col("event_type") == "click") & (k.cast("int") % 7 == 0), F.concat(F.lit("+"), k))
+        .when((F.col("event_type") == "purchase") & (k.cast("int") % 11 == 0), F.concat(k, F.lit("00000000")))
+        .otherwise(k)
+    )
     key = F.lit("success_threshold")
     # --- fixed values: setting each click-stream type changes ---
     names = {

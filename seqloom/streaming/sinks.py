@@ -34,7 +34,9 @@ def write_batches(out: DataFrame, path: str, checkpoint: str, once: bool = True)
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
-    return f"{skew.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{skew.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    skew.delete_at_end(spark, path)
+    return path
 
 
 @contextlib.contextmanager

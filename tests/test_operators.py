@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as s
 from seqloom.functions import vocabulary as v
-from seqloom.operators import contracts, delivery, faults, orders, pipeline, planner, reports
-from seqloom.sources import wire
+from seqloom.operators import contracts, delivery, faults, orders, pipeline, planner, reports, sequence
+from seqloom.sources import tables, wire
 from seqloom.sources.tables import ITEM
 from tests.literal import T0, event, log_of, steps, uid
 
@@ -74,7 +74,9 @@ def raw(spark, *values):
         ('{"event_id":"a"} {"event_id":"b"}', False),
         ('{"seq_id":"1"}', False),
         ('{"seq_id":1.5}', False),
-        ('{"seq_id":99999999999}', False),
+        ('{"seq_id":99999999999}', True),
+        ('{"seq_id":99999999999999999999}', False),
+        ('{"event_id":7,"event_id":"a","data":{"x":1,"x":2}}', True),
         ('{"event_id":7}', False),
         ('{"data":"text"}', False),
     ],
@@ -128,7 +130,7 @@ def test_dead_letters(spark):
     typed = wire.typed_rows(wire.parse_envelope(raw(spark, *texts)))
     gated = pipeline.process_log(wire.log_of(typed)).gated
     letters = wire.dead_letters(typed, gated)
-    got = {(r.pos, r.error_code, r.key) for r in letters.collect()}
+    got = {(r.pos // wire.MAX_PARTITIONS, r.error_code, r.key) for r in letters.collect()}
     assert got == {(0, v.PARSE_ERROR, None), (1, v.MISSING_SEQ_ID, ""), (3, v.DB_ERROR, uid(1))}
     records = wire.dead_letter_records(letters).collect()
     assert sorted(len(r.headers) for r in records) == [2, 3, 3]
@@ -260,3 +262,55 @@ def test_outbox_batch_and_receipts(spark):
         for r in delivery.retry_schedule(first.limit(1)).orderBy("attempt").collect()
     ]
     assert waits == [(1, 5, 5), (2, 10, 15), (3, 15, 30)]
+
+
+def test_a_tombstone_with_a_large_amount_still_aborts(spark):
+    rows = steps(1, plan="plan_t", order=uid(7))
+    rows.append(event(9, "plan_t", uid(7), None, v.ABORT, amount=1e12))
+    done = pipeline.process_log(log_of(spark, rows))
+    assert [r.status for r in done.orders.collect()] == ["aborted"]
+    assert done.outbox.count() == 2
+
+
+def test_columns_have_limits(spark):
+    rows = [
+        event(1, "plan_l", uid(1), 1, user="u" * 51),
+        event(2, "p" * 101, uid(2), 1),
+        event(3, "plan_s", uid(3), 1, user="u" * 50),
+    ]
+    errors = {r.pos: r.persist_error for r in orders.with_persist_error(log_of(spark, rows)).collect()}
+    assert errors == {1: "user id too long", 2: "plan id too long", 3: None}
+
+
+def test_equal_offsets_of_two_partitions(spark):
+    text = '{"event_id":"%s","event_type":"OrderCreated","plan_id":"plan_p","seq_id":1,"order_id":"' + uid(1) + '"}'
+    rows = [(None, text % e, [], p, 5, T0) for p, e in enumerate("ab")]
+    typed = wire.typed_rows(wire.parse_envelope(spark.createDataFrame(rows, wire.RAW_SCHEMA)))
+    gated = sequence.seq_gate(wire.log_of(typed)).collect()
+    assert sorted(r.verdict for r in gated) == ["DUPLICATE", "OK"] and sum(r.applied for r in gated) == 1
+
+
+def test_large_steps_wait(spark):
+    big = 3_000_000_000
+    text = '{"event_id":"e","event_type":"OrderCreated","plan_id":"plan_p","seq_id":%d,"order_id":"x"}' % big
+    typed = wire.typed_rows(wire.parse_envelope(spark.createDataFrame([(None, text, [], 0, 1, T0)], wire.RAW_SCHEMA)))
+    row = sequence.seq_gate(wire.log_of(typed)).first()
+    assert (row.seq_id, row.verdict) == (big, v.OUT_OF_ORDER)
+
+
+def test_requests_no_event_can_be_made_of(spark):
+    texts = [
+        "{broken", '{"total_amount":5.0}', '{"items":[{"quantity":1,"unit_price":5.0}]}',
+        '{"items":[{"quantity":null,"unit_price":5.0}],"total_amount":5.0}',
+        '{"items":[{"quantity":-1,"unit_price":-5.0}],"total_amount":5.0}',
+        '{"items":[{"quantity":1,"unit_price":5.0}],"total_amount":5.0}', None,
+    ]
+    rows = spark.createDataFrame([(i, T0, t) for i, t in enumerate(texts)], "request_key long, created timestamp_ntz, value string")
+    judged = planner.plan_validate(planner.totals_from_array(planner.order_defaults(tables.orders_json(rows))))
+    got = {r.request_key: (r.request_error, r.abort_reason, r.status) for r in judged.collect()}
+    assert got == {
+        0: ("unreadable", None, "failed"), 1: (None, "items_empty", "aborted"), 2: ("no_total", None, "failed"),
+        3: ("item_incomplete", None, "failed"), 4: ("item_invalid", None, "failed"), 5: (None, None, "planning"),
+        6: ("unreadable", None, "failed"),
+    }
+    assert {r.order_id for r in planner.plan_route(judged).collect()} == {r.order_id for r in judged.filter("request_error is null").collect()}

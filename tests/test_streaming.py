@@ -78,12 +78,20 @@ def test_twins_wait_behind_the_smallest(spark, tmp_path):
     assert sorted(r.payload for r in sinks.timeout_letters(written).collect()) == ["b", "c"]
 
 
-def test_minute_rates(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    log_of(spark, steps(1, 2, 3, 4, 5, gap_seconds=40)).write.parquet(folder)
-    log = spark.readStream.schema(literal.LOG).parquet(folder)
-    rates = gate.verdict_rates(log, delay="0 seconds")
-    query = rates.writeStream.format("memory").queryName("rates").outputMode("complete")
-    query = query.trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.sql("select sum(n) from rates").first()[0] == 5
+def test_no_event_is_too_late(spark, tmp_path):
+    """Rows hours behind the watermark are judged, applied and dead-lettered like any other."""
+    at = lambda s: literal.T0 + dt.timedelta(seconds=s)
+    hour = 3600
+    batches = [
+        [event(1, "plan_a", uid(1), 1, ts=at(0)), event(2, "plan_a", uid(1), 3, ts=at(10))],
+        [event(3, "plan_b", uid(2), 1, ts=at(6 * hour))],
+        [event(4, "plan_b", uid(2), 2, ts=at(12 * hour))],
+        [event(5, "plan_a", uid(1), 2, ts=at(20)), event(6, "plan_c", uid(3), 2, ts=at(30))],
+        [event(7, "plan_b", uid(2), 3, ts=at(13 * hour))],
+    ]
+    written = stream_of(spark, tmp_path, batches)
+    verdicts = {r.pos: r.verdict for r in written.filter("kind = 'verdict'").collect()}
+    assert verdicts == {1: "OK", 2: "OUT_OF_ORDER", 3: "OK", 4: "OK", 5: "OK", 6: "OUT_OF_ORDER", 7: "OK"}
+    letters = {r.pos for r in sinks.timeout_letters(written).collect()}
+    applied = {r.pos for r in written.filter("kind = 'applied'").collect()}
+    assert letters == {2, 6} and applied == {1, 3, 4, 5, 7}
