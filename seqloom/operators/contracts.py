@@ -104,87 +104,55 @@ CONTRACTS = {"declared": DECLARED, "producer": PRODUCER}
 CLOSED = {"declared": True, "producer": False}
 
 
-# Field formats by name; a pattern per branch stays compiled.
-FORMATS = {
-    "uuid": v.UUID_PATTERN,
-    "plan": v.PLAN_ID_PATTERN,
-    "date": v.DATE_PATTERN,
-    "date-time": v.DATE_TIME_PATTERN,
-}
+def _right_format(text: Column, name: str) -> Column:
+    """Shape and, for dates, the calendar too."""
+    if name == "date":
+        return text.rlike(v.DATE_PATTERN) & text.try_cast("date").isNotNull()
+    if name == "date-time":
+        return text.rlike(v.DATE_TIME_PATTERN) & F.substring(text, 1, 19).try_cast("timestamp_ntz").isNotNull()
+    return text.rlike({"uuid": v.UUID_PATTERN, "plan": v.PLAN_ID_PATTERN}[name])
 
 
-def _rule_array(fields: dict, nested: bool = True) -> Column:
-    """The rules of a contract as an array of structs, a literal to the optimizer."""
-    rows = []
-    for name, rule in fields.items():
-        enum = F.array(*map(F.lit, rule["enum"])) if "enum" in rule else F.lit(None)
-        row = [
-            F.lit(name).alias("name"),
-            F.array(*map(F.lit, KINDS[rule["kind"]])).alias("kinds"),
-            F.lit(bool(rule.get("optional"))).alias("optional"),
-            enum.cast("array<string>").alias("enum"),
-            F.lit(rule.get("format")).cast("string").alias("format"),
-            F.lit(rule.get("minimum")).cast("double").alias("minimum"),
-        ]
-        if nested:
-            items = _rule_array(rule.get("items", ITEM), nested=False)
-            row += [
-                F.lit(rule.get("min_items")).cast("int").alias("min_items"),
-                (items if "items" in rule else F.when(F.lit(False), items)).alias("items"),
-            ]
-        rows.append(F.struct(*row))
-    return F.array(*rows)
-
-
-def _fault(value: Column, rule: Column, closed: bool, nested: bool = True) -> Column:
+def _fault(value: Column, name: str, rule: dict, closed: bool) -> Column:
     """Name of the check a field fails, else null. A field fails at most one."""
-    path = F.concat(F.lit("$."), rule["name"])
-    get = lambda kind: F.try_variant_get(value, path, kind)
+    get = lambda kind: F.try_variant_get(value, f"$.{name}", kind)
     kind = F.coalesce(variant_kind(get("variant")), F.lit("ABSENT"))
-    matches = F.lit(None).cast("boolean")
-    for name, pattern in FORMATS.items():
-        matches = F.when(rule["format"] == name, get("string").rlike(pattern)).otherwise(matches)
-    checks = (
-        F.when(rule["enum"].isNotNull() & ~F.array_contains(rule["enum"], get("string")), "enum")
-        .when(rule["format"].isNotNull() & ~matches, "format")
-        .when(rule["minimum"].isNotNull() & (get("double") < rule["minimum"]), "minimum")
-    )
-    if nested:
+    checks = F.when(F.lit(False), "")
+    if "enum" in rule:
+        checks = checks.when(~get("string").isin(rule["enum"]), "enum")
+    if "format" in rule:
+        checks = checks.when(~_right_format(get("string"), rule["format"]), "format")
+    if "minimum" in rule:
+        checks = checks.when(get("double") < rule["minimum"], "minimum")
+    if "items" in rule:
         members = get("array<variant>")
-        checks = checks.when(
-            rule["items"].isNotNull() & (F.size(members) < rule["min_items"]), "minItems"
-        ).when(
-            rule["items"].isNotNull()
-            & F.exists(members, lambda m: _breaks(m, rule["items"], closed)),
-            "items",
+        checks = checks.when(F.size(members) < rule["min_items"], "minItems").when(
+            F.exists(members, lambda m: _breaks(m, rule["items"], closed)), "items"
         )
-    return (
-        F.when(F.array_contains(rule["kinds"], kind), checks)
-        .when(kind != "ABSENT", "type")
-        .when(~rule["optional"], "required")
-    )
+    fault = F.when(kind.isin(KINDS[rule["kind"]]), checks).when(kind != "ABSENT", "type")
+    if not rule.get("optional"):
+        fault = fault.otherwise("required")
+    return fault
 
 
-def _extra_keys(value: Column, rules: Column) -> Column:
-    known = F.transform(rules, lambda r: r["name"])
-    return F.size(F.array_except(F.json_object_keys(F.to_json(value)), known)) > 0
+def _extra_keys(value: Column, fields: dict) -> Column:
+    keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.size(F.array_except(keys, F.array(*map(F.lit, fields)))) > 0
 
 
-def _breaks(member: Column, rules: Column, closed: bool) -> Column:
+def _breaks(member: Column, fields: dict, closed: bool) -> Column:
     """Does an array member break any of its rules?"""
-    broken = (variant_kind(member) != "OBJECT") | F.exists(
-        rules, lambda r: _fault(member, r, closed, nested=False).isNotNull()
-    )
-    return broken | _extra_keys(member, rules) if closed else broken
+    broken = variant_kind(member) != "OBJECT"
+    for name, rule in fields.items():
+        broken = broken | _fault(member, name, rule, closed).isNotNull()
+    return broken | _extra_keys(member, fields) if closed else broken
 
 
-def _failures(value: Column, rules: Column, closed: bool) -> Column:
-    fault = lambda r: F.concat_ws(":", r["name"], _fault(value, r, closed))
-    named = F.filter(F.transform(rules, fault), lambda text: text.contains(":"))
-    if not closed:
-        return named
-    extra = F.when(_extra_keys(value, rules), F.lit("additionalProperties"))
-    return F.array_compact(F.concat(named, F.array(extra)))
+def _failures(value: Column, fields: dict, closed: bool) -> Column:
+    faults = [F.concat(F.lit(f"{name}:"), _fault(value, name, rule, closed)) for name, rule in fields.items()]
+    if closed:
+        faults.append(F.when(_extra_keys(value, fields), "additionalProperties"))
+    return F.array_compact(F.array(*faults))
 
 
 def validate_envelope(message: Column) -> Column:
@@ -192,39 +160,36 @@ def validate_envelope(message: Column) -> Column:
     kind = F.try_variant_get(message, "$.event_type", "string")
     no_step = F.try_variant_get(message, "$.seq_id", "variant").isNull()
     sequenced = ~F.coalesce(kind == v.ABORT, F.lit(False))
-    failures = _failures(message, _rule_array(ENVELOPE), closed=False)
+    failures = _failures(message, ENVELOPE, closed=False)
     required = F.when(sequenced & no_step, F.lit("seq_id:required"))
     return F.array_compact(F.concat(failures, F.array(required)))
 
 
 def validate_payload(event_type: Column, data: Column, contract: str) -> Column:
     """Failed rules of a payload (VARIANT) under one contract; null for unknown types."""
-    rules = F.create_map(
-        *[c for name, fields in CONTRACTS[contract].items() for c in (F.lit(name), _rule_array(fields))]
-    )
-    return _failures(data, F.try_element_at(rules, event_type), CLOSED[contract])
-
-
-def contract_report(events: DataFrame) -> DataFrame:
-    """Pass rate per event type and contract (columns ``event_type``, ``data``)."""
-    checked = events.filter(F.col("event_type").isin(*v.EVENT_TYPES)).select(
-        "event_type",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("contract"),
-                        validate_payload(F.col("event_type"), F.col("data"), name).alias("failed"),
-                    )
-                    for name in CONTRACTS
-                ]
-            )
-        ).alias("_c"),
-    )
+    out = F.lit(None).cast("array<string>")
+    for name, fields in CONTRACTS[contract].items():
+        out = F.when(event_type == name, _failures(data, fields, CLOSED[contract])).otherwise(out)
+    return out
+
+
+def validate_message(parsed: DataFrame, contract: str) -> Column:
+    """Failed rules of every message (``parse_ok``, ``event_type``, ``data``), also of those with nothing to check."""
+    known = F.coalesce(F.col("event_type").isin(*v.EVENT_TYPES), F.lit(False))
+    one = lambda text: F.array(F.lit(text))
     return (
-        checked.groupBy("event_type", F.col("_c.contract").alias("contract"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.size("_c.failed") == 0).alias("passed"),
-        )
+        F.when(~F.col("parse_ok"), one("message:unreadable"))
+        .when(~known, one("event_type:enum"))
+        .when(F.col("data").isNull(), one("data:required"))
+        .otherwise(validate_payload(F.col("event_type"), F.col("data"), contract))
+    )
+
+
+def contract_report(parsed: DataFrame) -> DataFrame:
+    """Messages and passes per event type and contract; unreadable messages have the type '-'."""
+    each = [F.struct(F.lit(name).alias("contract"), validate_message(parsed, name).alias("failed")) for name in CONTRACTS]
+    checked = parsed.select(F.coalesce("event_type", F.lit("-")).alias("event_type"), F.explode(F.array(*each)).alias("_c"))
+    return checked.groupBy("event_type", F.col("_c.contract").alias("contract")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.size("_c.failed") == 0).alias("passed"),
     )

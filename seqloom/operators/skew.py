@@ -28,6 +28,9 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 100_000
 # Steps per bucket of a running aggregate; only buckets that hold steps exist.
 SEQ_BUCKET = 65_536
+# Parts a range is cut into at a time, and the most rounds of it (64**9 parts are more than rows can fill).
+SPLITS = 64
+MAX_ROUNDS = 9
 
 
 def hot_rows(df: DataFrame) -> int:
@@ -148,23 +151,35 @@ def spread_lookup(
 
 
 def chunked(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Add ``_chunk``: ranges of ``column`` that hold a quarter of ``hot_rows`` on average.
+    """Add ``_chunk``: ranges of ``column`` with at most a quarter of ``hot_rows`` rows each, in order.
 
-    For the rows of hot keys only: there is one span per key, at most HOT_KEYS.
+    For the rows of hot keys only. A range that is too large is cut at its own
+    quantiles, SPLITS at a time, until none is; only rows with one and the same
+    value stay together. Each round broadcasts a row per range that is too
+    large, of which there are at most (rows / limit).
     """
     keys = list(keys)
-    spans = df.groupBy(*keys).agg(
-        F.min(column).cast("double").alias("_low"),
-        F.max(column).cast("double").alias("_high"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    pieces = F.ceil(F.col("_rows") * 4 / hot_rows(df))
-    spans = spans.select(
-        *keys, "_low", ((F.col("_high") - F.col("_low") + 1) / pieces).alias("_width")
-    )
-    placed = df.join(F.broadcast(spans), keys)
-    chunk = F.floor((F.col(column).cast("double") - F.col("_low")) / F.col("_width"))
-    return placed.withColumn("_chunk", chunk).drop("_low", "_width")
+    limit = max(1, hot_rows(df) // 4)
+    cuts = [i / SPLITS for i in range(1, SPLITS)]
+    out = df.withColumn("_chunk", F.lit(0).cast("bigint"))
+    for _ in range(MAX_ROUNDS):
+        large = (
+            out.groupBy(*keys, "_chunk")
+            .agg(
+                F.count(F.lit(1)).alias("_rows"),
+                F.array_distinct(F.percentile_approx(column, cuts, 10_000)).alias("_cuts"),
+                (F.min(column) < F.max(column)).alias("_apart"),
+            )
+            .filter((F.col("_rows") > limit) & F.col("_apart"))
+            .select(*keys, "_chunk", "_cuts")
+        )
+        large = cut(large)
+        if large.isEmpty():
+            break
+        place = F.size(F.filter("_cuts", lambda c: c < F.col(column)))
+        joined = out.join(F.broadcast(large), [*keys, "_chunk"], "left")
+        out = joined.withColumn("_chunk", F.col("_chunk") * SPLITS + F.coalesce(place, F.lit(0))).drop("_cuts")
+    return out
 
 
 def running(

@@ -117,7 +117,11 @@ def make_ids(spark, sf):
 
 
 def abort_code_of(spark, sf):
-    reasons = validated(spark, sf).select(F.coalesce("abort_reason", F.lit("unknown")).alias("reason"))
+    """Reasons of refused orders, and those of later steps, told from the order's status."""
+    later = F.when(F.col("o_orderstatus") == "F", "inventory_failed").when(F.col("o_orderstatus") == "O", "payment_rejected")
+    rows = tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("request_key"), later.alias("later"))
+    reason = F.coalesce("abort_reason", "later", F.lit("unknown")).alias("reason")
+    reasons = validated(spark, sf).join(rows, "request_key").select(reason)
     return reasons.groupBy("reason", s.abort_code_of(F.col("reason")).alias("abort_code")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -181,6 +185,8 @@ ORACLES = {
           from orders)
         select o_orderkey, plan_id, {uuid_sql("md5(concat_ws('|', 'event', plan_id, 1))")} as event_id,
         'TRK' || upper({_HEX.format(salt="tracking", size=10)}) as tracking_code from p""",
-    "abort_code_of": _WITH + """select coalesce(abort_reason, 'unknown') as reason, 'manual' as abort_code,
-        count(*) as n from val group by 1""",
+    "abort_code_of": _WITH + """select reason, case when reason in ('inventory_failed', 'payment_rejected') then reason
+          else 'manual' end as abort_code, count(*) as n
+        from (select coalesce(abort_reason, case o_orderstatus when 'F' then 'inventory_failed' when 'O' then 'payment_rejected' end,
+                'unknown') as reason from val join orders on o_orderkey = k) group by 1""",
 }

@@ -87,20 +87,22 @@ def persist_check(spark, sf):
 
 
 def validate_envelope(spark, sf):
+    """A row per message; what is no JSON at all fails as such."""
+    wire.last_key_wins(spark)
     raw = messages.raw_events(spark, sf)
-    once = F.explode(F.array(F.try_parse_json("value"))).alias("_m")
-    readable = raw.select(wire.position().alias("pos"), once).filter(F.col("_m").isNotNull())
-    failed = contracts.validate_envelope(F.col("_m"))
-    return readable.select("pos", _joined(failed).alias("failed"))
+    once = F.explode(F.array(F.struct(F.try_parse_json("value").alias("m")))).alias("_p")
+    rows = raw.select(wire.position().alias("pos"), once)
+    failed = F.when(F.col("_p.m").isNull(), F.array(F.lit("message:unreadable"))).otherwise(
+        contracts.validate_envelope(F.col("_p.m"))
+    )
+    return rows.select("pos", _joined(failed).alias("failed"))
 
 
 def _validated(spark, sf, contract):
-    known = F.col("event_type").isin(*contracts.CONTRACTS[contract])
-    checked = _parsed(spark, sf).filter(F.col("data").isNotNull() & known)
-    failed = contracts.validate_payload(F.col("event_type"), F.col("data"), contract)
-    return checked.select(
-        wire.position().alias("pos"), "event_type", _joined(failed).alias("failed")
-    )
+    parsed = _parsed(spark, sf)
+    failed = contracts.validate_message(parsed, contract)
+    kind = F.coalesce("event_type", F.lit("-")).alias("event_type")
+    return parsed.select(wire.position().alias("pos"), kind, _joined(failed).alias("failed"))
 
 
 def validate_payload(spark, sf):
@@ -112,7 +114,7 @@ def validate_producer_models(spark, sf):
 
 
 def contract_report(spark, sf):
-    return contracts.contract_report(_parsed(spark, sf).filter(F.col("data").isNotNull()))
+    return contracts.contract_report(_parsed(spark, sf))
 
 
 def _dead_letters(spark, sf):
@@ -186,7 +188,7 @@ body as (select *, case kind when 'OrderCreated' then 1 when 'InventoryValidated
         || '","method":"pix","status":"approved","amount":' || amount || ',"currency":"BRL"}}'
       else '{{"payment_id":"pay_1","method":"cash","status":"approved","amount":' || amount || '}}' end
     when 'OrderShipped' then '{{"tracking_code":"TRK1","carrier":"correios","estimated_delivery":"'
-      || case when k < 25 then '2024-01-06' else stamp end || '"}}'
+      || case when k < 20 then '2024-01-06' when k < 25 then '2024-13-06' else stamp end || '"}}'
     when 'OrderCompleted' then '{{"final_status":"' || case when k < 75 then 'delivered' else 'lost' end
       || '","completed_at":"' || stamp || '"}}'
     else case when k < 10 then '{{"reason":"r","abort_code":"timeout","aborted_at_seq":' || k || ',"total_amount":123456789012.5}}'
@@ -221,66 +223,112 @@ _ERROR = f"""case when ({STATUS_SQL}) = '' then 'unknown event type'
 # Refused events of this log, instead of the unknown types of the others.
 _REPLAY = REPLAY.replace("event_type like 'Unknown%' as bad", f"({_ERROR}) is not null as bad")
 
-_KINDS = {
-    "string": "'VARCHAR'",
-    "integer": "'BIGINT', 'UBIGINT'",
-    "number": "'BIGINT', 'UBIGINT', 'DOUBLE'",
-    "boolean": "'BOOLEAN'",
-    "array": "'ARRAY'",
-    "object": "'OBJECT'",
-}
+# --- the contracts once more, written out for SQL: field, JSON types, then checks on its text ---
+_TEXT, _INT, _NUM, _BOOL, _ARR, _OBJ = (
+    "'VARCHAR'", "'BIGINT', 'UBIGINT'", "'BIGINT', 'UBIGINT', 'DOUBLE'", "'BOOLEAN'", "'ARRAY'", "'OBJECT'",
+)
+_IS_UUID = f"regexp_matches(@text, '{_UUID}')"
+_IS_DATE = "regexp_matches(@text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') and try_cast(@text as date) is not null"
+_IS_TIME = (
+    "regexp_matches(@text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$')"
+    " and try_cast(substr(@text, 1, 19) as timestamp) is not null"
+)
 
 
-def _rules_sql(doc: str, fields: dict, closed: bool) -> list[tuple[str, str]]:
-    """(rule name, SQL condition of failure) for each rule of a contract."""
-    out = []
-    for name, rule in fields.items():
-        kind = f"json_type({doc}, '$.{name}')"
-        text = f"json_extract_string({doc}, '$.{name}')"
-        right = f"{kind} in ({_KINDS[rule['kind']]})"
-        if not rule.get("optional"):
-            out.append((f"{name}:required", f"{kind} is null"))
-        out.append((f"{name}:type", f"{kind} not in ({_KINDS[rule['kind']]})"))
-        if "enum" in rule:
-            domain = ", ".join(f"'{e}'" for e in rule["enum"])
-            out.append((f"{name}:enum", f"{right} and {text} not in ({domain})"))
-        if "format" in rule:
-            pattern = contracts.FORMATS[rule["format"]]
-            out.append((f"{name}:format", f"{right} and not regexp_matches({text}, '{pattern}')"))
-        if "minimum" in rule:
-            out.append((f"{name}:minimum", f"{right} and {text}::double < {rule['minimum']}"))
-        if "items" in rule:
-            size = f"json_array_length({doc}, '$.{name}')"
-            out.append((f"{name}:minItems", f"{right} and {size} < {rule['min_items']}"))
-            member = " or ".join(f"coalesce({c}, false)" for _, c in _rules_sql("m", rule["items"], closed))
-            members = f"len(list_filter(json_extract({doc}, '$.{name}[*]'), lambda m: {member})) > 0"
-            out.append((f"{name}:items", f"{right} and {members}"))
-    if closed:
-        known = ", ".join(f"'{n}'" for n in fields)
-        out.append(
-            ("additionalProperties", f"len(list_filter(json_keys({doc}), lambda key: key not in ({known}))) > 0")
-        )
-    return out
-
-
-def _failed_sql(doc: str, fields: dict, closed: bool, more: tuple = ()) -> str:
-    rules = [*_rules_sql(doc, fields, closed), *more]
-    return "concat_ws(',', " + ", ".join(f"case when {c} then '{n}' end" for n, c in rules) + ")"
-
-
-def _payload_sql(contract: str) -> str:
-    whens = " ".join(
-        f"when '{name}' then {_failed_sql('data', fields, contracts.CLOSED[contract])}"
-        for name, fields in contracts.CONTRACTS[contract].items()
-    )
-    return f"case event_type {whens} end"
+def _field(doc, name, types, must=True, **checks):
+    """case expression: the rule that a field breaks, or null. A check is SQL on @text (or @array) that must hold."""
+    kind, text = f"json_type({doc}, '$.{name}')", f"json_extract_string({doc}, '$.{name}')"
+    whens = [f"when {kind} is null then {'null' if not must else repr(name + ':required')}"]
+    whens.append(f"when {kind} not in ({types}) then '{name}:type'")
+    for label, check in checks.items():
+        sql = check.replace("@text", text).replace("@array", f"json_extract({doc}, '$.{name}[*]')")
+        whens.append(f"when not ({sql}) then '{name}:{label}'")
+    return f"case {' '.join(whens)} end"
+
+
+def _no_more(doc, *names):
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"case when len(list_filter(json_keys({doc}), lambda key: key not in ({listed}))) > 0 then 'additionalProperties' end"
+
+
+def _all_rules(*parts):
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
+def _member(*fields):
+    good = " and ".join(f"({f}) is null" for f in fields)
+    return f"len(list_filter(@array, lambda m: not coalesce({good}, false))) = 0"
+
+
+_PLUS = "@text::double >= 0"
+_LINE = [_field("m", "product_id", _TEXT), _field("m", "quantity", _INT, minimum="@text::double >= 1"), _field("m", "unit_price", _NUM, minimum=_PLUS)]
+_STOCK = [_field("m", "product_id", _TEXT), _field("m", "available", _BOOL), _field("m", "reserved_quantity", _INT, minimum=_PLUS)]
+_D = "data"
+_DECLARED = f"""case event_type
+  when 'OrderCreated' then {_all_rules(
+    _field(_D, "user_id", _TEXT),
+    _field(_D, "items", _ARR, minItems="len(@array) >= 1", items=_member(*_LINE, _no_more("m", "product_id", "quantity", "unit_price"))),
+    _field(_D, "total_amount", _NUM, minimum=_PLUS), _field(_D, "currency", _TEXT),
+    _no_more(_D, "user_id", "items", "total_amount", "currency"))}
+  when 'InventoryValidated' then {_all_rules(
+    _field(_D, "validated", _BOOL),
+    _field(_D, "items_status", _ARR, minItems="len(@array) >= 1", items=_member(*_STOCK, _no_more("m", "product_id", "available", "reserved_quantity"))),
+    _no_more(_D, "validated", "items_status"))}
+  when 'PaymentProcessed' then {_all_rules(
+    _field(_D, "payment_id", _TEXT, format=_IS_UUID),
+    _field(_D, "method", _TEXT, enum="@text in ('credit_card', 'debit_card', 'pix', 'boleto')"),
+    _field(_D, "status", _TEXT, enum="@text in ('approved', 'rejected')"),
+    _field(_D, "amount", _NUM, minimum=_PLUS), _field(_D, "currency", _TEXT),
+    _no_more(_D, "payment_id", "method", "status", "amount", "currency"))}
+  when 'OrderShipped' then {_all_rules(
+    _field(_D, "tracking_code", _TEXT), _field(_D, "carrier", _TEXT), _field(_D, "estimated_delivery", _TEXT, format=_IS_DATE),
+    _no_more(_D, "tracking_code", "carrier", "estimated_delivery"))}
+  when 'OrderCompleted' then {_all_rules(
+    _field(_D, "final_status", _TEXT, enum="@text in ('delivered', 'cancelled')"), _field(_D, "completed_at", _TEXT, format=_IS_TIME),
+    _no_more(_D, "final_status", "completed_at"))}
+  when 'ABORT_PLAN' then {_all_rules(
+    _field(_D, "reason", _TEXT),
+    _field(_D, "abort_code", _TEXT, enum="@text in ('inventory_failed', 'payment_rejected', 'timeout', 'manual')"),
+    _field(_D, "aborted_at_seq", _INT, must=False, minimum=_PLUS),
+    _no_more(_D, "reason", "abort_code", "aborted_at_seq"))} end"""
+_PRODUCER = f"""case event_type
+  when 'OrderCreated' then {_all_rules(
+    _field(_D, "user_id", _TEXT), _field(_D, "items", _ARR, minItems="len(@array) >= 1", items=_member(*_LINE)),
+    _field(_D, "total_amount", _NUM, minimum=_PLUS), _field(_D, "currency", _TEXT, must=False))}
+  when 'InventoryValidated' then {_all_rules(
+    _field(_D, "warehouse_id", _TEXT), _field(_D, "all_items_available", _BOOL), _field(_D, "reserved_until", _TEXT))}
+  when 'PaymentProcessed' then {_all_rules(
+    _field(_D, "payment_id", _TEXT), _field(_D, "method", _TEXT), _field(_D, "amount", _NUM, minimum=_PLUS), _field(_D, "status", _TEXT))}
+  when 'OrderShipped' then {_all_rules(
+    _field(_D, "tracking_code", _TEXT), _field(_D, "carrier", _TEXT), _field(_D, "estimated_delivery", _TEXT))}
+  when 'OrderCompleted' then {_all_rules(_field(_D, "completed_at", _TEXT), _field(_D, "final_status", _TEXT, must=False))}
+  when 'ABORT_PLAN' then {_all_rules(
+    _field(_D, "reason", _TEXT), _field(_D, "abort_code", _TEXT), _field(_D, "aborted_at_seq", _INT, must=False, minimum=_PLUS))} end"""
+_ENVELOPE = _all_rules(
+    _field("j", "event_id", _TEXT, format=_IS_UUID),
+    _field("j", "event_type", _TEXT, enum="""@text in ('OrderCreated', 'InventoryValidated', 'PaymentProcessed', 'OrderShipped',
+      'OrderCompleted', 'ABORT_PLAN')"""),
+    _field("j", "plan_id", _TEXT, format="regexp_matches(@text, '^plan_[a-zA-Z0-9_-]+$')"),
+    _field("j", "seq_id", _INT, must=False, minimum="@text::double >= 1"),
+    _field("j", "order_id", _TEXT, format=_IS_UUID),
+    _field("j", "timestamp", _TEXT, format=_IS_TIME),
+    _field("j", "data", _OBJ),
+    """case when coalesce(json_extract_string(j, '$.event_type') <> 'ABORT_PLAN', true)
+      and json_type(j, '$.seq_id') is null then 'seq_id:required' end""",
+)
+
+
+def _message_sql(rules: str) -> str:
+    """A row per message, with those that there is nothing to check in."""
+    return f"""select parsed.pos, coalesce(event_type, '-') as event_type,
+        case when not parse_ok then 'message:unreadable'
+          when event_type not in ('OrderCreated', 'InventoryValidated', 'PaymentProcessed', 'OrderShipped', 'OrderCompleted',
+            'ABORT_PLAN') then 'event_type:enum'
+          when data is null then 'data:required' else {rules} end as failed
+        from parsed left join msg on msg.pos = parsed.pos"""
 
 
 _W = f"with {_RAW}\n"
-_NO_STEP = (
-    "seq_id:required",
-    "coalesce(json_extract_string(j, '$.event_type') <> 'ABORT_PLAN', true) and json_type(j, '$.seq_id') is null",
-)
 _DLQ = f"""with recursive {_RAW},\n{_REPLAY},
 bad as (select pos, order_id as key, 'MISSING_SEQ_ID' as error_code, 'missing seq_id for non-ABORT event' as error_reason,
     event_id as original_event_id from ev where seq_id is null and event_type <> 'ABORT_PLAN'
@@ -307,20 +355,13 @@ ORACLES = {
         try_cast(l_extendedprice * l_quantity * 25 as decimal(10,2)) is null as overflow from lineitem""",
     "persist_check": _W + f"select pos, coalesce({_ERROR}, 'none') as persist_error from ev",
     "validate_envelope": _W
-    + f"""select pos, {_failed_sql("j", contracts.ENVELOPE, False, (_NO_STEP,))} as failed
-        from parsed where j is not null""",
-    "validate_payload": _W
-    + f"""select * from (select pos, event_type, {_payload_sql("declared")} as failed from ev where data is not null)
-        where failed is not null""",
-    "validate_producer_models": _W
-    + f"""select * from (select pos, event_type, {_payload_sql("producer")} as failed from ev where data is not null)
-        where failed is not null""",
+    + f"select pos, case when j is null then 'message:unreadable' else {_ENVELOPE} end as failed from parsed",
+    "validate_payload": _W + _message_sql(_DECLARED),
+    "validate_producer_models": _W + _message_sql(_PRODUCER),
     "contract_report": _W
     + f"""select event_type, contract, count(*) as n, count(*) filter (failed = '') as passed from (
-        select event_type, 'declared' as contract, {_payload_sql("declared")} as failed from ev where data is not null
-        union all
-        select event_type, 'producer', {_payload_sql("producer")} from ev where data is not null)
-        where failed is not null group by all""",
+        select *, 'declared' as contract from ({_message_sql(_DECLARED)})
+        union all select *, 'producer' from ({_message_sql(_PRODUCER)})) group by all""",
     "sink_dlq": _DLQ,
     "sink_dlq_raw": _W
     + """select pos, value as raw, 'PARSE_ERROR' as error_code, 'failed to parse event JSON' as error_reason

@@ -13,6 +13,7 @@ def local(name: str, cpus: int | None = None) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.seqloom.inputPartitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

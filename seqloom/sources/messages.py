@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as s
 from seqloom.functions import vocabulary as v
-from seqloom.sources.tables import read, read_stream
+from seqloom.sources.tables import read, read_stream, spread
 
 
 def _data_text() -> Column:
@@ -55,7 +55,7 @@ def _data_text() -> Column:
     )
     shipped = F.concat(
         F.lit('{"tracking_code":"TRK1","carrier":"correios","estimated_delivery":"'),
-        F.when(k < 25, F.lit("2024-01-06")).otherwise(stamp),
+        F.when(k < 20, F.lit("2024-01-06")).when(k < 25, F.lit("2024-13-06")).otherwise(stamp),
         F.lit('"}'),
     )
     completed = F.concat(
@@ -96,7 +96,7 @@ def raw_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFr
         seq = F.when(F.col("kind") == known, F.lit(number)).otherwise(seq)
     owner = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd"))
     events = (
-        read_stream(spark, sf_dir, "events") if stream else read(spark, sf_dir, "events")
+        read_stream(spark, sf_dir, "events") if stream else spread(read(spark, sf_dir, "events"))
     )
     rows = (
         events

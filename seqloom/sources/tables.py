@@ -26,6 +26,16 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return files.parquet(sf_dir)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to as many tasks as the session asks for (``spark.seqloom.inputPartitions``), if it asks.
+
+    For a single machine whose input is one file with one row group, which no
+    split size cuts; a cluster leaves the setting alone and reads in place.
+    """
+    asked = df.sparkSession.conf.get("spark.seqloom.inputPartitions", None)
+    return df.repartition(int(asked)) if asked else df
+
+
 def _type_of_seq(seq: Column) -> Column:
     out = F.concat(F.lit("Unknown"), seq.cast("string"))
     for number, name in enumerate(v.SEQUENCED_TYPES, start=1):
@@ -109,7 +119,7 @@ def order_request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Some miss their id, currency or total, some have no items, some totals do not
     match, some are no JSON.
     """
-    orders = read(spark, sf_dir, "orders")
+    orders = spread(read(spark, sf_dir, "orders"))
     price, priority, status = F.col("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")
 
     def item(name: str, quantity: int, unit_price: Column) -> Column:

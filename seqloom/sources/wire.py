@@ -76,6 +76,11 @@ def _well_typed() -> Column:
     )
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """Have JSON objects with a repeated key read as the last value, not as broken text."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def parse_envelope(raw: DataFrame) -> DataFrame:
     """Typed envelope columns and ``parse_ok``.
 
@@ -83,7 +88,7 @@ def parse_envelope(raw: DataFrame) -> DataFrame:
     ``data`` an object. Absent and null fields are empty, not errors. Of a key
     that occurs twice the last value counts; steps are 64-bit numbers.
     """
-    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    last_key_wins(raw.sparkSession)
     # The parser ignores what follows a value; inside brackets it cannot.
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
     alone = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
