@@ -20,6 +20,14 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import discard, staged
 
 LINKS = "a binary, b binary"
+EDGES_A_TASK = 200_000
+MINIMA = 250_000
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in as many tasks as `rows` need, and at least one for each core: links are few beside what they come from."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-rows // EDGES_A_TASK)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,15 +36,19 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps until nothing moves; each round is written to the shared folder.
     Minima are aggregated before the shuffle, then joined back, so that a node with many neighbours can be split.
     """
-    edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    n = edges.count()
+    edges = staged(fitted(edges.select("a", "b").where("a <> b").distinct(), n), "edges")
+    # A node has one minimum, so a table of minima has at most 2 * n rows: broadcast where that is little.
+    beside = F.broadcast if n <= MINIMA else lambda df: df
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
-        last, edges = edges, staged(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct(), "edges")
+        large = both.where("b > a").join(beside(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(beside(least), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
+        small = small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b")
+        last, edges = edges, staged(fitted(small.distinct(), n), "edges")
         discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -41,6 +41,7 @@ CAP = 256
 ESTIMATE = 0.5
 BLOCK = 256
 BLOCK_BYTES = 6 << 20
+FILTER_BITS = 1 << 24
 _NONE = np.iinfo(np.int64).max
 
 
@@ -120,20 +121,24 @@ def exact(part: pa.Table):
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     n = np.diff(offsets).astype(np.int64)
     near = _Sketches(n, _matrix(part["members"]))
+    distinct, ids = np.unique(values[offsets[0] : offsets[-1]], return_inverse=True)
+    marked, begin = np.zeros(len(distinct), bool), offsets[:-1] - offsets[0]
 
     def common(i, js):
-        a = values[offsets[i] : offsets[i + 1]]
-        out = np.empty(len(js), np.int64)
-        for k, j in enumerate(js):
-            b = values[offsets[j] : offsets[j + 1]]
-            out[k] = (a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()
+        own = ids[begin[i] : begin[i] + n[i]]
+        marked[own] = True
+        start = np.concatenate(([0], np.cumsum(n[js])[:-1]))
+        there = np.arange(n[js].sum()) + np.repeat(begin[js] - start, n[js])
+        out = np.add.reduceat(marked[ids[there]].astype(np.int64), start)
+        marked[own] = False
         return out
 
     def alike(i, js):
         hit = near(i, js)
         js = js[hit]
-        both = common(i, js)
-        hit[hit] = 100 * both >= PERCENT * (n[js] + n[i] - both)
+        if len(js):
+            both = common(i, js)
+            hit[hit] = 100 * both >= PERCENT * (n[js] + n[i] - both)
         return hit
 
     return alike
@@ -162,13 +167,24 @@ def candidates(classes: DataFrame) -> DataFrame:
     return roots
 
 
+def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among the wanted ones, so that few others are shuffled: a bitmap of FILTER_BITS key
+    hashes, broadcast as words of 64 bits. Its size is fixed; where very many keys are wanted it lets more rows through."""
+    place = F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright(place, 6)
+    words = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    held = rows.withColumn("_word", word).join(F.broadcast(words), "_word")  # at most FILTER_BITS / 64 rows
+    return held.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def component_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """(digest, component_id) of every class. `classes` has digest, first_id, n and sketch."""
     groups = staged(candidates(classes).join(classes.select(F.col("digest").alias("node"), "first_id", "n"), "node"), "groups")
     size = groups.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(8 * F.col("s") / BLOCK_BYTES)).cast("int")
-    wanted = groups.join(size, "root").select("root", F.col("node").alias("digest"), "first_id", blocks.alias("blocks"))
-    texts = documents.select(F.col("doc_id").alias("first_id"), F.col("text").cast("binary").alias("text"))
+    wanted = staged(groups.join(size, "root").select("root", F.col("node").alias("digest"), "first_id", blocks.alias("blocks")), "wanted")
+    texts = possible(documents.select(F.col("doc_id").alias("first_id"), F.col("text").cast("binary").alias("text")), wanted, "first_id")
     full = (
         texts.join(wanted, "first_id")
         .withColumn("members", F.arrow_udf(_full_set, "array<long>").asNondeterministic()("text", "digest"))  # once per row
@@ -178,7 +194,7 @@ def component_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
     )
     full = staged(full, "sets")
     roots = linked(full, exact, BLOCK, pack=1000).select(F.col("node").alias("digest"), "root")
-    discard(groups, full)
+    discard(groups, wanted, full)
     named = classes.select("digest", "first_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return named.join(least, "root").select("digest", "component_id")
