@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a batched Viterbi pass in numpy.
 
-A text becomes units: a run of spaces (as U+2581) with the characters after it, cut at characters that no longer
-piece contains. The distinct units of a batch are encoded, equal lengths together: for every end and every piece
-length, the hash of that substring probes the sorted hashes of all pieces, and the maximum over the candidates is kept
-with its backpointer.
+A text becomes units, cut wherever no piece holds the two characters side by side (so before each run of spaces, which
+are U+2581 here). The distinct units of a batch that are new to the worker are encoded, equal lengths together: for
+every end and every piece length, the hash of that substring probes the sorted hashes of all pieces (a table of their
+leading bits spares most of the searches), and the maximum over the candidates is kept with its backpointer.
 
 For a unigram model a candidate is worth the sum of its pieces' scores. A BPE model has no additive scores, but its
 segmentation is the only one whose neighbours are all compatible (no merge that crosses their border would have come
@@ -136,13 +136,18 @@ class Encoder:
             raise ValueError("two pieces have one hash")
         self.longest = max((len(p.texts[i]) for i in plain), default=1)
         self.power = _powers(self.longest + 1)
-        inner = {c for i in usable if len(p.texts[i]) > 1 for c in p.texts[i]} | {chr(SPACE)}
-        self.alone = np.ones(0x110000, bool)  # characters that are always tokens of their own
-        self.alone[[ord(c) for c in inner]] = False
+        self.leading = np.zeros(1 << _CACHE_BITS, bool)
+        self.leading[self.sorted_hash >> np.uint64(64 - _CACHE_BITS)] = True
+        pairs = {ord(a) << 21 | ord(b) for i in usable for a, b in zip(p.texts[i], p.texts[i][1:], strict=False)}
+        self.side_by_side = np.sort(np.array(list(pairs), np.uint64))
+        self.pair_leading = np.zeros(1 << _CACHE_BITS, bool)
+        self.pair_leading[mix(self.side_by_side.copy()) >> np.uint64(64 - _CACHE_BITS)] = True
+        self.ascii_pairs = np.zeros((128, 128), bool)
+        for pair in pairs:
+            if pair >> 21 < 128 and pair & 0x1FFFFF < 128:
+                self.ascii_pairs[pair >> 21, pair & 0x1FFFFF] = True
         bytes_ = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(p.texts, p.types, strict=True)) if k == BYTE}
         self.byte_ids = np.array([bytes_[b] for b in range(256)], np.int64) if len(bytes_) == 256 else None
-        if self.byte_ids is None:
-            self.alone[:] = False  # unknown characters in a row are one token
         self.unknown = next((i for i, k in enumerate(p.types) if k == UNKNOWN), 0)
         raw = [t.replace(chr(SPACE), " ").encode() if k in (NORMAL, USER_DEFINED) else bytes([int(t[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" for t, k in zip(p.texts, p.types, strict=True)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -176,13 +181,32 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat, self.at = [np.empty(0, np.int32)], [0]
-        self.joined = None
+        self.flat, self.counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        self.joined = np.zeros(1, np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The piece with each hash, -1 if there is none."""
-        n = np.minimum(np.searchsorted(self.sorted_hash, hashes), len(self.sorted_hash) - 1)
-        return np.where(self.sorted_hash[n] == hashes, self.sorted_ids[n], -1)
+        out = np.full(len(hashes), -1, np.int64)
+        maybe = np.flatnonzero(self.leading[hashes >> np.uint64(64 - _CACHE_BITS)])
+        sought = hashes[maybe]
+        n = np.minimum(np.searchsorted(self.sorted_hash, sought), len(self.sorted_hash) - 1)
+        there = self.sorted_hash[n] == sought
+        out[maybe[there]] = self.sorted_ids[n[there]]
+        return out
+
+    def uncut(self, codes: np.ndarray) -> np.ndarray:
+        """For each character but the first: whether some piece may hold it together with the one before."""
+        a, b = codes[:-1], codes[1:]
+        if self.byte_ids is None:  # unknown characters in a row are one token: cut before spaces only
+            return (b != SPACE) | (a == SPACE)
+        out = self.ascii_pairs[np.minimum(a, 127), np.minimum(b, 127)]
+        wide = np.flatnonzero((a > 127) | (b > 127))
+        keys = (a[wide].astype(np.uint64) << np.uint64(21)) | b[wide]
+        found = self.pair_leading[mix(keys) >> np.uint64(64 - _CACHE_BITS)]
+        n = np.minimum(np.searchsorted(self.side_by_side, keys[found]), len(self.side_by_side) - 1)
+        found[found] = self.side_by_side[n] == keys[found]
+        out[wide] = found
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves a border between each a and the b after it."""
@@ -217,8 +241,9 @@ class Encoder:
             x, y = np.where(down, self.right[x], x), np.where(down, y, self.left[y])
         return ok
 
-    def viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Tokens of words of one length (rows of code points); `none` for characters outside the model."""
+    def viterbi(self, codes: np.ndarray) -> np.ndarray:
+        """Tokens of words of one length (rows of code points), filled up with -1 at the left; `none` for characters
+        outside the model."""
         n, width = codes.shape
         h = _hash_codes(codes)
         prefix = np.zeros((width + 1, n), np.uint64)
@@ -252,8 +277,7 @@ class Encoder:
             t = np.where(at > 0, token[at, rows], -1)
             out.append(t)
             at = np.where(at > 0, at - self.length[np.maximum(t, 0)], 0)
-        grid = np.array(out[::-1]).T if out else np.empty((n, 0), np.int64)
-        return [row[row >= 0] for row in grid]
+        return np.array(out[::-1]).T if out else np.empty((n, 0), np.int64)
 
     @cache  # noqa: B019  one encoder per worker
     def run(self, n: int) -> tuple[int, ...]:
@@ -278,48 +302,58 @@ class Encoder:
         return tuple(self.runs.get(x, self.none) for x in size if x)
 
     def _finish(self, spaces: int, core: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Put the further spaces before a word's tokens, and spell what the model does not have."""
-        if self.bpe and spaces > 1:
-            if len(core) and core[0] == self.runs.get(1, self.none):
-                core = np.concatenate((self.run(spaces), core[1:]))
-            else:
-                core = np.concatenate((self.run(spaces - 1), core))
-        if not (core == self.none).any():
-            return core.astype(np.int32)
-        out, at = [], 0
-        for t in core:
-            if t != self.none:
-                out.append(t)
-                at += int(self.length[t])
-                continue
-            if self.byte_ids is None:
-                if not (out and out[-1] == self.unknown):
+        """Put the further spaces before a word's tokens, and spell what the model does not have. text: the word with
+        its last space."""
+        if (core == self.none).any():
+            out, at = [], 0
+            for t in core:
+                if t != self.none:
+                    out.append(t)
+                elif self.byte_ids is not None:
+                    out.extend(self.byte_ids[list(chr(text[at]).encode("utf-8", "surrogatepass"))])
+                elif not (out and out[-1] == self.unknown):
                     out.append(self.unknown)
-            else:
-                out.extend(self.byte_ids[list(chr(text[at]).encode("utf-8", "surrogatepass"))])
-            at += 1
-        return np.array(out, np.int32)
-
-    def learn(self, units: list[np.ndarray], keys: list[int]) -> None:
-        """Encode new units (arrays of code points) and remember their tokens."""
-        lead = [int(np.argmax(u != SPACE)) if (u != SPACE).any() else len(u) for u in units]
-        words = [u[max(n - 1, 0) :] if self.bpe else u for u, n in zip(units, lead, strict=True)]
-        by_length: dict[int, list[int]] = {}
-        for n, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(n)
-        done: list = [None] * len(units)
-        for ns in by_length.values():
-            width = len(words[ns[0]])
-            step = max(1, (1 << 18) // max(width, 1))
-            for s in range(0, len(ns), step):
-                part = ns[s : s + step]
-                for n, core in zip(part, self.viterbi(np.stack([words[k] for k in part])), strict=True):
-                    done[n] = self._finish(lead[n], core, units[n])
-        for key, tokens in zip(keys, done, strict=True):
-            self.known[key] = len(self.at) - 1
-            self.flat.append(tokens)
-            self.at.append(self.at[-1] + len(tokens))
-        self.joined = None
+                at += int(self.length[t])
+            core = np.array(out, np.int64)
+        if self.bpe and spaces > 1:
+            alone = len(core) and core[0] == self.runs.get(1, self.none)
+            core = np.concatenate((self.run(spaces), core[1:])) if alone else np.concatenate((self.run(spaces - 1), core))
+        return core.astype(np.int32)
+
+    def _keep(self, keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> None:
+        size = len(self.known)
+        self.known.update(zip(keys.tolist(), range(size, size + len(keys)), strict=True))
+        self.flat.append(tokens.astype(np.int32))
+        self.counts.append(counts)
+
+    def learn(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
+        """Encode the units codes[begin : begin + size] and remember their tokens by key."""
+        spaces = np.zeros(len(begin), np.int64)
+        run = np.flatnonzero(codes[begin] == SPACE)
+        while len(run):
+            spaces[run] += 1
+            run = run[spaces[run] < size[run]]
+            run = run[codes[begin[run] + spaces[run]] == SPACE]
+        more = np.maximum(spaces - 1, 0) if self.bpe else np.zeros(len(begin), np.int64)
+        width = size - more
+        order = np.argsort(width, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(width[order])) + 1):
+            n = int(width[group[0]])
+            step = max(1, (1 << 18) // max(n, 1))
+            for s in range(0, len(group), step):
+                units = group[s : s + step]
+                words = codes[(begin[units] + more[units])[:, None] + np.arange(n)]
+                grid = self.viterbi(words)
+                got = grid >= 0
+                odd = (more[units] > 0) | (grid == self.none).any(1)
+                plain = ~odd
+                if plain.any():
+                    self._keep(keys[units[plain]], grid[plain][got[plain]], got[plain].sum(1))
+                if odd.any():
+                    done = [self._finish(int(spaces[units[k]]), grid[k][got[k]], words[k]) for k in np.flatnonzero(odd)]
+                    self._keep(keys[units[odd]], np.concatenate(done), np.array([len(d) for d in done], np.int64))
+        self.flat, self.counts = [np.concatenate(self.flat)], [np.concatenate(self.counts)]
+        self.joined = np.concatenate(([0], np.cumsum(self.counts[0])))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts, and where each text's begin."""
@@ -329,9 +363,8 @@ class Encoder:
         codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(codes):
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        space, alone = codes == SPACE, self.alone[codes]
-        start = alone.copy()
-        start[1:] |= alone[:-1] | (space[1:] & ~space[:-1])
+        start = np.ones(len(codes), bool)
+        start[1:] = ~self.uncut(codes)
         start[bounds[:-1][np.diff(bounds) > 0]] = True
         begin = np.flatnonzero(start)
         size = np.diff(np.append(begin, len(codes)))
@@ -341,12 +374,9 @@ class Encoder:
         listed = keys.tolist()
         if len(self.known) + len(listed) > _UNITS:
             self.forget()
-        new = [n for n, k in enumerate(listed) if k not in self.known]
-        if new:
-            self.learn([codes[begin[first[n]] : begin[first[n]] + size[first[n]]] for n in new], [listed[n] for n in new])
-        if self.joined is None:
-            self.flat = [np.concatenate(self.flat)]
-            self.joined = np.array(self.at)
+        new = np.flatnonzero([k not in self.known for k in listed])
+        if len(new):
+            self.learn(codes, begin[first[new]], size[first[new]], keys[new])
         unit = np.array([self.known[k] for k in listed])[inverse]
         counts = self.joined[unit + 1] - self.joined[unit]
         upto = np.concatenate(([0], np.cumsum(counts)))
