@@ -91,7 +91,8 @@ SPELLINGS = [
     ("https ", "http "),
     (" copyright owner ", " copyright holder "),
 ]
-_COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n(©]*(?:copyright|\(c\)|©)[^\n]*"
+# A line that claims a copyright, not one of a licence's own text that happens to begin with the word.
+_COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n(©]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|by )|\(c\)|©)[^\n]*"
 
 
 def canonical(text: Column) -> Column:

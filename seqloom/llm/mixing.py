@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import staged, words
+from seqloom.llm.common import bounded, staged, words
 
 DOMAIN_WEIGHTS = {"group0": 4, "group1": 3, "group2": 2, "group3": 1}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
@@ -90,7 +90,8 @@ def plan(tokens: DataFrame, levels: list[str], weights: list[dict[str, int]], pe
         "shares",
     )
     keyed = (
-        tokens.join(shares.where("rest > 0").select(*levels, "epochs", "rest"), levels)
+        tokens.join(bounded(shares.select(*levels, "epochs", "rest")), levels)
+        .where("rest > 0")
         .withColumn("order_key", order_key(F.col("epochs"), seed))
         .withColumn("range", F.substring("order_key", 1, BUCKET_DIGITS))
     )
@@ -113,7 +114,7 @@ def plan(tokens: DataFrame, levels: list[str], weights: list[dict[str, int]], pe
         .agg(F.max("order_key").alias("last"))
     )
     cuts = whole.unionByName(inside).groupBy(*levels).agg(F.max("last").alias("cut"))
-    return shares.join(cuts, levels, "left")
+    return staged(shares.join(cuts, levels, "left"), "plan")
 
 
 def _levels(source: Column, lang: Column) -> list[Column]:
@@ -144,7 +145,7 @@ def mixed(
         documents.select("doc_id", *_levels(F.col("source"), F.col("lang")), F.size(words(F.col("text"))).cast("long").alias("n_tokens")),
         "tokens",
     )
-    shares = plan(tokens, LEVELS, list(weights), percent, max_epochs, seed).select(*LEVELS, "epochs", "cut")
+    shares = bounded(plan(tokens, LEVELS, list(weights), percent, max_epochs, seed).select(*LEVELS, "epochs", "cut"))
     if whole_rows:
         names = documents.columns
         rows = documents.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_levels(F.col("source"), F.col("lang")))
