@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from seqloom.llm import langid, licenses, minhash, mixing, pieces, quality
+from seqloom.llm import langid, licenses, linking, minhash, mixing, pieces, quality
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, measures int, n_tokens int"
@@ -185,6 +185,7 @@ def family(seed, size, base_words=90, edits=3):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Groups far over the size of a block, hot passages, and small texts give what brute force gives."""
+    monkeypatch.setattr(linking, "MINIMA", 0)  # as with more links than may be broadcast
     monkeypatch.setattr(minhash, "CAP", 12)
     monkeypatch.setattr(minhash, "BLOCK", 8)
     passage = sentence(99, 60)

@@ -13,7 +13,11 @@ from tests.llm import brute
 PAGES = "page_id long, url string, html string, text string, host string"
 
 
-def test_archive_round_trip(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_archive_round_trip(spark, monkeypatch, few):
+    """With repeated digests broadcast, and salted as when they are too many for that."""
+    if not few:
+        monkeypatch.setattr(archives, "bounded", lambda df: df)
     big, small = "<p>é</p>" * 30, "<p>x</p>"
     rows = [
         (5, "http://a.example/x y", big), (3, "http://b.example/", big), (9, None, big), (4, "http://a.example/", small), (2, "u", small),
