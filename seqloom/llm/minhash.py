@@ -1,6 +1,7 @@
 """Near-duplicate documents: bottom-k sketches of one hash function, inverted lists, exact verification.
 
-A document is the set of its distinct word 4-grams (A-Z in lower case). Two documents link if 100 * |intersection|
+A document is the set of its distinct word n-grams (A-Z in lower case): five words for stages, four for the report of
+op9. Two documents link if 100 * |intersection|
 >= 80 * |union|; a component is what links connect.
 
 1. Each text becomes its set's size, digest and sketch (the K smallest hashes). Equal sets are one class from here on.
@@ -32,7 +33,8 @@ from seqloom.llm import shingles
 from seqloom.llm.common import discard, small_batches, staged
 from seqloom.llm.linking import linked
 
-SIZE = 4  # words in a shingle
+SIZE = 5  # words in a shingle
+REPORT_SIZE = 4  # the contract of op9 alone
 PERCENT = 80
 K = 32
 M = 12
@@ -55,20 +57,26 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _signature(text: pa.Array) -> pa.Array:
-    sizes, digests, sketches = [], [], []
-    for s in shingles.shingle_sets(text, SIZE):
-        sizes.append(len(s))
-        digests.append(_digest(s) if len(s) else None)
-        sketches.append(s[:K])
-    return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches)], ["n", "digest", "sketch"])
+def _signature(size: int):
+    def signature(text: pa.Array) -> pa.Array:
+        sizes, digests, sketches = [], [], []
+        for s in shingles.shingle_sets(text, size):
+            sizes.append(len(s))
+            digests.append(_digest(s) if len(s) else None)
+            sketches.append(s[:K])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sketches)], ["n", "digest", "sketch"])
 
+    return signature
 
-def _full_set(text: pa.Array, digest: pa.Array) -> pa.Array:
-    """The set of each text that has the digest asked for; null for other texts of the same doc_id."""
-    sets = list(shingles.shingle_sets(text, SIZE))
-    wrong = [_digest(s) != d for s, d in zip(sets, digest.to_pylist(), strict=True)]
-    return pc.if_else(pa.array(wrong), pa.scalar(None, pa.list_(pa.int64())), _lists(sets))
+
+def _full_set(size: int):
+    def full_set(text: pa.Array, digest: pa.Array) -> pa.Array:
+        """The set of each text that has the digest asked for; null for other texts of the same doc_id."""
+        sets = list(shingles.shingle_sets(text, size))
+        wrong = [_digest(s) != d for s, d in zip(sets, digest.to_pylist(), strict=True)]
+        return pc.if_else(pa.array(wrong), pa.scalar(None, pa.list_(pa.int64())), _lists(sets))
+
+    return full_set
 
 
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
@@ -178,16 +186,16 @@ def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return held.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
 
 
-def component_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(digest, component_id) of every class. `classes` has digest, first_id, n and sketch."""
+def component_of(classes: DataFrame, documents: DataFrame, size: int = SIZE) -> DataFrame:
+    """(digest, component_id) of every class. `classes` has digest, first_id, n and sketch of `size`-word shingles."""
     groups = staged(candidates(classes).join(classes.select(F.col("digest").alias("node"), "first_id", "n"), "node"), "groups")
-    size = groups.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    extent = groups.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(8 * F.col("s") / BLOCK_BYTES)).cast("int")
-    wanted = staged(groups.join(size, "root").select("root", F.col("node").alias("digest"), "first_id", blocks.alias("blocks")), "wanted")
+    wanted = staged(groups.join(extent, "root").select("root", F.col("node").alias("digest"), "first_id", blocks.alias("blocks")), "wanted")
     texts = possible(documents.select(F.col("doc_id").alias("first_id"), F.col("text").cast("binary").alias("text")), wanted, "first_id")
     full = (
         texts.join(wanted, "first_id")
-        .withColumn("members", F.arrow_udf(_full_set, "array<long>").asNondeterministic()("text", "digest"))  # once per row
+        .withColumn("members", F.arrow_udf(_full_set(size), "array<long>").asNondeterministic()("text", "digest"))  # once per row
         .where("members is not null")
         .select(F.col("root").alias("grp"), F.col("digest").alias("node"), "blocks", "members")
         .dropDuplicates(["node"])
@@ -200,16 +208,16 @@ def component_of(classes: DataFrame, documents: DataFrame) -> DataFrame:
     return named.join(least, "root").select("digest", "component_id")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, size: int = REPORT_SIZE) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id, kept."""
     small_batches(documents.sparkSession, 4 << 20)
-    signature = F.arrow_udf(_signature, "struct<n long, digest binary, sketch array<long>>")
+    signature = F.arrow_udf(_signature(size), "struct<n long, digest binary, sketch array<long>>")
     rows = staged(documents.select("doc_id", signature(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*"), "signatures")
     classes = staged(
         rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    found = staged(component_of(classes, documents), "components")
+    found = staged(component_of(classes, documents, size), "components")
     discard(classes)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return (
@@ -220,10 +228,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
+def deduplicated(documents: DataFrame, size: int = SIZE) -> DataFrame:
     """One document of each component, with the columns it came with. Of rows with one doc_id one stays; rows without
     doc_id all stay."""
-    kept = near_duplicates(documents).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(documents, size).where("kept and doc_id is not null").select("doc_id").distinct()
     of_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     rows = documents.join(kept, "doc_id").withColumn("_place", F.row_number().over(of_id)).where("_place = 1")
     return rows.select(*documents.columns).unionByName(documents.where("doc_id is null"))

@@ -13,8 +13,8 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = U(0x9E3779B97F4A7C15)
-_ODD = _RNG.integers(1 << 62, 1 << 63, 4, dtype=np.uint64) | U(1)
-_PAD = U(0x5851F42D4C957F2D)  # stands for a missing word of a text with fewer than four
+_ODD = _RNG.integers(1 << 62, 1 << 63, 5, dtype=np.uint64) | U(1)
+_PAD = U(0x5851F42D4C957F2D)  # stands for a missing word of a text with fewer than a shingle has
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def shingle_sets(array: pa.Array, size: int = 4):
     """Yield, for each row, its sorted distinct shingle hashes (63 bits, as int64).
 
-    A shingle is `size` (at most 4) words in a row; a text with fewer words is one shingle, one without words has none.
+    A shingle is `size` (at most 5) words in a row; a text with fewer words is one shingle, one without words has none.
     """
     data, offsets = buffers(array)
     starts, _, hashes = words(data, offsets)

@@ -32,9 +32,9 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def near_duplicates(rows, percent=80):
+def near_duplicates(rows, percent=80, size=4):
     """rows: (doc_id, text) with distinct ids -> {doc_id: (n_shingles, component)}"""
-    sets = {d: shingle_set(t) for d, t in rows}
+    sets = {d: shingle_set(t, size) for d, t in rows}
     held = defaultdict(list)
     for d, s in sets.items():
         for x in s:

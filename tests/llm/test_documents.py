@@ -5,6 +5,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seqloom.llm import langid, licenses, linking, minhash, mixing, pieces, quality
 from tests.llm import brute
 
@@ -203,6 +204,22 @@ def test_near_duplicates_of_the_table(spark):
     assert got == brute.near_duplicates([tuple(r) for r in docs.collect()])
 
 
+def test_near_duplicates_stage_takes_five_words(spark):
+    """One changed word in 45 leaves 80 % of the 4-grams or more but fewer of the 5-grams: the stage keeps both texts."""
+    w = [f"w{i}" for i in range(45)]
+    other = [*w[:20], "changed", *w[21:]]
+    rows = spark.createDataFrame([(0, " ".join(w)), (1, " ".join(other)), (2, " ".join(w))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == [0, 1]
+    assert [r.doc_id for r in minhash.near_duplicates(rows).where("kept").collect()] == [0]
+
+
+def test_near_duplicates_stage_like_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    want = brute.near_duplicates([(r.doc_id, r.text) for r in docs.collect()], size=5)
+    assert got == sorted(d for d, (_, c) in want.items() if d == c)
+
+
 def shares(children, budget):
     """(capacity, weight) -> what each gets: raise the level until the budget is used up."""
     got, left, open_ = [0] * len(children), budget, set(range(len(children)))
