@@ -6,7 +6,8 @@ those on at least MIN_PAGES of them and MIN_SHARE of the host's pages are the si
 main region (the outermost article, else main, else the body) only subtrees with at most MAX_PART of its text can be
 template, and the text blocks of an article never are, so an article that many pages carry is not mistaken for one.
 What the markup itself declares not to be the article (navigation, forms, asides, adverts, comments, scripts, ...) is
-deleted too: its text may differ from page to page.
+deleted too: its text may differ from page to page. A class or id declares it only as a whole name, on a container that
+holds neither the article nor most of the page's text.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a newline. Null and
 empty pages give the empty text. Pages without host are counted together. Rows with one page_id are taken one by one;
@@ -53,6 +54,15 @@ CHROME_STARTS = (
     "advert", "banner", "breadcrumb", "comment", "footer", "menu", "navbar", "promo", "sidebar", "sponsor", "subscri", "usercomment",
 )
 HEADER_STARTS = ("header", "siteheader", "pageheader")
+SITE_WORDS = frozenset("site page global top main fixed sticky wrap wrapper container inner outer".split())
+#: Words that may stand beside a telling one without changing what the name says (share-buttons, but not share-price).
+PART_WORDS = SITE_WORDS | frozenset(
+    "area bar block body bottom box btn button buttons content form group icon icons item items left line link links list module"
+    " panel post posts primary right row secondary section slot strip text title unit zone".split()
+)
+DISCUSSION = ("comment", "usercomment", "disqus", "reply", "replies", "respond")
+PROSE = ("commentary", "commentator")
+CONTAINERS = frozenset("div section aside header footer ul ol dl table details center ins".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "dd", "dt", "li", "figcaption"}
 #: A start tag ends an open element of the first kind unless one of the second kind stands between.
 IMPLIED_END = {
@@ -178,12 +188,36 @@ class Page:
 
     def _mark(self) -> None:
         """Which elements are declared not to be text (`out`, of themselves or through an ancestor), and the main region."""
-        self.out, inside = [], []
+        plain, inside = [], []  # out by tag, role or style; within an article or main
         for e, tag in enumerate(self.tag):
             p = self.parent[e]
             within = p >= 0 and (inside[p] or self.tag[p] in ("article", "main"))
             inside.append(within)
-            self.out.append((p >= 0 and self.out[p]) or tag in NOT_TEXT or (tag == "header" and not within) or self._chrome(e, within))
+            plain.append((p >= 0 and plain[p]) or tag in NOT_TEXT or (tag == "header" and not within) or self._hidden(e))
+        upto, skip = [0], 0
+        for at, (kind, value) in enumerate(self.tokens):
+            if kind == "<" and plain[value]:
+                skip = max(skip, self.end[value])
+            upto.append(upto[-1] + (len("".join(value.split())) if kind == "t" and at >= skip else 0))
+        size = [upto[b] - upto[a] for a, b in zip(self.start, self.end, strict=True)]
+        named = [not plain[e] and self._chrome(e, inside[e]) for e in range(len(self.tag))]
+        below = []
+        for e, n in enumerate(named):
+            below.append(n or (self.parent[e] >= 0 and below[self.parent[e]]))
+        # What holds the article (where there is one that no telling name is around, that) or most of the text stays.
+        cores = [e for e, t in enumerate(self.tag) if (t in ("article", "main") or self.attrs[e].get("role") == "main") and size[e] and not plain[e]]
+        held = set()
+        if cores and all(below[e] for e in cores):
+            e = max(cores, key=lambda e: (size[e], -e))
+            while e >= 0:
+                held.add(e)
+                e = self.parent[e]
+        self.out = []
+        for e, n in enumerate(named):
+            if n and self.tag[e] != "article":
+                talk = any(w.startswith(DISCUSSION) for w in self._names(self.attrs[e]))
+                n = e not in held and not (size[e] == upto[-1] if talk else 2 * size[e] > upto[-1])
+            self.out.append((self.parent[e] >= 0 and self.out[self.parent[e]]) or plain[e] or n)
         shown = [e for e in range(len(self.tag)) if not self.out[e]]
         region: list[int] = []
         for kind in ("article", "main", "body"):
@@ -204,18 +238,30 @@ class Page:
     def _has_text(self, e: int) -> bool:
         return any(k == "t" and not v.isspace() for k, v in self.tokens[self.start[e] : self.end[e]])
 
-    def _chrome(self, e: int, within: bool) -> bool:
+    def _hidden(self, e: int) -> bool:
         a = self.attrs[e]
         if not a:
             return False
         if a.get("role", "").lower() in CHROME_ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             return True
-        if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I):
-            return True
-        if self.tag[e] in ("html", "body", "article", "main"):
-            return self.tag[e] == "article" and any(w.startswith("comment") for w in self._names(a))
-        for w in self._names(a):
-            if w in CHROME_WORDS or w.startswith(CHROME_STARTS) or (not within and w.startswith(HEADER_STARTS)):
+        return "style" in a and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I))
+
+    def _chrome(self, e: int, within: bool) -> bool:
+        """Whether a class or the id of a container says, as a whole, that it is not text."""
+        a = self.attrs[e]
+        if not a:
+            return False
+        if self.tag[e] == "article":
+            return any(w.startswith("comment") and w not in PROSE for w in self._names(a))
+        if self.tag[e] not in CONTAINERS:
+            return False
+        for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            telling = [w for w in words if w in CHROME_WORDS or (w.startswith(CHROME_STARTS) and w not in PROSE)]
+            rest = [w for w in words if w not in telling and not w.isdigit()]
+            if telling and all(w in PART_WORDS or w.startswith(HEADER_STARTS) for w in rest):
+                return True
+            if not within and any(w.startswith(HEADER_STARTS) for w in words) and all(w in SITE_WORDS or w.startswith(HEADER_STARTS) for w in rest):
                 return True
         return False
 

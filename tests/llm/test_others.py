@@ -72,6 +72,23 @@ def test_html_text(source, want):
     assert Page(source).text() == want
 
 
+NAMES = [
+    ("<div class='layout has-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<body><div class=nav-open><div class=no-banner><article><p>a</p></article></div></div></body>", "a"),
+    ("<div class=sidebar><main><p>a</p></main></div>", "a"),
+    ("<div class=with-comments><p>the whole text</p></div><div class=ad>b</div>", "the whole text"),
+    ("<div class=widget><p>the whole text</p></div><p>b</p>", "the whole text\nb"),
+    ("<article><h2 id=related-work>R</h2><p class=notice>n</p><section id=comments-on-the-method>m</section><div id=share-price>s</div></article>", "R\nn\nm\ns"),
+    ("<article><p>some text</p><div class='share-buttons'>s</div><div id=related-posts>r</div></article>", "some text"),
+    ("<article><p>a</p></article><div id=comments><article><p>a longer comment</p></article></div>", "a"),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), NAMES)
+def test_html_names(source, want):
+    assert Page(source).text() == want
+
+
 def test_deep_and_broken_html():
     assert Page("<div>" * 20_000 + "x").text() == "x"
     assert Page("<" * 3000).text() == "<" * 3000
