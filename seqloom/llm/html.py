@@ -1,10 +1,14 @@
 """Main text of web pages by removing each site's template.
 
 Every element of a page is a range of its token stream, so the hash of a subtree (tags, class, id and text) is a
-difference of rolling prefix hashes. Spark counts on how many different pages of a host each subtree hash occurs;
-those on at least MIN_PAGES of them and MIN_SHARE of the host's pages are the site's template and are deleted. Inside the
-main region (the outermost article, else main, else the body) only subtrees with at most MAX_PART of its text can be
-template, and the text blocks of an article never are, so an article that many pages carry is not mistaken for one.
+difference of rolling prefix hashes. Spark counts on how many different pages of a host each subtree of the main region
+(the outermost article, else main, else the body) occurs; those on at least MIN_PAGES, however many pages the host has,
+recur. A page of whose region more than COPY recurs is a copy of another and no evidence: what recurs there is the
+article's own. A subtree is the site's template, and deleted on all pages of the host, if it recurs on MIN_PAGES pages
+that differ in the rest; paragraphs, lists, tables and figures of an article must besides stand at the same place
+(counted in blocks from the start or from the end) on half of these pages, as a quoted passage does not. Only subtrees
+with at most MAX_PART of the region's text can be template, quotations and preformatted text never are, and headings go
+only together with the block that follows them.
 What the markup itself declares not to be the article (navigation, forms, asides, adverts, comments, scripts, ...) is
 deleted too: its text may differ from page to page. A class or id declares it only as a whole name, on a container that
 holds neither the article nor most of the page's text.
@@ -16,10 +20,12 @@ equal pages count once. Unclosed tags, comments and quotes end where a browser w
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +34,9 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import bounded, small_batches, staged
 
 MIN_PAGES = 4
-MIN_SHARE = 0.3
 MAX_PART = 0.25
+COPY = 0.75
+COPY_OF_ARTICLE = 0.5
 
 # Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +47,10 @@ BLOCKS = frozenset(
     " th thead tr ul caption".split()
 )
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th figure figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Of an article's text blocks those that may be template: whole ones, and headings together with what follows.
+WHOLE_BLOCKS = HEADINGS | frozenset("p ul ol dl table figure".split())
+QUOTES = frozenset("blockquote pre".split())
 NOT_TEXT = frozenset(
     "head script style noscript template nav footer aside form iframe object embed svg canvas audio video map button"
     " select option input textarea label fieldset menu dialog title search noframes noembed applet".split()
@@ -88,6 +99,21 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003_000_037
 
 
+@dataclass
+class Part:
+    """An element that may be template: the text that is in it and in no smaller part, its place in blocks from the start
+    and the end of the region, whether it is a text block of an article, and the region's text."""
+
+    element: int
+    hash: int
+    size: int
+    before: int
+    after: int
+    held: bool
+    total: int
+    article: bool
+
+
 class Page:
     """The token stream of a page and its elements.
 
@@ -269,9 +295,9 @@ class Page:
     def _names(a: dict[str, str]) -> list[str]:
         return [w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")]
 
-    def subtrees(self) -> dict[int, int]:
-        """The hash of each element that may be template."""
-        prefix, text_upto, power = [0], [0], [1]
+    def subtrees(self) -> list[Part]:
+        """The elements of the main region that may be template."""
+        prefix, text_upto, power, blocks = [0], [0], [1], [0]
         for kind, value in self.tokens:
             if kind == "t":
                 words = " ".join(value.split())
@@ -283,23 +309,46 @@ class Page:
             prefix.append((prefix[-1] * _BASE + h) % _PRIME)
             text_upto.append(text_upto[-1] + len(words))
             power.append(power[-1] * _BASE % _PRIME)
-        limit = MAX_PART * sum(text_upto[b] - text_upto[a] for a, b in self.region)
-        out = {}
+            blocks.append(blocks[-1] + (kind == "<" and self.tag[value] in BLOCKS and not self.out[value]))
+        total = sum(text_upto[b] - text_upto[a] for a, b in self.region)
+        starts = [a for a, _ in self.region]
+        out, taken, quoted = [], {}, []
         for e, tag in enumerate(self.tag):
+            p = self.parent[e]
+            quoted.append(tag in QUOTES or (p >= 0 and quoted[p]))
+            taken[e] = taken.get(p, -1)  # the nearest part around
             a, b = self.start[e], self.end[e]
             text = text_upto[b] - text_upto[a]
-            if not text or tag in ("html", "head", "title", "meta"):
+            at = bisect.bisect_right(starts, a) - 1
+            if at < 0 or b > self.region[at][1] or (a, b) == self.region[at] or not text or text > MAX_PART * total:
+                continue
+            if tag in ("html", "head", "title", "meta") or tag not in BLOCKS or self.out[e] or quoted[e]:
                 continue
-            inside = any(x <= a and b <= y for x, y in self.region)
-            around = any(a <= x and y <= b for x, y in self.region)
-            if around or (inside and (text > limit or (self.has_article and tag in TEXT_BLOCKS) or tag not in BLOCKS)):
+            held = self.has_article and tag in TEXT_BLOCKS
+            if held and tag not in WHOLE_BLOCKS:
                 continue
-            out[e] = (prefix[b] - prefix[a] * power[b - a]) % _PRIME
+            x, y = self.region[at]
+            hash_ = (prefix[b] - prefix[a] * power[b - a]) % _PRIME
+            part = Part(e, hash_, text, blocks[a] - blocks[x], blocks[y] - blocks[b], held, total, self.has_article)
+            if taken[e] >= 0:
+                out[taken[e]].size -= text
+            taken[e] = len(out)
+            out.append(part)
         return out
 
+    def _deleted(self, template) -> set[int]:
+        gone = {x.element for x in self.subtrees() if x.hash in template}
+        following: dict[int, int] = {}
+        for e in range(len(self.tag) - 1, -1, -1):
+            after = following.get(self.parent[e])
+            if e in gone and self.has_article and self.tag[e] in HEADINGS and after not in gone:
+                gone.discard(e)
+            following[self.parent[e]] = e
+        return gone
+
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """The blocks of the main region, without what is template or declared not to be text."""
-        gone = {e for e, h in self.subtrees().items() if h in template} if template else ()
+        gone = self._deleted(template) if template else ()
         blocks, parts = [], []
 
         def flush():
@@ -332,25 +381,45 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+_PARTS = "host string, page long, subtree long, share float, before int, after int, held boolean, article boolean"
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("subtree", pa.int64()), ("share", pa.float32()), ("before", pa.int32()), ("after", pa.int32()), ("held", pa.bool_()), ("article", pa.bool_())])
     for batch in batches:
-        hosts, pages, hashes = [], [], []
+        rows = []
         for host, page, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for h in set(Page(source or "").subtrees().values()):
-                hosts.append(host)
-                pages.append(page)
-                hashes.append(h)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "subtree"])
+            first: dict[int, list] = {}
+            for x in Page(source or "").subtrees():
+                share = x.size / x.total
+                if x.hash in first:
+                    first[x.hash][3] += share
+                else:
+                    first[x.hash] = [host, page, x.hash, share, x.before, x.after, x.held, x.article]
+            rows += first.values()
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _top_place(parts: DataFrame, place: str) -> DataFrame:
+    """Per subtree of a host: on how many pages it is, and on how many of them at its commonest place."""
+    at = parts.groupBy("host", "subtree", place).agg(F.count("*").alias("n"), F.min("held").alias("held"))
+    return at.groupBy("host", "subtree").agg(F.sum("n").alias("n"), F.max("n").alias(f"top_{place}"), F.min("held").alias("held"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(page, subtrees): for each page with template on it, by the hash of host and source, the subtrees to delete."""
-    found = staged(pages.select("host", "page", "html").mapInArrow(_found, "host string, page long, subtree long").distinct(), "subtrees")
-    total = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    often = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    often = often.join(total, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "subtree")
-    often = bounded(staged(often, "template"))
-    return staged(found.join(often, ["host", "subtree"]).groupBy("page").agg(F.collect_list("subtree").alias("subtrees")), "deleted")
+    found = staged(pages.select("host", "page", "html").mapInArrow(_found, _PARTS).dropDuplicates(["page", "subtree"]), "subtrees")
+    often = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "subtree")
+    recurring = staged(found.join(bounded(staged(often, "often")), ["host", "subtree"]), "recurring")
+    copy = F.col("recurs") > F.when(F.col("article"), COPY_OF_ARTICLE).otherwise(COPY)
+    copies = recurring.groupBy("page").agg(F.sum("share").alias("recurs"), F.first("article").alias("article")).where(copy)
+    evidence = staged(recurring.join(copies.select("page"), "page", "left_anti"), "evidence")
+    counts = _top_place(evidence, "before").join(_top_place(evidence, "after").select("host", "subtree", "top_after"), ["host", "subtree"])
+    top = F.greatest("top_before", "top_after")
+    fixed = ~F.col("held") | ((top >= MIN_PAGES) & (2 * top >= F.col("n")))
+    template = bounded(staged(counts.where((F.col("n") >= MIN_PAGES) & fixed).select("host", "subtree"), "template"))
+    return staged(recurring.join(template, ["host", "subtree"]).groupBy("page").agg(F.collect_list("subtree").alias("subtrees")), "deleted")
 
 
 def _texts(source: pa.Array, subtrees: pa.Array) -> pa.Array:

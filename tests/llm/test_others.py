@@ -113,6 +113,35 @@ def test_site_template(spark):
     assert text_report(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_template_inside_articles(spark):
+    """Only the counts can tell: all blocks are paragraphs, lists and headings of articles without a name."""
+    box = "<p>Subscribe to our letter.</p>"
+    links = "<h2>Read more</h2><ul><li>One<li>Two</ul>"
+    quote = "<p>To be, or not to be, he said.</p>"
+
+    def own(i, n=6):
+        return [f"<p>Own passage {k} of article {i} " + f"word{i * 7 + k} " * 8 + "</p>" for k in range(n)]
+
+    rows = []
+    for i in range(200):  # a large host: box on 8 pages, quote on 6 of the others at different places, links on 100
+        p = own(i)
+        if 20 <= i < 26:
+            p.insert(i - 20, quote)
+            p += own(1000 + i, 2 * (i - 20))
+        body = "<h2>Introduction</h2>" + "".join(p) + (box if i < 8 else "") + (links if i % 2 else "")
+        rows.append((i, f"http://big.example/{i}", f"<article>{body}</article>"))
+    copied = own(5000, 10)
+    for i in range(6):  # one article at six addresses, with another date each
+        rows.append((300 + i, f"http://copy.example/{i}", "<article>" + "".join(copied) + f"<p>Read on day {i}</p></article>"))
+    pages = spark.createDataFrame([(*r, "t", "h") for r in rows], PAGES).repartition(3)
+    got = {r.page_id: r.text for r in text_report(pages).collect()}
+    assert all("Subscribe" not in got[i] for i in range(8))
+    assert all("Read more" not in got[i] and "Two" not in got[i] for i in range(200))
+    assert all("To be, or not to be" in got[i] for i in range(20, 26))
+    assert all(got[i].startswith("Introduction\n") and got[i].count("Own passage") >= 6 for i in range(200))
+    assert all(got[300 + i].count("Own passage") == 10 and got[300 + i].endswith(f"day {i}") for i in range(6))
+
+
 def embeddings(seed=3, dims=16):
     rng = np.random.default_rng(seed)
     rows = []
