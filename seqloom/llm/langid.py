@@ -10,6 +10,10 @@ Only the fit is bounded: it sees SAMPLE labelled rows, spread evenly over the la
 dictionary has at most MAX_GRAMS n-grams of the landmarks (of those whose slots in the hashed table collide, the more
 frequent). Prediction reads every whole text and nothing but the text.
 
+A score is relative to the other languages, so it cannot tell that a text is in none of them. The filter of the stage
+therefore asks how many of the text's 3-grams the dictionary has: a text in a learned language has at least SLACK times
+the share that all but QUANTILE of the labelled rows fitted on have (`LanguageModel.least`), whatever the number of languages.
+
 Null texts and texts without a letter are 'und' with score 0; so is everything if no labelled row exists. Ties go to
 the first language in sorted order. Repeated rows get equal answers; other columns are carried along untouched.
 """
@@ -32,7 +36,7 @@ MAX_GRAMS = 1 << 13
 TABLE_BITS = 20
 RIDGE = 1e-3
 UNDETERMINED = "und"
-MIN_SCORE = 0.2
+QUANTILE, SLACK = 0.05, 0.5
 
 
 @cache
@@ -73,7 +77,8 @@ def _slots(keys: np.ndarray, n: int) -> np.ndarray:
 class LanguageModel:
     """The dictionary, the landmarks' gram sets and the weights; small, and the same size for any corpus."""
 
-    def __init__(self, languages: list[str], grams: list[np.ndarray], landmarks: np.ndarray, project: np.ndarray, weights: np.ndarray):
+    def __init__(self, languages: list[str], grams: list[np.ndarray], landmarks: np.ndarray, project: np.ndarray, weights: np.ndarray, least: float = 0.0):
+        self.least = least
         self.languages, self.grams, self.landmarks, self.project, self.weights = languages, grams, landmarks, project, weights
         self._tables = None
 
@@ -102,6 +107,12 @@ class LanguageModel:
                 row[place[at[held[at] == keys]]] = 1
         return scaled(x, self.grams)
 
+    def known(self, codes: np.ndarray) -> float:
+        """The share of the text's 3-grams, repeats included, that the dictionary has; 0 if there is none."""
+        held, _ = self.tables()[-1]
+        keys = gram_keys(codes, SIZES[-1])
+        return float((held[_slots(keys, SIZES[-1])] == keys).mean()) if len(keys) else 0.0
+
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         kernel = self.presence(texts) @ self.landmarks.T
         features = kernel @ self.project
@@ -162,10 +173,12 @@ def _sample(labelled: DataFrame, size: int) -> DataFrame:
 
 
 def _gram_sets(text: pa.Array) -> pa.Array:
+    """Per text its distinct n-grams for each n, and how often each of the longest ones occurs."""
     rows = []
     for t in text.to_pylist():
         codes = code_points(t or b"")
-        rows.append([np.unique(gram_keys(codes, n)).view(np.int64) for n in SIZES])
+        sets = [np.unique(gram_keys(codes, n), return_counts=True) for n in SIZES]
+        rows.append([keys.view(np.int64) for keys, _ in sets] + [sets[-1][1]])
     return pa.array(rows, pa.list_(pa.list_(pa.int64())))
 
 
@@ -182,29 +195,37 @@ def fit(documents: DataFrame, size: int = SAMPLE) -> LanguageModel | None:
     rows = texts.select("rank", "doc_id", "lang", F.arrow_udf(_gram_sets, "array<array<long>>")("text").alias("sets")).toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
     sets = [[np.array(s, np.int64).view(np.uint64) for s in row] for row in rows["sets"].to_pylist()]
     known = [(lang, s) for lang, s in zip(rows["lang"].to_pylist(), sets, strict=True) if len(s[0])]
-    return solve([k[0] for k in known], [k[1] for k in known]) if known else None
+    if not known:
+        return None
+    model = solve([k[0] for k in known], [k[1][: len(SIZES)] for k in known])
+    shares = [s[-1][np.isin(s[-2], model.grams[-1])].sum() / s[-1].sum() for _, s in known if len(s[-1])]
+    model.least = SLACK * float(np.quantile(shares, QUANTILE)) if shares else 0.0
+    return model
 
 
 def predictor(model: LanguageModel | None):
-    """A column function: text as binary -> struct(lang, score)."""
+    """A column function: text as binary -> struct(lang, score, known); `known` is whether the text is in a learned language."""
 
     def predict(text: pa.Array) -> pa.Array:
-        langs, scores, step = [], [], 128
+        langs, scores, known, step = [], [], [], 128
         for start in range(0, len(text), step):
             texts = [code_points(t or b"") for t in text[start : start + step].to_pylist()]
             if model is None:
                 langs += [UNDETERMINED] * len(texts)
                 scores += [0.0] * len(texts)
+                known += [False] * len(texts)
                 continue
             found = model.scores(texts)
             best = found.argmax(1)
             for codes, b, f in zip(texts, best, found, strict=True):
                 langs.append(model.languages[b] if len(codes) else UNDETERMINED)
                 scores.append(float(np.clip((f[b] + 1) / 2, 0, 1)) if len(codes) else 0.0)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+                share = model.known(codes)
+                known.append(share > 0 and share >= model.least)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], ["lang", "score", "known"])
 
     # Not deterministic, so that a filter on the answer does not make Spark ask twice.
-    return F.arrow_udf(predict, "struct<lang string, score double>").asNondeterministic()
+    return F.arrow_udf(predict, "struct<lang string, score double, known boolean>").asNondeterministic()
 
 
 def identified(documents: DataFrame, model: LanguageModel | None = None, out: str = "language") -> DataFrame:
@@ -223,7 +244,7 @@ def language_report(documents: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is told with at least `min_score`, with the columns they came with."""
+def keep_identified(documents: DataFrame) -> DataFrame:
+    """The documents in a language that was learned, with the columns they came with."""
     rows = identified(documents, out="_language")
-    return rows.where((F.col("_language.lang") != UNDETERMINED) & (F.col("_language.score") >= min_score)).drop("_language")
+    return rows.where((F.col("_language.lang") != UNDETERMINED) & F.col("_language.known")).drop("_language")

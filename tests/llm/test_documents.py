@@ -104,6 +104,19 @@ def test_language_ignores_labels(spark):
     assert sorted(map(str, a)) == sorted(map(str, b.select("doc_id", "language").collect()))
 
 
+@pytest.mark.parametrize("n_languages", [2, 4])
+def test_language_filter_of_foreign_and_junk_texts(spark, n_languages):
+    rng = np.random.default_rng(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang").isin(["en", "fr", "de", "es"][:n_languages]))
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    junk = ["Это текст на незнакомом языке. " * 20, "これは知らない言葉の文章です。" * 20, "".join(rng.choice(signs, 4000)), "qxzjvkqx wjqzx kvqj " * 30, "1 2 3 x"]
+    bad = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    kept = langid.keep_identified(docs.unionByName(bad, allowMissingColumns=True)).select("doc_id").collect()
+    ids = [r.doc_id for r in kept]
+    assert not [i for i in ids if i >= 10**9]
+    assert len(ids) >= 0.98 * docs.count()
+
+
 def test_pieces_like_the_library(odd, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     texts = {r.doc_id: r.text or "" for r in odd.where("doc_id is not null").collect()}
