@@ -2,7 +2,10 @@
 
 A text is canonical in lower case, without lines that begin with a copyright mark, with equivalent spellings made one,
 and with every run of other characters than letters and digits as one space. Whole canonical texts, and canonical
-lines, are hashed (SHA-256) and joined to the digests of KNOWN, a fixed list that is small enough to broadcast.
+lines, are hashed (SHA-256) and joined to the digests of KNOWN and of the whole texts in the folder `texts`, a fixed list
+that is small enough to broadcast. A title of a short licence and 'All rights reserved' at the beginning do not count in
+this join (`canonical_digest` has them). A line with an SPDX-License-Identifier names every identifier of its expression.
+LICENSE_SQL knows the list KNOWN and exact canonical texts alone.
 
 All DataFrame functions. Null texts are empty; empty texts and lines match nothing. Results hang on the text alone:
 repeated rows get equal ones, extra columns are ignored.
@@ -10,6 +13,9 @@ repeated rows get equal ones, extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,10 +113,49 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+#: File below `texts` -> licence, named as in KNOWN.
+TEXTS = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3",
+    "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+_TITLE = (
+    r"^(?:(?:the )?(?:mit license(?: mit)?|mit|isc license(?: isc)?|bsd license|bsd zero clause license(?: 0bsd)?|zero clause bsd license"
+    r"|(?:simplified |new |modified |revised |original )?bsd [0-4] clause(?: (?:simplified|new|modified|revised|new or revised))? license"
+    r"|(?:simplified|new|modified|revised) bsd license) )?(?:all rights reserved )*"
+)
+_ID = r"\(*[ \t]*[\p{L}\p{N}][\p{L}\p{N}.+\-]*[ \t]*\)*"
+_SPDX = r"(?i)spdx[ \t]*-[ \t]*license[ \t]*-[ \t]*identifier[ \t]*:[ \t]*(" + _ID + r"(?:[ \t]+(?:and|or|with)[ \t]+" + _ID + ")*)"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of TEXTS: as published, with the owner's line of its notice filled in, and without what follows the terms."""
+    out = []
+    for file, name in TEXTS.items():
+        text = resources.files("seqloom.llm").joinpath("texts", f"{file}.txt").read_text("utf-8")
+        forms = [text, re.sub(r"(?m)^[^\w\n]*copyright (?:\[yyyy\]|<year>|(?:\(c\) *)?(?:year|19yy))[^\n]*$", "", text, flags=re.I)]
+        terms, mark, _ = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(name, form) for form in forms + ([terms, terms + mark] if mark else [])]
+    return out
+
+
 def known(spark: SparkSession) -> DataFrame:
     """(digest, license); one licence per digest."""
-    rows = spark.createDataFrame(KNOWN, "license string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    rows = spark.createDataFrame(KNOWN + whole_texts(), "license string, text string")
+    return rows.groupBy(body_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+
+
+def body_digest(text: Column) -> Column:
+    """The digest without a short licence's title."""
+    return F.sha2(F.regexp_replace(canonical(text), _TITLE, ""), 256)
+
+
+def spdx(line: Column) -> Column:
+    """The licence identifiers of an SPDX line, exceptions left out; null for other lines."""
+    expression = F.regexp_replace(F.regexp_extract(line, _SPDX, 1), r"(?i)[ \t]with[ \t]+[^ \t()]+", " ")
+    names = F.filter(F.split(expression, r"(?i)[ \t()]+(?:(?:and|or)(?=[ \t()])[ \t()]+)*"), lambda x: x.rlike(r"^[\p{L}\p{N}]"))
+    names = F.transform(names, lambda x: F.regexp_replace(x, r"[.\-]+$", ""))
+    return F.when(F.lower(line).contains("spdx"), F.when(F.size(names) > 0, names))
 
 
 def license_report(documents: DataFrame) -> DataFrame:
@@ -118,22 +163,24 @@ def license_report(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     table = F.broadcast(known(spark))  # at most len(KNOWN) rows
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", digest(text).alias("digest"), F.sha2(text, 256).alias("text_digest"))
+    rows = documents.select("doc_id", digest(text).alias("canonical_digest"), body_digest(text).alias("digest"), F.sha2(text, 256).alias("text_digest"))
     lines = documents.select(F.sha2(text, 256).alias("text_digest"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     found = (
-        lines.withColumn("digest", digest(F.col("line")))
-        .join(table, "digest")
+        lines.select("text_digest", "at", digest(F.col("line")).alias("digest"), spdx(F.col("line")).alias("spdx"))
+        .join(table, "digest", "left")
+        .withColumn("names", F.when(F.col("license").isNotNull(), F.array("license")).otherwise(F.col("spdx")))
+        .where("names is not null")
         .groupBy("text_digest", "at")
-        .agg(F.min("license").alias("license"))
+        .agg(F.min("names").alias("names"))
         .groupBy("text_digest")
-        .agg(F.array_join(F.sort_array(F.collect_set("license")), " ").alias("line_licenses"), F.count("*").alias("n_license_lines"))
+        .agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("names")))), " ").alias("line_licenses"), F.count("*").alias("n_license_lines"))
     )
     return (
         rows.join(table, "digest", "left")
         .join(found, "text_digest", "left")
         .select(
             "doc_id",
-            F.col("digest").alias("canonical_digest"),
+            "canonical_digest",
             F.col("license").alias("text_license"),
             F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
             F.coalesce("n_license_lines", F.lit(0).cast("long")).alias("n_license_lines"),

@@ -295,3 +295,29 @@ def test_licences(spark, odd, empty):
     assert got[4] == (None, "MIT", 1) and got[5] == (None, "Apache-2.0 CC-BY-NC-4.0", 2)
     assert got[6] == (None, "", 0) and got[7] == (None, "", 0)
     assert licenses.license_report(odd).count() == odd.count() and licenses.license_report(empty).count() == 0
+
+
+def test_whole_licence_texts_and_identifiers(spark):
+    full = {n: t for n, t in reversed(licenses.whole_texts())}
+    bsd3 = next(t for n, t in licenses.KNOWN if n == "BSD-3-Clause")
+    isc = next(t for n, t in licenses.KNOWN if n == "ISC")
+    cases = [(t, n, None) for n, t in full.items()]
+    apache = full["Apache-2.0"]
+    cases += [
+        (apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Someone"), "Apache-2.0", None),
+        (apache[: apache.index("END OF TERMS")], "Apache-2.0", None),
+        ("BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd3, "BSD-3-Clause", None),
+        ("ISC License\n\nCopyright (c) 2020, Someone\n\n" + isc, "ISC", None),
+        (apache + " more", None, None),
+        ("x\n// SPDX-License-Identifier: LGPL-2.1-or-later\ny", None, "LGPL-2.1-or-later"),
+        ("# SPDX-License-Identifier: (MIT OR EPL-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\nx", None, "EPL-2.0 GPL-2.0-only MIT"),
+        ("/* SPDX-License-Identifier: Unlicense */\nSPDX-License-Identifier: MIT\nx", None, "MIT Unlicense"),
+        ("SPDX-License-Identifier: Zlib as the file says (and more)", None, "Zlib"),
+        ("SPDX-License-Identifier:\nspdx", None, ""),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_report(rows).collect()}
+    for i, (text, whole, lines) in enumerate(cases):
+        assert got[i].text_license == whole, text[:80]
+        assert lines is None or got[i].line_licenses == lines, text
+    assert len(full) == len(licenses.TEXTS)
