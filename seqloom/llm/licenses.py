@@ -124,7 +124,7 @@ _TITLE = (
     r"|(?:simplified |new |modified |revised |original )?bsd [0-4] clause(?: (?:simplified|new|modified|revised|new or revised))? license"
     r"|(?:simplified|new|modified|revised) bsd license) )?(?:all rights reserved )*"
 )
-_ID = r"\(*[ \t]*[\p{L}\p{N}][\p{L}\p{N}.+\-]*[ \t]*\)*"
+_ID = r"\(*[ \t]*[\p{L}\p{N}][\p{L}\p{N}.+\-]*(?:[ \t]*\))*"
 _SPDX = r"(?i)spdx[ \t]*-[ \t]*license[ \t]*-[ \t]*identifier[ \t]*:[ \t]*(" + _ID + r"(?:[ \t]+(?:and|or|with)[ \t]+" + _ID + ")*)"
 
 
