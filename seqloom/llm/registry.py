@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import archives, chat, html, langid, lattice, licenses, minhash, mixing, pieces, quality
+from seqloom.llm import archives, chat, html, langid, lattice, licenses, minhash, mixing, packing, phrases, pieces, quality, repair
 from seqloom.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_lattice_dedup": lambda spark, d: lattice.near_duplicates(table(spark, d, "embeddings")),
     "op9_minhash_dedup": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
     "op10_mixing": lambda spark, d: mixing.mixed(table(spark, d, "documents")),
+    "op11_packing": lambda spark, d: packing.packed(table(spark, d, "documents")),
+    "op12_phrases": lambda spark, d: phrases.collocations(table(spark, d, "documents")),
+    "op13_repair": lambda spark, d: repair.repair_report(table(spark, d, "conversations")),
 }
 ORACLES = {
     "op2_quality_rules": quality.QUALITY_SQL,
@@ -23,4 +26,6 @@ ORACLES = {
     "op5_chat_format": chat.CHAT_SQL,
     "op7_license_scan": licenses.LICENSE_SQL,
     "op10_mixing": mixing.MIXING_SQL,
+    "op12_phrases": phrases.PHRASES_SQL,
+    "op13_repair": repair.REPAIR_SQL,
 }
