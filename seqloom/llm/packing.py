@@ -16,14 +16,19 @@ rows. Other columns are ignored by `packed`.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex as re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from seqloom.llm.common import small_batches, staged
 from seqloom.llm.configurations import Run, planned
@@ -31,7 +36,10 @@ from seqloom.llm.configurations import Run, planned
 CAPACITY = 1024
 END_ID = 2
 PART = 1 << 18  # characters encoded at once
-BATCH = 1 << 20  # characters of texts encoded in one call
+KNOWN = 1 << 19  # pre-tokens that a worker remembers
+# How a byte-level BPE tokenizer cuts text, and characters that texts are not cut around here.
+PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+OTHER_CHARACTERS = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ͯΆ-ϿЀ-ԧ‐-‧₠-€←-⇿]"
 
 
 def default_tokenizer() -> str:
@@ -59,31 +67,46 @@ def parts(text: str, size: int = PART) -> list[str]:
     return out
 
 
-def _encoded(path: str, texts: Iterator[str]) -> Iterator[np.ndarray]:
-    """The ids of each text, a bounded number of characters at a time."""
-    import os
+class Encoder:
+    """The ids of texts. The tokenizer encodes each distinct pre-token once; those met before are looked up.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-
-    def ids(strings: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in model.encode_batch_fast(strings, add_special_tokens=False)]
+    Pre-tokens are cut here only in texts of characters whose kind all Unicode versions agree on, and that hold no special
+    token; other texts the tokenizer takes whole.
+    """
 
-    waiting, size = [], 0
-    for text in texts:
-        if len(text) > PART:
-            yield from ids(waiting)
-            waiting, size = [], 0
-            yield np.concatenate([ids([p])[0] for p in parts(text)])
-            continue
-        waiting.append(text)
-        size += len(text)
-        if size > BATCH:
-            yield from ids(waiting)
-            waiting, size = [], 0
-    yield from ids(waiting)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
+        self.model = Tokenizer.from_file(path)
+        kept = json.loads(self.model.to_str())
+        shape = kept["pre_tokenizer"] or {}
+        plain = shape.get("type") == "ByteLevel" and shape.get("use_regex") and not shape.get("add_prefix_space") and not kept["normalizer"]
+        special = [re.escape(t["content"]) for t in kept["added_tokens"]]
+        self.other = re.compile("|".join([OTHER_CHARACTERS, *special]) if plain else "")
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def part(self, text: str) -> bytes:
+        if self.other.search(text):
+            return self.whole([text])[0]
+        words = PRE_TOKEN.findall(text)
+        known = self.known
+        new = list({w for w in words if w not in known})
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = list(set(words))
+        for at in range(0, len(new), 10_000):
+            known.update(zip(new[at : at + 10_000], self.whole(new[at : at + 10_000]), strict=True))
+        return b"".join([known[w] for w in words])
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([self.part(p) for p in parts(text)]), "<u4")
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -102,11 +125,12 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
+        encode = encoder(path)
         made = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             origin, rows, ids = [], [], []
-            for k, found in enumerate(_encoded(path, (t.as_py() for t in batch["text"]))):
-                found = np.append(found, np.uint32(end_id)).astype("<u4")
+            for k, text in enumerate(batch["text"]):
+                found = np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4")
                 for number, (start, stop) in enumerate(cuts(len(found), capacity)):
                     part = found[start:stop]
                     origin.append(k)

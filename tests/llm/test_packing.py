@@ -71,6 +71,18 @@ def test_text_in_parts():
     assert packing.parts("x" * 100, 10) == ["x" * 100] and len(packing.parts("ab " * 100, 10)) > 20
 
 
+def test_encoder_like_the_library(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, encode, rng = tokenizer(), packing.Encoder(path), np.random.default_rng(6)
+    monkeypatch.setattr(packing, "KNOWN", 300)
+    signs = [*"abcZ   \x27\x27\x27sdt.,!-19\n\t\r²½ªéßšΩжѣ", "'ll", "'ve", " the", "…", "́"]
+    odd = [" ", " ", "日本", "🙂", "\x1c", "\x85", "<|endoftext|>", "͸"]
+    texts = ["", "<|endoftext|>", "a<|endoftext|> b", "日本語", *("".join(rng.choice(signs + odd, n)) for n in rng.integers(1, 60, 1500))]
+    texts += ["".join(rng.choice(signs, n)) for n in rng.integers(1, 200, 1500)]
+    for t in texts:
+        assert encode(t).tolist() == model.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans(seed):
     rng = np.random.default_rng(seed)
