@@ -56,7 +56,7 @@ def made():
 @pytest.mark.parametrize("tight", [False, True])
 def test_phrases(spark, monkeypatch, hot, tight):
     if tight:  # few ranks, hardly any bitmap, pieces cut into rows, every pair hot
-        for name, value in {"CODES": 3, "FILTER_BITS": 128, "CHUNK": 3, "HOT": 1000, "SALTS": 3}.items():
+        for name, value in {"CODES": 3, "FILTER_BITS": 128, "CHUNK": 3, "BLOCK": 50, "HOT": 1000, "SALTS": 3}.items():
             monkeypatch.setattr(phrases, name, value)
         monkeypatch.setattr(phrases, "bounded", lambda df: df)
     rows = made()
