@@ -3,12 +3,12 @@
 Every element of a page is a range of its token stream, so the hash of a subtree (tags, class, id and text) is a
 difference of rolling prefix hashes. Spark counts on how many different pages of a host each subtree of the main region
 (the outermost article, else main, else the body) occurs; those on at least MIN_PAGES, however many pages the host has,
-recur. A page of whose region more than COPY recurs is a copy of another and no evidence: what recurs there is the
-article's own. A subtree is the site's template, and deleted on all pages of the host, if it recurs on MIN_PAGES pages
+recur. A page of whose region COPY or more recurs, in characters and in lines, is a copy of another and no evidence:
+what recurs there is the article's own. A subtree is the site's template, and deleted on all pages of the host, if it recurs on MIN_PAGES pages
 that differ in the rest; paragraphs, lists, tables and figures of an article must besides stand at the same place
-(counted in blocks from the start or from the end) on half of these pages, as a quoted passage does not. Only subtrees
-with at most MAX_PART of the region's text can be template, quotations and preformatted text never are, and headings go
-only together with the block that follows them.
+(counted in blocks from the start or from the end) on half of these pages, as a quoted passage does not. However long or
+short they are, quotations and preformatted text never are template, and headings go only together with the block that
+follows them. What is on fewer than MIN_PAGES pages of a host stays.
 What the markup itself declares not to be the article (navigation, forms, asides, adverts, comments, scripts, ...) is
 deleted too: its text may differ from page to page. A class or id declares it only as a whole name, on a container that
 holds neither the article nor most of the page's text.
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import bounded, small_batches, staged
 
 MIN_PAGES = 4
-MAX_PART = 0.25
 COPY = 0.75
 COPY_OF_ARTICLE = 0.5
 
@@ -91,9 +90,13 @@ IMPLIED_END = {
 SCOPES = frozenset("table td th caption button object article section main div body html".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
 )
+#: A tag of which a quote or the end is missing ends at the next ">".
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
+#: So many tags of a page are searched to its end for the missing quote; in later ones quotes hide no ">".
+MAX_BROKEN = 64
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003_000_037
@@ -101,16 +104,19 @@ _PRIME, _BASE = (1 << 61) - 1, 1_000_003_000_037
 
 @dataclass
 class Part:
-    """An element that may be template: the text that is in it and in no smaller part, its place in blocks from the start
-    and the end of the region, whether it is a text block of an article, and the region's text."""
+    """An element that may be template: the characters and lines that are in it and in no smaller part, its place in blocks
+    from the start and the end of the region, whether it is a text block of an article, and the region's characters and
+    lines."""
 
     element: int
     hash: int
     size: int
+    lines: int
     before: int
     after: int
     held: bool
     total: int
+    total_lines: int
     article: bool
 
 
@@ -129,26 +135,40 @@ class Page:
         self.start: list[int] = []
         self.end: list[int] = []
         self._open: list[int] = []
+        # Where in it there are elements of each tag, blocks, and elements that </p> does not reach out of.
+        self._at: dict[str, list[int]] = {}
+        self._blocks: list[int] = []
+        self._scopes: list[int] = []
         self._read(source)
         self._mark()
 
+    def _places(self, tag: str) -> list[list[int]]:
+        out = [self._at.setdefault(tag, [])]
+        if tag in BLOCKS:
+            out.append(self._blocks)
+            if tag in SCOPES:
+                out.append(self._scopes)
+        return out
+
+    def _last(self, *tags: str) -> int:
+        """The depth of the innermost open element of these tags; -1 if there is none."""
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=-1)
+
     def _close_to(self, depth: int) -> None:
         while len(self._open) > depth:
             e = self._open.pop()
+            for places in self._places(self.tag[e]):
+                places.pop()
             self.tokens.append((">", e))
             self.end[e] = len(self.tokens)
 
     def _close_within(self, kinds, stops) -> None:
-        for depth in range(len(self._open) - 1, -1, -1):
-            tag = self.tag[self._open[depth]]
-            if tag in kinds:
-                below = depth
-                while below > 0 and self.tag[self._open[below - 1]] in kinds:
-                    below -= 1
-                self._close_to(below)
-                return
-            if tag in stops:
-                return
+        depth = self._last(*kinds)
+        if depth < 0 or self._last(*(t for t in stops if t not in kinds)) > depth:
+            return
+        while depth > 0 and self.tag[self._open[depth - 1]] in kinds:
+            depth -= 1
+        self._close_to(depth)
 
     def _begin(self, tag: str, raw: str) -> None:
         if tag in IMPLIED_END:
@@ -167,26 +187,27 @@ class Page:
         self.end.append(len(self.tokens) + 1)
         self.tokens.append(("<", e))
         if tag not in VOID:
+            for places in self._places(tag):
+                places.append(len(self._open))
             self._open.append(e)
 
     def _finish(self, tag: str) -> None:
-        for depth in range(len(self._open) - 1, -1, -1):
-            other = self.tag[self._open[depth]]
-            if other == tag:
-                self._close_to(depth)
-                return
-            # The end tag of an inline element does not reach out of its block, nor does </p> out of its container.
-            if other in BLOCKS and (tag not in BLOCKS or (tag == "p" and other in SCOPES)):
-                return
+        depth = self._last(tag)
+        # The end tag of an inline element does not reach out of its block, nor does </p> out of its container.
+        around = self._blocks if tag not in BLOCKS else self._scopes if tag == "p" else []
+        if depth >= 0 and not (around and around[-1] > depth):
+            self._close_to(depth)
 
     def _read(self, source: str) -> None:
-        at, size = 0, len(source)
+        at, size, broken = 0, len(source), 0
         while at < size:
             lt = source.find("<", at)
             if lt < 0:
                 self.tokens.append(("t", source[at:]))
                 break
-            m = _TOKEN.match(source, lt)
+            m = _TOKEN.match(source, lt) if broken < MAX_BROKEN or source.startswith(("<!", "<?"), lt) else None
+            if not m and (m := _BROKEN.match(source, lt)):
+                broken += 1
             if not m:
                 nxt = source.find("<", lt + 1)
                 nxt = size if nxt < 0 else nxt
@@ -196,9 +217,9 @@ class Page:
             if lt > at:
                 self.tokens.append(("t", source[at:lt]))
             at = m.end()
-            closing, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not tag:
+            if not m[2]:
                 continue
+            closing, tag, raw = m[1], m[2], m[3]
             tag = tag.lower()
             if closing:
                 self._finish(tag)
@@ -226,6 +247,9 @@ class Page:
                 skip = max(skip, self.end[value])
             upto.append(upto[-1] + (len("".join(value.split())) if kind == "t" and at >= skip else 0))
         size = [upto[b] - upto[a] for a, b in zip(self.start, self.end, strict=True)]
+        visible = [0]
+        for kind, value in self.tokens:
+            visible.append(visible[-1] + (kind == "t" and not value.isspace()))
         named = [not plain[e] and self._chrome(e, inside[e]) for e in range(len(self.tag))]
         below = []
         for e, n in enumerate(named):
@@ -248,7 +272,7 @@ class Page:
         region: list[int] = []
         for kind in ("article", "main", "body"):
             region = [e for e in shown if (self.tag[e] == kind or (kind == "main" and self.attrs[e].get("role") == "main"))]
-            region = [e for e in region if self._has_text(e)]
+            region = [e for e in region if visible[self.end[e]] > visible[self.start[e]]]
             if region:
                 break
         # The outermost of them only.
@@ -261,9 +285,6 @@ class Page:
         if not region:
             self.region = [(0, len(self.tokens))]
 
-    def _has_text(self, e: int) -> bool:
-        return any(k == "t" and not v.isspace() for k, v in self.tokens[self.start[e] : self.end[e]])
-
     def _hidden(self, e: int) -> bool:
         a = self.attrs[e]
         if not a:
@@ -297,20 +318,25 @@ class Page:
 
     def subtrees(self) -> list[Part]:
         """The elements of the main region that may be template."""
-        prefix, text_upto, power, blocks = [0], [0], [1], [0]
+        prefix, text_upto, power, blocks, lines, begun = [0], [0], [1], [0], [0], False
         for kind, value in self.tokens:
+            new = False
             if kind == "t":
                 words = " ".join(value.split())
                 seen = words
+                new, begun = bool(words) and not begun, begun or bool(words)
             else:
+                begun = begun and self.tag[value] not in BLOCKS
                 a = self.attrs[value]
                 words, seen = "", f"{kind}{self.tag[value]} {a.get('class', '')} {a.get('id', '')}"
             h = int.from_bytes(hashlib.blake2b(seen.encode("utf-8", "replace"), digest_size=7).digest()) + 1
             prefix.append((prefix[-1] * _BASE + h) % _PRIME)
             text_upto.append(text_upto[-1] + len(words))
             power.append(power[-1] * _BASE % _PRIME)
+            lines.append(lines[-1] + new)
             blocks.append(blocks[-1] + (kind == "<" and self.tag[value] in BLOCKS and not self.out[value]))
         total = sum(text_upto[b] - text_upto[a] for a, b in self.region)
+        total_lines = sum(lines[b] - lines[a] for a, b in self.region)
         starts = [a for a, _ in self.region]
         out, taken, quoted = [], {}, []
         for e, tag in enumerate(self.tag):
@@ -320,7 +346,7 @@ class Page:
             a, b = self.start[e], self.end[e]
             text = text_upto[b] - text_upto[a]
             at = bisect.bisect_right(starts, a) - 1
-            if at < 0 or b > self.region[at][1] or (a, b) == self.region[at] or not text or text > MAX_PART * total:
+            if at < 0 or b > self.region[at][1] or (a, b) == self.region[at] or not text:
                 continue
             if tag in ("html", "head", "title", "meta") or tag not in BLOCKS or self.out[e] or quoted[e]:
                 continue
@@ -329,9 +355,10 @@ class Page:
                 continue
             x, y = self.region[at]
             hash_ = (prefix[b] - prefix[a] * power[b - a]) % _PRIME
-            part = Part(e, hash_, text, blocks[a] - blocks[x], blocks[y] - blocks[b], held, total, self.has_article)
+            part = Part(e, hash_, text, lines[b] - lines[a], blocks[a] - blocks[x], blocks[y] - blocks[b], held, total, total_lines, self.has_article)
             if taken[e] >= 0:
                 out[taken[e]].size -= text
+                out[taken[e]].lines -= part.lines
             taken[e] = len(out)
             out.append(part)
         return out
@@ -381,21 +408,22 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-_PARTS = "host string, page long, subtree long, share float, before int, after int, held boolean, article boolean"
+_PARTS = "host string, page long, subtree long, share float, lines float, before int, after int, held boolean, article boolean"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("subtree", pa.int64()), ("share", pa.float32()), ("before", pa.int32()), ("after", pa.int32()), ("held", pa.bool_()), ("article", pa.bool_())])
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("subtree", pa.int64()), ("share", pa.float32()), ("lines", pa.float32()), ("before", pa.int32()), ("after", pa.int32()), ("held", pa.bool_()), ("article", pa.bool_())])
     for batch in batches:
         rows = []
         for host, page, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             first: dict[int, list] = {}
             for x in Page(source or "").subtrees():
-                share = x.size / x.total
+                share, lines = x.size / x.total, x.lines / max(x.total_lines, 1)
                 if x.hash in first:
                     first[x.hash][3] += share
+                    first[x.hash][4] += lines
                 else:
-                    first[x.hash] = [host, page, x.hash, share, x.before, x.after, x.held, x.article]
+                    first[x.hash] = [host, page, x.hash, share, lines, x.before, x.after, x.held, x.article]
             rows += first.values()
         columns = zip(*rows, strict=True) if rows else [()] * len(schema)
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -412,8 +440,9 @@ def templates(pages: DataFrame) -> DataFrame:
     found = staged(pages.select("host", "page", "html").mapInArrow(_found, _PARTS).dropDuplicates(["page", "subtree"]), "subtrees")
     often = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "subtree")
     recurring = staged(found.join(bounded(staged(often, "often")), ["host", "subtree"]), "recurring")
-    copy = F.col("recurs") > F.when(F.col("article"), COPY_OF_ARTICLE).otherwise(COPY)
-    copies = recurring.groupBy("page").agg(F.sum("share").alias("recurs"), F.first("article").alias("article")).where(copy)
+    copy = F.least("recurs", "lines") >= F.when(F.col("article"), COPY_OF_ARTICLE).otherwise(COPY)
+    sums = [F.sum("share").alias("recurs"), F.sum("lines").alias("lines"), F.first("article").alias("article")]
+    copies = recurring.groupBy("page").agg(*sums).where(copy)
     evidence = staged(recurring.join(copies.select("page"), "page", "left_anti"), "evidence")
     counts = _top_place(evidence, "before").join(_top_place(evidence, "after").select("host", "subtree", "top_after"), ["host", "subtree"])
     top = F.greatest("top_before", "top_after")

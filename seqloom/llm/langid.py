@@ -20,6 +20,8 @@ the first language in sorted order. Repeated rows get equal answers; other colum
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -172,35 +174,46 @@ def _sample(labelled: DataFrame, size: int) -> DataFrame:
     return labelled.join(counts, "lang").select("doc_id", "lang", rank).orderBy("rank", "doc_id").limit(size)
 
 
-def _gram_sets(text: pa.Array) -> pa.Array:
-    """Per text its distinct n-grams for each n, and how often each of the longest ones occurs."""
-    rows = []
-    for t in text.to_pylist():
-        codes = code_points(t or b"")
-        sets = [np.unique(gram_keys(codes, n), return_counts=True) for n in SIZES]
-        rows.append([keys.view(np.int64) for keys, _ in sets] + [sets[-1][1]])
-    return pa.array(rows, pa.list_(pa.list_(pa.int64())))
+def _grams(text: bytes) -> list[np.ndarray]:
+    """The text's distinct n-grams for each n, and how often each of the longest ones occurs."""
+    codes = code_points(text)
+    sets = [np.unique(gram_keys(codes, n), return_counts=True) for n in SIZES]
+    return [keys for keys, _ in sets] + [sets[-1][1]]
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) of the labelled rows in their order -> the model, pickled; no row if no text has a letter."""
+    known = []
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            grams = _grams(text.as_py() or b"")
+            if len(grams[0]):
+                known.append((lang.as_py(), grams))
+    if known:
+        model = solve([lang for lang, _ in known], [g[: len(SIZES)] for _, g in known])
+        shares = [g[-1][np.isin(g[-2], model.grams[-1])].sum() / g[-1].sum() for _, g in known if len(g[-1])]
+        model.least = SLACK * float(np.quantile(shares, QUANTILE)) if shares else 0.0
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def fit(documents: DataFrame, size: int = SAMPLE) -> LanguageModel | None:
-    """A model from the labelled documents that are not held out; None if there are none."""
-    small_batches(documents.sparkSession)
+    """A model from the labelled documents that are not held out; None if there are none.
+
+    One task reads the texts of the sample, one by one, and hands back the model alone, which has the same size for any
+    corpus. Of several texts of one id and language that with the smallest hash counts.
+    """
+    small_batches(documents.sparkSession, 4 << 20)
     labelled = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     picked = _sample(labelled.select("doc_id", "lang"), size)
     texts = (
         labelled.select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
-        .join(F.broadcast(picked), ["doc_id", "lang"])  # at most `size` ids
-        .dropDuplicates(["doc_id", "lang"])
+        .join(F.broadcast(picked.distinct()), ["doc_id", "lang"])  # at most `size` ids
+        .groupBy("rank", "doc_id", "lang")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
-    rows = texts.select("rank", "doc_id", "lang", F.arrow_udf(_gram_sets, "array<array<long>>")("text").alias("sets")).toArrow().sort_by([("rank", "ascending"), ("doc_id", "ascending")])
-    sets = [[np.array(s, np.int64).view(np.uint64) for s in row] for row in rows["sets"].to_pylist()]
-    known = [(lang, s) for lang, s in zip(rows["lang"].to_pylist(), sets, strict=True) if len(s[0])]
-    if not known:
-        return None
-    model = solve([k[0] for k in known], [k[1][: len(SIZES)] for k in known])
-    shares = [s[-1][np.isin(s[-2], model.grams[-1])].sum() / s[-1].sum() for _, s in known if len(s[-1])]
-    model.least = SLACK * float(np.quantile(shares, QUANTILE)) if shares else 0.0
-    return model
+    ordered = texts.repartition(1).sortWithinPartitions("rank", "doc_id", "lang").select("lang", "text")
+    made = ordered.mapInArrow(_solved, "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
 
 
 def predictor(model: LanguageModel | None):
@@ -246,5 +259,6 @@ def language_report(documents: DataFrame) -> DataFrame:
 
 def keep_identified(documents: DataFrame) -> DataFrame:
     """The documents in a language that was learned, with the columns they came with."""
-    rows = identified(documents, out="_language")
-    return rows.where((F.col("_language.lang") != UNDETERMINED) & F.col("_language.known")).drop("_language")
+    model = fit(documents)
+    rows = documents.select(F.struct("*").alias("row"), predictor(model)(F.col("text").cast("binary")).alias("found"))
+    return rows.where((F.col("found.lang") != UNDETERMINED) & F.col("found.known")).select("row.*")

@@ -9,11 +9,12 @@ but links leaves a task: at most one per member and comparison.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from seqloom.llm.common import discard, staged
 
 LINKS = "a binary, b binary"
 EDGES_A_TASK = 200_000
+FEW = 200_000  # edges that one task joins: their nodes are 16 bytes each
 MINIMA = 250_000
 
 
@@ -30,18 +32,47 @@ def fitted(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(cores, -(-rows // EDGES_A_TASK)))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all edges by union-find in one task: (node, root), the root being the smallest node."""
+    tables = [pa.Table.from_batches([b]) for b in batches]
+    if not tables:
+        return
+    edges = pa.concat_tables(tables)
+    both = pa.concat_arrays([c.combine_chunks() for c in (edges["a"], edges["b"])])
+    nodes = pc.unique(both)
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    at = pc.index_in(both, nodes).to_numpy()
+    up = np.arange(len(nodes))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(at[: len(edges)], at[len(edges) :], strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    while (up != up[up]).any():
+        up = up[up]
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(up))], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node it is connected to.
 
-    Alternates the large-star and small-star steps until nothing moves; each round is written to the shared folder.
-    Minima are aggregated before the shuffle, then joined back, so that a node with many neighbours can be split.
+    Up to FEW edges are joined in one task. More alternate the large-star and small-star steps until nothing moves, or
+    few enough are left; each round is written to the shared folder. Minima are aggregated before the shuffle, then
+    joined back, so that a node with many neighbours can be split.
     """
     n = edges.count()
     edges = staged(fitted(edges.select("a", "b").where("a <> b").distinct(), n), "edges")
+    n = edges.count()
     # A node has one minimum, so a table of minima has at most 2 * n rows: broadcast where that is little.
     beside = F.broadcast if n <= MINIMA else lambda df: df
     before = None
-    while True:
+    while n > FEW:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(beside(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -54,8 +85,13 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    if n <= FEW:
+        roots = staged(edges.repartition(1).mapInArrow(_joined, "node binary, root binary"), "roots")
+    else:
+        tops = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+        roots = staged(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(tops), "roots")
+    discard(edges)
+    return roots
 
 
 def spread(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -129,9 +165,10 @@ def linked(members: DataFrame, compare: Callable[[pa.Table], Callable[[int, np.n
     cut = parts.withColumn("y", F.explode(reach)).withColumn("task", F.struct(F.xxhash64("grp").alias("x"), "y")).drop("at", "y")
     edges = staged(whole.unionByName(cut).groupBy("task").applyInArrow(_tasks(compare, False), LINKS), "links")
     roots = components(edges)
+    discard(edges)
     if parts.isEmpty():
         return roots
-    known = staged(
+    known = known_table = staged(
         parts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known"
     )
     counts = known.groupBy("grp", "root").agg(F.count("*").alias("n"))
@@ -149,4 +186,6 @@ def linked(members: DataFrame, compare: Callable[[pa.Table], Callable[[int, np.n
     out = known.where("outside").withColumn("i", tile).withColumn("j", F.explode(width))
     both = own.unionByName(out).withColumn("task", F.struct(F.xxhash64("grp").alias("x"), "i", "j")).drop("at", "i", "j", "tiles")
     more = staged(both.groupBy("task").applyInArrow(_tasks(compare, True), LINKS), "links")
-    return roots if more.isEmpty() else components(edges.unionByName(more))
+    discard(known_table)
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return roots if more.isEmpty() else components(stars.unionByName(more))

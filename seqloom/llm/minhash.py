@@ -10,13 +10,15 @@ op9. Two documents link if 100 * |intersection|
    if over half of its sketch is hot, its M_HOT smallest hot lists too. Two classes with similarity 0.8 of which a
    share f is hot have (0.8 - f) / (1 - f) in common of the rest, 0.6 at one half, and so miss each other in all of
    their lists with a chance below 0.4**M there, 0.2**M without hot values, 0.2**M_HOT in the hot lists.
-3. In each list, pairs of fitting sizes are kept if the union sketch estimates their similarity at ESTIMATE or more
-   (four standard deviations below 0.8; sketches that hold the whole set are compared exactly). The components of
-   these pairs are the candidate groups; only their texts are read again.
-4. In each group, links are confirmed on the full sets. Lists and groups of any size are cut into blocks (`linking`).
+3. In each list, pairs of fitting sizes are kept if the union sketch estimates their similarity at ESTIMATE or more (at
+   0.8 a sketch falls below it with a chance of 3e-8; sketches that hold the whole set are compared exactly). The
+   components of these pairs are the candidate groups; only their texts are read again.
+4. In each group, all pairs of fitting sizes are compared on the full sets. Lists and groups of any size are cut into
+   blocks (`linking`).
 
 Null and empty texts and texts without words have the empty set, are their own component and are kept. Of equal texts
-the smallest doc_id stands for all (a text none of whose rows has a doc_id links with nothing); repeated rows stay rows. Extra columns are ignored here and kept by `deduplicated`.
+the smallest doc_id stands for all (a text none of whose rows has a doc_id links with nothing but its copies); repeated
+rows stay rows. Extra columns are ignored here and kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import shingles
@@ -40,7 +42,7 @@ K = 32
 M = 12
 M_HOT = 8
 CAP = 256
-ESTIMATE = 0.5
+ESTIMATE = 0.375
 BLOCK = 256
 BLOCK_BYTES = 6 << 20
 FILTER_BITS = 1 << 24
@@ -124,11 +126,10 @@ def estimates(part: pa.Table) -> _Sketches:
 
 
 def exact(part: pa.Table):
-    """Links on the full sets, tried only where the estimate allows."""
+    """Links on the full sets of all rows whose sizes fit."""
     lists = part["members"].combine_chunks()
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     n = np.diff(offsets).astype(np.int64)
-    near = _Sketches(n, _matrix(part["members"]))
     distinct, ids = np.unique(values[offsets[0] : offsets[-1]], return_inverse=True)
     marked, begin = np.zeros(len(distinct), bool), offsets[:-1] - offsets[0]
 
@@ -142,7 +143,7 @@ def exact(part: pa.Table):
         return out
 
     def alike(i, js):
-        hit = near(i, js)
+        hit = 100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])
         js = js[hit]
         if len(js):
             both = common(i, js)
@@ -187,7 +188,7 @@ def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def component_of(classes: DataFrame, documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """(digest, component_id) of every class. `classes` has digest, first_id, n and sketch of `size`-word shingles."""
+    """(digest, root, component_id) of every class; root names the component. `classes` has digest, first_id, n and sketch of `size`-word shingles."""
     groups = staged(candidates(classes).join(classes.select(F.col("digest").alias("node"), "first_id", "n"), "node"), "groups")
     extent = groups.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(8 * F.col("s") / BLOCK_BYTES)).cast("int")
@@ -205,33 +206,50 @@ def component_of(classes: DataFrame, documents: DataFrame, size: int = SIZE) ->
     discard(groups, wanted, full)
     named = classes.select("digest", "first_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return named.join(least, "root").select("digest", "component_id")
+    return named.join(least, "root").select("digest", "root", "component_id")
 
 
-def near_duplicates(documents: DataFrame, size: int = REPORT_SIZE) -> DataFrame:
-    """Per row of documents: doc_id, n_shingles, component_id, kept."""
+def _classed(documents: DataFrame, size: int) -> DataFrame:
+    """Per row of documents: doc_id, whole (a hash of the text), n, digest, component_id."""
     small_batches(documents.sparkSession, 4 << 20)
     signature = F.arrow_udf(_signature(size), "struct<n long, digest binary, sketch array<long>>")
-    rows = staged(documents.select("doc_id", signature(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*"), "signatures")
+    read = documents.select("doc_id", F.xxhash64("text").alias("whole"), signature(F.col("text").cast("binary")).alias("s"))
+    rows = staged(read.select("doc_id", "whole", "s.*"), "signatures")
     classes = staged(
         rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
     found = staged(component_of(classes, documents, size), "components")
     discard(classes)
+    return rows.select("doc_id", "whole", "n", "digest").join(found, "digest", "left")
+
+
+def near_duplicates(documents: DataFrame, size: int = REPORT_SIZE) -> DataFrame:
+    """Per row of documents: doc_id, n_shingles, component_id, kept."""
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return (
-        rows.select("doc_id", "n", "digest")
-        .join(found, "digest", "left")
+        _classed(documents, size)
         .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def deduplicated(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """One document of each component, with the columns it came with. Of rows with one doc_id one stays; rows without
-    doc_id all stay."""
-    kept = near_duplicates(documents, size).where("kept and doc_id is not null").select("doc_id").distinct()
-    of_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = documents.join(kept, "doc_id").withColumn("_place", F.row_number().over(of_id)).where("_place = 1")
-    return rows.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+    """One row of each component, with the columns it came with: that with the smallest doc_id (rows without one come
+    last), of several texts of this id that with the smallest digest. What counts is the text, not the id: texts that
+    share an id and nothing else all stay, copies without an id are one. Rows without words all stay."""
+    rows = _classed(documents, size)
+    group = F.coalesce("root", "digest")
+    named = rows.where("n > 0").select("doc_id", "whole", "digest", "root")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "whole")
+    kept = named.groupBy(group.alias("group")).agg(F.min(first).alias("k")).select("k.doc_id", "k.whole")
+    marks = kept.select(F.col("doc_id").alias("_doc"), F.col("whole").alias("_whole"))
+    times = named.groupBy("doc_id", "whole").agg(F.count("*").alias("_times"))
+    marks = times.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("whole") == F.col("_whole"))).select("_doc", "_whole", "_times")
+    held = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    found = held.join(staged(marks, "marks"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_whole")))
+    # Only rows that occur several times are gathered; each task first keeps one of its own.
+    again = found.where("_times > 1").groupBy("_id", "_text").agg(F.first("row").alias("row"))
+    one = found.where("_times = 1").select("row.*").unionByName(again.select("row.*"))
+    empty = documents.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t-\r]"))
+    return one.unionByName(empty)

@@ -45,8 +45,8 @@ def _repeat_words(w: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more in the text.
 
     Each window becomes one long: as many bits of its hash as the text's length leaves free, then its place. Sorted,
-    equal windows are neighbours; a text of n windows compares 64 - log2(n) bits, so the chance that any two
-    different windows of it agree is below n**3 / 2**65.
+    windows that may be equal are neighbours; the words of neighbours are compared, so different windows never count.
+    Equal windows whose hash is shared by a third one may stand one further apart; two steps are looked at.
     """
     windows = F.size(w) - 2
     bits = F.length(F.bin(windows))
@@ -58,13 +58,20 @@ def _repeat_words(w: Column) -> Column:
     def key(x):
         return F.call_function("shiftright", x, bits)
 
-    def places(p):
-        twice = F.filter(p, lambda x, i: (key(x) == key(F.get(p, i - 1))) | (key(x) == key(F.get(p, i + 1))))
+    def place(x):
         low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low)))
+        return x.bitwiseAND(low).cast("int")
+
+    def same(x, y):
+        words = [F.get(w, place(x) + k) == F.get(w, place(y) + k) for k in range(3)]
+        return F.coalesce((key(x) == key(y)) & words[0] & words[1] & words[2], F.lit(False))
+
+    def places(p):
+        twice = F.filter(p, lambda x, i: same(x, F.get(p, i - 1)) | same(x, F.get(p, i + 1)) | same(x, F.get(p, i - 2)) | same(x, F.get(p, i + 2)))
+        return F.sort_array(F.transform(twice, place))
 
     def covered(at):
-        steps = F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(3)), F.lit(3).cast("long")))
+        steps = F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(3)), F.lit(3)).cast("long"))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     found = bind(bind(F.sort_array(F.transform(F.sequence(F.lit(0), windows - 1), packed)), places), covered)
@@ -155,8 +162,8 @@ def quality_report(documents: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, version: str = CURRENT) -> DataFrame:
     """The documents the policy passes, with the columns they came with."""
-    bits = failures(F.col("_measures"))
-    return documents.withColumn("_measures", measurements(F.col("text"))).where(passes(bits, version)).drop("_measures")
+    rows = documents.select(F.struct("*").alias("row"), measurements(F.col("text")).alias("m"))
+    return rows.where(passes(failures(F.col("m")), version)).select("row.*")
 
 
 QUALITY_SQL = """

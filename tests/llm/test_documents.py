@@ -199,6 +199,7 @@ def family(seed, size, base_words=90, edits=3):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Groups far over the size of a block, hot passages, and small texts give what brute force gives."""
+    monkeypatch.setattr(linking, "FEW", 0)
     monkeypatch.setattr(linking, "MINIMA", 0)  # as with more links than may be broadcast
     monkeypatch.setattr(minhash, "CAP", 12)
     monkeypatch.setattr(minhash, "BLOCK", 8)

@@ -2,10 +2,8 @@
 
 import hashlib
 import re
-import sys
 import zlib
 from collections import defaultdict
-from functools import cache
 
 import numpy as np
 import pytest
@@ -17,29 +15,30 @@ SCHEMA = "conv_id long, turn long, role string, text string, m int, part int, co
 
 
 def cheapest(turns):
-    """turns: (initial, gone, cut off) -> (cost, least audit); tries every edit."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * len(turns) + 1000))
-
-    @cache
-    def best(i, state, inserted):
-        found = [(0, "")] if i == len(turns) and state in (0, 3) else []
-        if inserted < 3:
-            cost, rest = best(i, NEXT[state][1], inserted + 1)
-            found.append((3 + cost, "I" + rest))
-        if i < len(turns):
-            initial, gone, cut = turns[i]
-            cost, rest = best(i + 1, state, 0)
-            found.append((4 + cost, "D" + rest))
-            if not gone:
-                extra = 3 if cut else 0
-                if (initial, state) in (("s", 0), ("u", 0), ("u", 1), ("u", 3), ("a", 2)):
-                    cost, rest = best(i + 1, {"s": 1, "u": 2, "a": 3}[initial], 0)
-                    found.append((extra + cost, "K" + rest))
-                cost, rest = best(i + 1, NEXT[state][1], 0)
-                found.append((3 + extra + cost, "R" + rest))
-        return min(found) if found else (1 << 40, "")
-
-    return best(0, 0, 0)
+    """turns: (initial, gone, cut off) -> (cost, least audit); tries every edit, from the last turn to the first."""
+    behind = {}
+    for i in range(len(turns), -1, -1):
+        here = {}
+        for inserted in (3, 2, 1, 0):  # more than three inserted turns in a row are never needed
+            for state in range(4):
+                found = [(0, "")] if i == len(turns) and state in (0, 3) else []
+                if inserted < 3:
+                    cost, rest = here[NEXT[state][1], inserted + 1]
+                    found.append((3 + cost, "I" + rest))
+                if i < len(turns):
+                    initial, gone, cut = turns[i]
+                    cost, rest = behind[state, 0]
+                    found.append((4 + cost, "D" + rest))
+                    if not gone:
+                        extra = 3 if cut else 0
+                        if (initial, state) in (("s", 0), ("u", 0), ("u", 1), ("u", 3), ("a", 2)):
+                            cost, rest = behind[{"s": 1, "u": 2, "a": 3}[initial], 0]
+                            found.append((extra + cost, "K" + rest))
+                        cost, rest = behind[NEXT[state][1], 0]
+                        found.append((3 + extra + cost, "R" + rest))
+                here[state, inserted] = min(found) if found else (1 << 40, "")
+        behind = here
+    return behind[0, 0]
 
 
 def expected(rows):
