@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import langid, minhash, mixing, pieces, quality
-from seqloom.llm.common import staged, table
+from seqloom.llm.common import discard, staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written to the shared folder and read by the next."""
+    """All stages over `documents`; each one's result is written to the shared folder, read by the next and then deleted."""
     docs = table(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
