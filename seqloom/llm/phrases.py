@@ -21,8 +21,6 @@ CHUNK windows. No row, text or phrase is sampled or capped; `top` is the length
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +37,6 @@ FILTER_BITS = 1 << 24
 HOT = 256
 SALTS = 32
 CHUNK = 4096
-BLOCK = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 W = [f"w{k}" for k in range(1, LONGEST + 1)]
 _SIGN = -(1 << 63)
@@ -97,55 +94,19 @@ def _coder(frequent: DataFrame, top: pa.Table) -> Coder:
     return Coder(top["h"].to_numpy(), words["slot"].to_numpy(), words["bits"].to_numpy())
 
 
-def _windows(codes: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Rows of LONGEST codes: each word with those that follow in its row, 0 from the first rare word or the end on. Only
-    the first `own` words of a row begin a window."""
-    size = np.diff(offsets)
-    place = np.arange(len(codes)) - np.repeat(offsets[:-1], size)
-    left = np.repeat(size, size) - place
-    columns = [codes]
-    for k in range(1, LONGEST):
-        following = np.append(codes[k:], np.zeros(k, np.int64))[: len(codes)]
-        columns.append(np.where((left > k) & (columns[-1] != 0), following, 0))
-    begins = np.flatnonzero((codes != 0) & (columns[1] != 0) & (place < np.repeat(own, size)))
-    return np.column_stack([c[begins] for c in columns])
-
-
-def _counted(rows: np.ndarray) -> pa.RecordBatch:
-    """The different rows in order, and how often each occurs."""
-    rows = rows[np.lexsort(rows.T[::-1])]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(1)
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(rows)))
-    arrays = [pa.array(c, mask=c == 0) for c in rows[at].T]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(times, pa.int64())], [*W, "n"])
-
-
 def windows(lists: DataFrame, coder: Coder, seed: int) -> DataFrame:
-    """(w1..w5, n): the code of each word that may begin a phrase and of those that follow, null from the first rare word
-    on, and how often a task found that window among about BLOCK of them. Their order puts equal beginnings side by side,
-    which keeps the shuffle small."""
-    hashes = F.transform("ws", lambda x: _hash("lang", x, seed))
+    """(w1..w5) of each word that may begin a phrase: its code and those that follow, null from the first rare word on."""
+    code = F.arrow_udf(lambda h: coder(h), "array<long>")
+    ids = lists.where(F.size("ws") > 1).select(code(F.transform("ws", lambda x: _hash("lang", x, seed))).alias("ids"))
     n = F.size("ids")
-    ids = lists.where(F.size("ws") > 1).select(hashes.alias("ids"))
     begins = F.sequence(F.lit(0), n - 1, F.lit(CHUNK))
-    cut = F.transform(begins, lambda s: F.struct(F.slice("ids", s + 1, F.lit(CHUNK + LONGEST - 1)).alias("ids"), F.least(F.lit(CHUNK), n - s).alias("own")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            codes = coder(batch["ids"])
-            held.append(_windows(codes.values.to_numpy(), codes.offsets.to_numpy().astype(np.int64), batch["own"].to_numpy()))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield _counted(np.concatenate(held))
-                held, size = [], 0
-        if held:
-            yield _counted(np.concatenate(held))
-
-    rows = ids.select(F.explode(cut).alias("x")).select("x.ids", "x.own")
-    return rows.mapInArrow(run, ", ".join(f"{w} long" for w in W) + ", n long")
+    cut = F.transform(begins, lambda s: F.struct(F.slice("ids", s + 1, F.lit(CHUNK + LONGEST - 1)).alias("c"), F.least(F.lit(CHUNK), n - s).alias("own")))
+    chunks = ids.select(F.explode(cut).alias("x")).select("x.c", "x.own")
+    rows = chunks.select("c", "own", F.posexplode("c").alias("i", "w1")).where("i < own and w1 <> 0")
+    rows = rows.select("w1", *[F.nullif(F.get("c", F.col("i") + k), F.lit(0).cast("long")).alias(W[k]) for k in range(1, LONGEST)])
+    for k in range(2, LONGEST):
+        rows = rows.withColumn(W[k], F.when(F.col(W[k - 1]).isNotNull(), F.col(W[k])))
+    return rows.where("w2 is not null")
 
 
 def grams(rows: DataFrame, hot: int, least: int = MIN) -> DataFrame:
@@ -154,15 +115,15 @@ def grams(rows: DataFrame, hot: int, least: int = MIN) -> DataFrame:
     `hot` is the number of the most frequent words whose pairs may be too many for one task.
     """
     is_hot = F.col("w1").between(1, hot) & F.col("w2").between(1, hot)
-    salt = F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(F.lit(-1))
+    salt = F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(SALTS)) + 1).otherwise(F.lit(0))
     dealt = rows.withColumn("salt", salt).repartition("salt", "w1", "w2")
-    counted = dealt.groupBy("salt", *W).agg(F.sum("n").alias("n"))
+    counted = dealt.groupBy("salt", *W).agg(F.count("*").alias("n"))
     for k in range(LONGEST - 1, 1, -1):
         counted = counted.withColumn(f"c{k}", F.sum("n").over(Window.partitionBy("salt", *W[:k])))
-    kept = counted.where((F.col("salt") >= 0) | (F.col("c2") >= least))
+    kept = counted.where((F.col("salt") > 0) | (F.col("c2") >= least))
     for k in range(3, LONGEST + 1):
         times = F.col(f"c{k}" if k < LONGEST else "n")
-        kept = kept.withColumn(W[k - 1], F.when((F.col("salt") >= 0) | (times >= least), F.col(W[k - 1])))
+        kept = kept.withColumn(W[k - 1], F.when((F.col("salt") > 0) | (times >= least), F.col(W[k - 1])))
     sums = kept.rollup(*W).agg(F.sum("n").alias("f"), F.grouping_id().alias("level")).where(F.col("f") >= least)
     whole = F.lit(False)
     for k in range(2, LONGEST + 1):  # the last LONGEST - k columns are rolled up, and the phrase is not padded
