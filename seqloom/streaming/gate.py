@@ -22,7 +22,7 @@ EVENT = (
     "payload string, user_id string, total_amount double, persist_error string"
 )
 FIELDS = [part.split()[0] for part in EVENT.split(", ")]
-# kind: verdict (one per arrival), applied, abort, timeout
+# kind: verdict (one per arrival), applied, abort, timeout; of records that do not get to the gate: rejected
 OUTPUT = f"kind string, plan_id string, {EVENT}, verdict string, applied_pos bigint, applied_ts timestamp"
 OUT_ROW = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
 EPOCH = dt.datetime(1970, 1, 1)
@@ -114,11 +114,19 @@ class PlanGate(StatefulProcessor):
         plan.save()
 
     def handleInputRows(self, key, rows, timerValues):
-        plan = self._plan()
         plan_id = key[0]
+        routable = []
+        for row in rows:
+            if row["reject"] is None:
+                routable.append(row)
+            else:
+                yield OUT_ROW("rejected", row["plan_id"], *[row[f] for f in FIELDS], row["reject"], None, None)
+        if not routable:
+            return
+        plan = self._plan()
         # Rows of one micro-batch come in no order; a batch is bounded by the
         # source's per-trigger limit.
-        for row in sorted(rows, key=lambda r: r["pos"]):
+        for row in sorted(routable, key=lambda r: r["pos"]):
             arrival = _arrival(row)
             outcome = step(plan, arrival, self._lifetimes)
             for member in outcome.expired:
@@ -144,26 +152,52 @@ def _out(kind, plan_id, arrival: Arrival, verdict=None, moved_by: Arrival | None
     return OUT_ROW(kind, plan_id, *arrival.row, verdict, *reached)
 
 
-def gate_stream(
-    log: DataFrame, lifetimes: Lifetimes = STANDARD, delay: str = "10 minutes"
-) -> DataFrame:
-    """Verdicts, applied events, tombstones and timeouts of a streaming log, tagged by ``kind``.
+def _gated(rows: DataFrame, lifetimes: Lifetimes, delay: str) -> DataFrame:
+    """Rows with ``gate_key`` and ``reject`` through the gate.
 
     The watermark drives timers only. No event is too late to be judged: what the
     operator gets is a plain copy of the time stamp, which carries no watermark
     that late rows could be measured by.
     """
-    routable = log.filter((F.col("event_type") == v.ABORT) | F.col("seq_id").isNotNull())
-    rows = (
-        orders.with_persist_error(routable)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = (
+        rows.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", delay)
         .withColumn("ts", F.timestamp_micros(F.unix_micros("ts")))
-        .select("plan_id", *FIELDS)
+        .select("gate_key", "plan_id", "reject", *FIELDS)
     )
-    return rows.groupBy("plan_id").transformWithState(
+    return timed.groupBy("gate_key").transformWithState(
         statefulProcessor=PlanGate(lifetimes),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="EventTime",
     )
+
+
+def gate_stream(
+    log: DataFrame, lifetimes: Lifetimes = STANDARD, delay: str = "10 minutes"
+) -> DataFrame:
+    """Verdicts, applied events, tombstones and timeouts of a streaming log, tagged by ``kind``."""
+    routable = log.filter((F.col("event_type") == v.ABORT) | F.col("seq_id").isNotNull())
+    rows = orders.with_persist_error(routable).withColumns(
+        {"gate_key": F.col("plan_id"), "reject": F.lit(None).cast("string")}
+    )
+    return _gated(rows, lifetimes, delay)
+
+
+def gate_records(
+    typed: DataFrame, lifetimes: Lifetimes = STANDARD, delay: str = "10 minutes"
+) -> DataFrame:
+    """The same of every parsed record (``wire.typed_rows``), the unreadable and stepless ones as ``rejected``.
+
+    Those pass through the operator without touching state, dealt out by their
+    positions; ``verdict`` is then the error code, and ``payload`` the raw text of
+    what cannot be read.
+    """
+    missing = F.col("seq_id").isNull() & (F.col("event_type") != v.ABORT)
+    reject = F.when(~F.col("parse_ok"), F.lit(v.PARSE_ERROR)).when(missing, F.lit(v.MISSING_SEQ_ID))
+    apart = F.concat(F.lit("record "), F.pmod("pos", F.lit(4096)).cast("string"))
+    rows = typed.withColumn("reject", reject).withColumn("payload", F.coalesce("raw", "payload"))
+    error = F.when(F.col("reject").isNull(), F.col("persist_error"))
+    rows = orders.with_persist_error(rows).withColumn("persist_error", error)
+    key = F.when(F.col("reject").isNull(), F.col("plan_id")).otherwise(apart)
+    return _gated(rows.withColumn("gate_key", key), lifetimes, delay)
