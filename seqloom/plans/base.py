@@ -47,6 +47,14 @@ EVENTS = f"""ev as (
   from (select *, case event_type when 'signup' then 1 when 'view' then 2 when 'click' then 3
           when 'purchase' then 4 end::integer as st from events))"""
 
+SESSIONS = f"""ev as (
+  select 'plan_user_' || user_id as plan_id, {uuid_sql("md5('session' || user_id)")} as order_id,
+    case when not tomb then st end as seq_id, {uuid_sql("md5('session' || event_id)")} as event_id,
+    case when tomb then 'ABORT_PLAN' else {TYPE_SQL.format(seq="st")} end as event_type,
+    ts, event_id as pos, {uuid_sql("md5('session' || event_id)")} as payload
+  from (select *, (1 + day(ts) // 6 + k % 3)::integer as st, event_type = 'error' and k < 25 as tomb
+        from (select *, (json_extract_string(props, '$.k'))::integer as k from events)))"""
+
 # Closed form, by joins: verdicts of sequenced rows; reach r, first arrival a.
 GATE = """ab as (select plan_id, min(pos) b from ev where event_type = 'ABORT_PLAN' group by all),
 x as (select ev.*, ab.b from ev left join ab using (plan_id)
@@ -102,6 +110,45 @@ run as (
 applied as (select plan_id, pos as applied_pos, unnest(took, recursive := true) from
             (select plan_id, pos, list_transform(took, lambda m: {taken: m.pos}) took from run where len(took) > 0))"""
 
+# The same run under the clock: what waits is dropped an hour after the last addition, tombstones lapse after a day.
+CLOCKED = """arr as (select *, row_number() over (partition by plan_id order by pos) n,
+    event_type = 'ABORT_PLAN' as tomb, event_type like 'Unknown%' as bad from ev
+    where event_type = 'ABORT_PLAN' or seq_id is not null),
+run as (
+  select plan_id, 0::bigint n, 0::bigint c, null::timestamp until, null::timestamp last_add,
+    []::struct(s bigint, payload varchar, pos bigint)[] w, null::varchar verdict, null::bigint pos,
+    []::struct(s bigint, payload varchar, pos bigint)[] took, []::struct(s bigint, payload varchar, pos bigint)[] lost
+  from (select distinct plan_id from arr)
+  union all
+  select plan_id, n, case when v = 'OK' then lst else c end, case when tomb then ts + interval 1 day else until end,
+    case when tomb then null when v = 'OUT_OF_ORDER' then coalesce(greatest(last_add, ts), ts) else last_add end,
+    case when tomb then [] when v = 'OUT_OF_ORDER' then
+           case when list_contains(list_transform(w, lambda m: m.s || ':' || m.payload), seq_id || ':' || payload)
+                then w else list_append(w, me) end
+         else list_filter(w, lambda m: not list_contains(list_transform(drained, lambda d: d.pos), m.pos)) end,
+    v, pos, case when v = 'OK' then list_prepend(me, drained) else [] end, lost
+  from (select *, case when v = 'OK' and not bad then
+            list_filter(w, lambda m: m.s > seq_id and m.s <= lst and m.payload =
+              list_min(list_transform(list_filter(w, lambda u: u.s = m.s), lambda u: u.payload))) else [] end drained
+    from (select *, case when v = 'OK' and not bad then list_min(list_filter(range(seq_id + 1, seq_id + len(w) + 2),
+              lambda k: not list_contains(list_transform(w, lambda m: m.s), k))) - 1 else seq_id end::bigint lst
+      from (select *, case when late then [] else was end as w, case when late then was else [] end as lost,
+              case when late then null else had end as last_add,
+              {s: seq_id, payload: payload, pos: pos}::struct(s bigint, payload varchar, pos bigint) me,
+              case when tomb then null when ts < until then 'ABORTED' when seq_id <= c then 'DUPLICATE'
+                   when seq_id = c + 1 then 'OK' else 'OUT_OF_ORDER' end v
+            from (select run.plan_id, arr.n, run.c, run.until, run.w as was, run.last_add as had, arr.tomb, arr.bad, arr.seq_id,
+                    arr.payload, arr.pos, arr.ts, coalesce(arr.ts >= run.last_add + interval 1 hour, false) as late
+                  from run join arr on arr.plan_id = run.plan_id and arr.n = run.n + 1))))),
+clock as (select max(ts) - interval 10 minute as stands from ev),
+last_run as (select * from run qualify row_number() over (partition by plan_id order by n desc) = 1),
+timed_out as (select plan_id, unnest(lost, recursive := true) from (
+    select plan_id, list_transform(lost, lambda m: {gone: m.pos}) as lost from run where len(lost) > 0
+    union all
+    select plan_id, list_transform(w, lambda m: {gone: m.pos}) from last_run, clock where len(w) > 0 and last_add + interval 1 hour <= stands)),
+applied as (select plan_id, pos as applied_pos, unnest(took, recursive := true) from
+            (select plan_id, pos, list_transform(took, lambda m: {taken: m.pos}) took from run where len(took) > 0))"""
+
 # Store timeline: good applied events and tombstones, then the order guard by self-join.
 STORE = REPLAY + f""",
 tl as (select e.order_id, e.plan_id, e.event_id, e.event_type, e.payload, e.pos, false is_abort, e.seq_id,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from seqloom.functions import vocabulary as v
-from seqloom.operators import pipeline, sequence
-from seqloom.plans.base import APPLIED, EVENTS, GATE, LINEITEM, REPLAY, WAITING, q
+from seqloom.operators import lifetimes, pipeline, sequence
+from seqloom.plans.base import APPLIED, CLOCKED, EVENTS, GATE, LINEITEM, REPLAY, SESSIONS, WAITING, q
 from seqloom.sources import tables
 
 AS_OF = "2024-02-01 00:00:00"
@@ -105,6 +107,23 @@ def gap_report(spark, sf):
     return sequence.gap_report(tables.log_lineitem(spark, sf))
 
 
+def _by_the_clock(spark, sf):
+    log = tables.log_sessions(spark, sf)
+    return lifetimes.gate_by_the_clock(log, end=lifetimes.end_of(log, dt.timedelta(minutes=10)))
+
+
+def buffer_timeout(spark, sf):
+    return lifetimes.timeout_letters(_by_the_clock(spark, sf))
+
+
+def abort_expiry(spark, sf):
+    return lifetimes.resumed(_by_the_clock(spark, sf))
+
+
+def seq_gate_by_the_clock(spark, sf):
+    return _by_the_clock(spark, sf).filter("kind = 'verdict'").select("plan_id", "pos", "seq_id", "verdict")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -124,6 +143,9 @@ QUERIES = {
         buffer_snapshot,
         seq_counters,
         gap_report,
+        seq_gate_by_the_clock,
+        buffer_timeout,
+        abort_expiry,
     )
 }
 
@@ -186,6 +208,23 @@ ORACLES = {
         """select plan_id, coalesce(max(rd.seq_id) filter (rd.r is not null), 0)::integer as counter
            from (select distinct plan_id from ev) left join rd using (plan_id) group by all""",
     ),
+    "seq_gate_by_the_clock": q(
+        SESSIONS, CLOCKED, "select plan_id, pos, arr.seq_id, verdict from run join arr using (plan_id, pos) where not tomb"
+    ),
+    "buffer_timeout": q(
+        SESSIONS,
+        CLOCKED,
+        """select order_id as key, ev.plan_id, seq_id, payload, pos, 'buffer timeout: consecutive event never arrived' as error_reason,
+             'BUFFER_TIMEOUT' as error_code, event_id as original_event_id
+           from timed_out join ev on ev.plan_id = timed_out.plan_id and ev.pos = timed_out.gone""",
+    ),
+    "abort_expiry": q(
+        SESSIONS,
+        CLOCKED,
+        """select a.plan_id, ev.seq_id, ev.pos, applied_pos from applied a join ev on ev.plan_id = a.plan_id and ev.pos = a.taken
+           join (select plan_id, min(pos) as stop from ev where event_type = 'ABORT_PLAN' group by all) t on t.plan_id = a.plan_id
+           where applied_pos > stop""",
+    ),
     "gap_report": q(
         LINEITEM,
         "",

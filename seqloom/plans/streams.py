@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seqloom.operators import lifetimes, skew
 from seqloom.operators.replay import Lifetimes
 from seqloom.plans import ordering, sequencing, wiring
 from seqloom.sources import messages, tables, wire
-from seqloom.streaming import sinks
+from seqloom.streaming import ledger, sinks
 
 
 def _forever(spark, sf):
@@ -29,37 +30,68 @@ def src_event_log(spark, sf):
     )
 
 
+def _in_slices(df, name, parts=3):
+    """A table as a stream of several micro-batches: slices by position, one file a trigger."""
+    folder = sinks.scratch(df.sparkSession)
+    df = skew.stage(df)
+    cuts = df.approxQuantile("pos", [i / parts for i in range(1, parts)], 0.01)
+    at = F.lit(0)
+    for c in cuts:
+        at = at + F.when(F.col("pos") > c, 1).otherwise(0)
+    for i in range(parts):
+        df.filter(at == i).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    files = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return files.parquet(f"{folder}/{name}")
+
+
+def _ledger(spark, sf):
+    log = _in_slices(tables.log_events(spark, sf), "log")
+    with sinks.rocksdb(spark):
+        return ledger.run(ledger.order_pipeline(log, Lifetimes()), sinks.scratch(spark))
+
+
 def sink_orders(spark, sf):
-    state, _ = sinks.order_tables(_forever(spark, sf))
-    return state.withColumn("total_amount", F.col("total_amount").cast("double"))
+    return _ledger(spark, sf).orders().withColumn("total_amount", F.col("total_amount").cast("double"))
 
 
 def sink_outbox(spark, sf):
-    _, outbox = sinks.order_tables(_forever(spark, sf))
-    return outbox
+    return _ledger(spark, sf).outbox()
+
 
+def stream_dead_letters(spark, sf):
+    """One stream from raw records to letters. Plans live for a day here, so nothing times out before its time."""
+    typed = wire.typed_rows(wire.parse_envelope(messages.raw_events(spark, sf)))
+    with sinks.rocksdb(spark):
+        kept = ledger.run(ledger.pipeline(_in_slices(typed, "records"), Lifetimes()), sinks.scratch(spark))
+    return kept.letters().select("pos", "key", "raw", "error_code", "error_reason", "original_event_id")
 
-def buffer_timeout(spark, sf):
-    written = sinks.run_gate(tables.log_events(spark, sf, stream=True))
-    return sinks.timeout_letters(written)
 
+def _clocked(spark, sf):
+    return sinks.run_gate(tables.log_sessions(spark, sf, stream=True))
 
-def abort_expiry(spark, sf):
+
+def stream_buffer_timeout(spark, sf):
+    return sinks.timeout_letters(_clocked(spark, sf))
+
+
+def stream_abort_expiry(spark, sf):
     """Events applied to plans although a tombstone had stopped them a day before."""
-    written = sinks.run_gate(
-        tables.log_events(spark, sf, stream=True), Lifetimes(abort=3600 * 1_000_000)
-    )
-    return written.filter("kind = 'applied'").select("plan_id", "seq_id", "pos", "applied_pos")
+    return lifetimes.resumed(_clocked(spark, sf))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (src_event_log, stream_gate, sink_orders, sink_outbox, buffer_timeout, abort_expiry)
+    for f in (src_event_log, stream_gate, sink_orders, sink_outbox, stream_dead_letters, stream_buffer_timeout, stream_abort_expiry)
 }
 ORACLES = {
     "stream_gate": sequencing.ORACLES["seq_gate"],
     "sink_orders": ordering.ORACLES["order_state_events"],
     "sink_outbox": ordering.ORACLES["outbox_rows"],
+    "stream_buffer_timeout": sequencing.ORACLES["buffer_timeout"],
+    "stream_abort_expiry": sequencing.ORACLES["abort_expiry"],
+    "stream_dead_letters": f"""with letters as ({wiring.ORACLES["sink_dlq"]}), unread as ({wiring.ORACLES["sink_dlq_raw"]})
+        select pos, key, null::varchar as raw, error_code, error_reason, original_event_id from letters
+        union all select pos, null, raw, error_code, error_reason, null from unread""",
     "src_event_log": f"""select pos, case when parse_ok then 'event' else 'unread' end as kind, event_type
         from ({wiring.ORACLES["parse_envelope"]})""",
 }

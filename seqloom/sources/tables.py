@@ -107,6 +107,29 @@ def log_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFr
     )
 
 
+def log_sessions(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Click stream as events of one plan per user over the whole month, hours apart: what waits times out, and
+    tombstones (some of the errors) lapse long before the plan ends."""
+    ev = read_stream(spark, sf_dir, "events") if stream else read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    seq = (1 + F.floor(F.dayofmonth("ts") / 6) + k % 3).cast("int")
+    tombstone = (F.col("event_type") == "error") & (k < 25)
+    owner = F.col("user_id").cast("string")
+    event_id = s.uuid_shape(F.md5(F.concat(F.lit("session"), F.col("event_id").cast("string"))))
+    return ev.select(
+        F.concat(F.lit("plan_user_"), owner).alias("plan_id"),
+        s.uuid_shape(F.md5(F.concat(F.lit("session"), owner))).alias("order_id"),
+        F.when(~tombstone, seq).alias("seq_id"),
+        event_id.alias("event_id"),
+        F.when(tombstone, F.lit(v.ABORT)).otherwise(_type_of_seq(seq)).alias("event_type"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.col("event_id").cast("bigint").alias("pos"),
+        event_id.alias("payload"),
+        F.lit(None).cast("string").alias("user_id"),
+        F.lit(None).cast("double").alias("total_amount"),
+    )
+
+
 ITEM = "struct<product_id:string,quantity:int,unit_price:double>"
 REQUEST = (
     f"order_id string, user_id string, items array<{ITEM}>, total_amount double, currency string"

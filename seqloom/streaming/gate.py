@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seqloom.functions import vocabulary as v
 from seqloom.operators import orders
+from seqloom.operators.lifetimes import STANDARD
 from seqloom.operators.replay import Arrival, Lifetimes, expire, step
 
 EVENT = (
@@ -26,9 +27,6 @@ FIELDS = [part.split()[0] for part in EVENT.split(", ")]
 OUTPUT = f"kind string, plan_id string, {EVENT}, verdict string, applied_pos bigint, applied_ts timestamp"
 OUT_ROW = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
 EPOCH = dt.datetime(1970, 1, 1)
-STANDARD = Lifetimes(
-    abort=v.ABORT_TTL_SECONDS * 1_000_000, buffer=v.BUFFER_TTL_SECONDS * 1_000_000
-)
 
 
 def _micros(ts: dt.datetime) -> int:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.functions import vocabulary as v
 from seqloom.operators import orders, skew
+from seqloom.operators.lifetimes import timeout_letters  # noqa: F401  (of a stream's output, too)
 from seqloom.streaming import gate
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -82,16 +82,3 @@ def order_tables(written: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = gated_rows(written)
     guarded = orders.order_guard(rows, orders.hot_orders(rows))
     return orders.order_state(guarded), orders.outbox_rows(guarded)
-
-
-def timeout_letters(written: DataFrame) -> DataFrame:
-    return written.filter(F.col("kind") == "timeout").select(
-        F.col("order_id").alias("key"),
-        "plan_id",
-        "seq_id",
-        "payload",
-        "pos",
-        F.lit(v.REASON_TIMEOUT).alias("error_reason"),
-        F.lit(v.BUFFER_TIMEOUT).alias("error_code"),
-        F.col("event_id").alias("original_event_id"),
-    )
