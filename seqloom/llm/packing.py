@@ -87,18 +87,30 @@ class Encoder:
     def whole(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(strings, add_special_tokens=False)]
 
+    def learn(self, words: set[str]) -> None:
+        """Encode pre-tokens not met before. Those that begin with a space go as one text: it is cut there again."""
+        spaced = [w for w in words if w[0] == " " and w[1:2].strip()]
+        for at in range(0, len(spaced), 5000):
+            some = spaced[at : at + 5000]
+            found = self.model.encode("".join(some), add_special_tokens=False)
+            raw = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))).tolist()
+            self.known.update((w, raw[i:j]) for w, i, j in zip(some, ends, ends[1:], strict=True))
+        rest = [w for w in words if w not in self.known]
+        self.known.update(zip(rest, self.whole(rest), strict=True))
+
     def part(self, text: str) -> bytes:
         if self.other.search(text):
             return self.whole([text])[0]
         words = PRE_TOKEN.findall(text)
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 10_000):
-            known.update(zip(new[at : at + 10_000], self.whole(new[at : at + 10_000]), strict=True))
-        return b"".join([known[w] for w in words])
+        distinct = set(words)
+        new = distinct - self.known.keys()
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = distinct
+        if new:
+            self.learn(new)
+        return b"".join([*map(self.known.__getitem__, words)])
 
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join([self.part(p) for p in parts(text)]), "<u4")
