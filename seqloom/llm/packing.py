@@ -95,7 +95,7 @@ class Encoder:
             found = self.model.encode("".join(some), add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))).tolist()
-            self.known.update((w, raw[i:j]) for w, i, j in zip(some, ends, ends[1:], strict=True))
+            self.known.update((w, raw[i:j]) for w, i, j in zip(some, ends[:-1], ends[1:], strict=True))
         rest = [w for w in words if w not in self.known]
         self.known.update(zip(rest, self.whole(rest), strict=True))
 
