@@ -104,7 +104,7 @@ class Encoder:
             return self.whole([text])[0]
         words = PRE_TOKEN.findall(text)
         distinct = set(words)
-        new = distinct - self.known.keys()
+        new = distinct.difference(self.known)
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = distinct
