@@ -90,7 +90,7 @@ def validate_envelope(spark, sf):
     """A row per message; what is no JSON at all fails as such."""
     wire.last_key_wins(spark)
     raw = messages.raw_events(spark, sf)
-    once = F.explode(F.array(F.struct(F.try_parse_json("value").alias("m")))).alias("_p")
+    once = F.explode(F.array(F.struct(wire.whole_json(F.col("value")).alias("m")))).alias("_p")
     rows = raw.select(wire.position().alias("pos"), once)
     failed = F.when(F.col("_p.m").isNull(), F.array(F.lit("message:unreadable"))).otherwise(
         contracts.validate_envelope(F.col("_p.m"))
@@ -202,6 +202,9 @@ raw as (select (event_id // 4) * 4096 + event_id % 4 as pos, ts, order_uuid, own
     || ',"order_id":"' || case when value between 5 and 5.99 then 'no-uuid' else order_uuid end
     || '","timestamp":"' || case when value between 7 and 7.99 then 'yesterday' else stamp end
     || '","schema_version":"1.0"' || case when value between 8 and 8.99 then '' else ',"data":' || data_text end || '}}'
+    || case when value between 11 and 11.19 then '] garbage' when value between 11.2 and 11.39 then ']'
+         when value between 11.4 and 11.59 then '] ,[{{"a":1}}' when value between 11.6 and 11.79 then '],"'
+         when value between 11.8 and 11.99 then ' {{"a":1}}' when value between 12 and 12.19 then ',"x"' else '' end
     end as value from body),
 parsed as (select *, json_valid(value) and coalesce(json_type(case when json_valid(value) then value end, '$.seq_id'),
       'BIGINT') in ('BIGINT', 'UBIGINT') as parse_ok, case when json_valid(value) then value::json end as j from raw),

@@ -120,6 +120,12 @@ def raw_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFr
         .when(value.between(9, 9.99), F.lit(',"seq_id":3000000000'))
         .otherwise(F.concat(F.lit(',"seq_id":'), F.col("step")))
     )
+    # What follows a whole message; some of it would end a list that the text were put into.
+    behind = F.lit("")
+    for low, high, tail in (
+        (11, 11.19, "] garbage"), (11.2, 11.39, "]"), (11.4, 11.59, '] ,[{"a":1}'), (11.6, 11.79, '],"'), (11.8, 11.99, ' {"a":1}'), (12, 12.19, ',"x"'),
+    ):
+        behind = F.when(value.between(low, high), F.lit(tail)).otherwise(behind)
     text = F.concat(
         F.lit("{"),
         # A key that comes twice: the second one counts.
@@ -145,6 +151,7 @@ def raw_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFr
         F.lit(',"schema_version":"1.0"'),
         F.when(value.between(8, 8.99), F.lit("")).otherwise(F.concat(F.lit(',"data":'), _data_text())),
         F.lit("}"),
+        behind,
     )
     header = s.traceparent(F.md5("owner"), F.substring(F.md5("event_uuid"), 1, 16))
     return rows.select(

@@ -81,18 +81,28 @@ def last_key_wins(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def whole_json(text: Column) -> Column:
+    """The text as a VARIANT if it is one JSON value and nothing else; null otherwise.
+
+    The parser ignores what follows a value. Here the text stands in a list in front
+    of its own digest: only if it is one value is the digest the second member, and
+    no text can bring its own digest along.
+    """
+    digest = F.sha2(text, 256)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
+    second = F.try_variant_get(listed, "$[1]", "string")
+    return F.when(second == digest, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parse_envelope(raw: DataFrame) -> DataFrame:
     """Typed envelope columns and ``parse_ok``.
 
     Strict: text fields must be JSON strings, the step number a JSON integer,
     ``data`` an object. Absent and null fields are empty, not errors. Of a key
-    that occurs twice the last value counts; steps are 64-bit numbers.
+    that occurs twice the last value counts; steps are 64-bit numbers. Text behind
+    the message makes it unreadable.
     """
     last_key_wins(raw.sparkSession)
-    # The parser ignores what follows a value; inside brackets it cannot.
-    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    alone = F.try_variant_get("_wrapped", "$[1]", "variant").isNull()
-    message = F.try_variant_get("_wrapped", "$[0]", "variant")
     ok = s.variant_kind(F.col("_m")).isin("OBJECT", "VOID") & _well_typed()
     texts = {
         "sent_at" if f == "timestamp" else f: F.coalesce(
@@ -100,8 +110,7 @@ def parse_envelope(raw: DataFrame) -> DataFrame:
         )
         for f in TEXT_FIELDS
     }
-    parsed = raw.withColumn("_wrapped", wrapped).withColumn("_m", F.when(alone, message))
-    parsed = parsed.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    parsed = raw.withColumn("_m", whole_json(F.col("value"))).withColumn("_ok", F.coalesce(ok, F.lit(False)))
     envelope = F.when(F.col("_ok"), F.from_json("value", ENVELOPE))
     # As a generator, so that later filters on parsed fields stay above it and
     # do not parse every message once more.
