@@ -182,6 +182,18 @@ def chunked(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return out
 
 
+def ranged(df: DataFrame, order: Sequence[str], name: str = "_range") -> DataFrame:
+    """``df`` written in ranges of ``order`` with about a quarter of ``hot_rows`` rows each, numbered in order by ``name``.
+
+    For scans without a key: the ranges are Spark's own, cut at sampled values of the whole order, so rows of one
+    instant are split as long as the order tells them apart.
+    """
+    limit = max(1, hot_rows(df) // 4)
+    parts = -(-max(1, df.count()) // limit)
+    dealt = df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id().cast("bigint"))
+    return stage(dealt)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

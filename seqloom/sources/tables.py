@@ -255,3 +255,29 @@ def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("version"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
     )
+
+
+def breaker_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slower change log of the breaker settings: the click stream's smallest values, some unreadable."""
+    ev = read(spark, sf_dir, "events").filter(F.col("value") < 2.5)
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.col("event_type")
+    # --- fixed values: setting each click-stream type changes, and to what ---
+    key, value = F.lit("timeout_seconds"), F.lit("x")
+    for name, setting, number in (
+        ("signup", "failure_threshold", 1 + k % 4),
+        ("view", "success_threshold", 1 + k % 3),
+        ("purchase", "open_duration_seconds", 600 + 300 * (k % 7)),
+    ):
+        key = F.when(kind == name, F.lit(setting)).otherwise(key)
+        value = F.when(kind == name, number.cast("string")).otherwise(value)
+    return ev.select(key.alias("key"), value.alias("value"), F.col("event_id").alias("version"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+def order_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery attempts with the order whose outbox they work on: that of the user's day."""
+    owner = read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("attempt_id"),
+        s.uuid_shape(F.md5(F.concat(F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd")))).alias("order_id"),
+    )
+    return delivery_attempts(spark, sf_dir).join(owner, "attempt_id")
