@@ -17,25 +17,17 @@ and nothing else, however long the plan is.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import vocabulary as v
-from seqloom.operators import orders, sequence, skew
-from seqloom.operators.replay import Arrival, Lifetimes, PlanInMemory, expire, step
+from seqloom.operators import orders, replay, sequence, skew
+from seqloom.operators.replay import Lifetimes
 
 STANDARD = Lifetimes(abort=v.ABORT_TTL_SECONDS * 1_000_000, buffer=v.BUFFER_TTL_SECONDS * 1_000_000)
 PLAN = ["plan_id"]
-# kind: verdict (one per arrival), applied, abort, timeout
-FACTS = (
-    "kind string, plan_id string, order_id string, seq_id bigint, event_id string, payload string, pos bigint, "
-    "verdict string, applied_pos bigint"
-)
-_NAMES = [part.split()[0] for part in FACTS.split(", ")]
-_INPUT = ["plan_id", "order_id", "seq_id", "event_id", "event_type", "payload", "pos", "_at", "_refused"]
+_NAMES = [part.split()[0] for part in replay.FACTS.split(", ")]
 
 
 def _micros(column: str):
@@ -74,44 +66,6 @@ def clocked_plans(gated: DataFrame, lifetimes: Lifetimes, hot: DataFrame | None)
     return skew.both(narrow, PLAN, hot, ordinary, ranged).distinct()
 
 
-def _replayed(lifetimes: Lifetimes, end: int | None):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, name, out = PlanInMemory(), None, []
-
-        def say(kind: str, plan_id: str, member: Arrival, verdict=None, applied_pos=None) -> None:
-            order_id, event_id = member.row
-            out.append((kind, plan_id, order_id, member.seq, event_id, member.payload, member.pos, verdict, applied_pos))
-
-        def finish() -> None:
-            if name is not None and end is not None:
-                for member in expire(plan, end, lifetimes):
-                    say("timeout", name, member)
-
-        def ready() -> pd.DataFrame:
-            frame = pd.DataFrame(out, columns=_NAMES).astype({"seq_id": "Int64", "pos": "Int64", "applied_pos": "Int64"})
-            out.clear()
-            return frame
-
-        for frame in frames:
-            for plan_id, order_id, seq, event_id, kind, payload, pos, at, refused in frame[_INPUT].itertuples(index=False, name=None):
-                if plan_id != name:
-                    finish()
-                    plan, name = PlanInMemory(), plan_id
-                tombstone = kind == v.ABORT
-                arrival = Arrival(int(pos), None if tombstone else int(seq), payload, int(at), bool(refused), (order_id, event_id))
-                outcome = step(plan, arrival, lifetimes)
-                for member in outcome.expired:
-                    say("timeout", plan_id, member)
-                say("abort" if tombstone else "verdict", plan_id, arrival, outcome.verdict)
-                for member in outcome.applied:
-                    say("applied", plan_id, member, None, int(pos))
-            yield ready()
-        finish()
-        yield ready()
-
-    return run
-
-
 def gate_by_the_clock(log: DataFrame, lifetimes: Lifetimes = STANDARD, end: int | None = None) -> DataFrame:
     """Verdicts, applied events, tombstones and timeouts of a log, tagged by ``kind`` as the stream's are.
 
@@ -140,8 +94,7 @@ def gate_by_the_clock(log: DataFrame, lifetimes: Lifetimes = STANDARD, end: int
 
     routable = rows.filter((F.col("event_type") == v.ABORT) | F.col("seq_id").isNotNull())
     again = routable.join(clocked, PLAN, "left_semi").withColumns({"_at": _micros("ts"), "_refused": F.col("persist_error").isNotNull()})
-    ordered = again.select(*_INPUT).repartition("plan_id").sortWithinPartitions("plan_id", "pos")
-    return out.unionByName(ordered.mapInPandas(_replayed(lifetimes, end), FACTS))
+    return out.unionByName(replay.streamed(again, lifetimes, end))
 
 
 def timeout_letters(facts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ plan's state lives.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -143,3 +144,59 @@ def replay_plans(rows: DataFrame) -> DataFrame:
     ]
     schema = T.StructType([*rows.schema.fields, *added])
     return rows.groupBy("plan_id").applyInPandas(_replay_one, schema)
+
+
+# kind: verdict (one per arrival), applied, abort, timeout
+FACTS = (
+    "kind string, plan_id string, order_id string, seq_id bigint, event_id string, payload string, pos bigint, "
+    "verdict string, applied_pos bigint"
+)
+_FACT_NAMES = [part.split()[0] for part in FACTS.split(", ")]
+_FACT_INPUT = ["plan_id", "order_id", "seq_id", "event_id", "event_type", "payload", "pos", "_at", "_refused"]
+
+
+def _streamed(lifetimes: Lifetimes, end: int | None):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan, name, out = PlanInMemory(), None, []
+
+        def say(kind: str, plan_id: str, member: Arrival, verdict=None, applied_pos=None) -> None:
+            order_id, event_id = member.row
+            out.append((kind, plan_id, order_id, member.seq, event_id, member.payload, member.pos, verdict, applied_pos))
+
+        def finish() -> None:
+            if name is not None and end is not None:
+                for member in expire(plan, end, lifetimes):
+                    say("timeout", name, member)
+
+        def ready() -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=_FACT_NAMES).astype({"seq_id": "Int64", "pos": "Int64", "applied_pos": "Int64"})
+            out.clear()
+            return frame
+
+        for frame in frames:
+            for plan_id, order_id, seq, event_id, kind, payload, pos, at, refused in frame[_FACT_INPUT].itertuples(index=False, name=None):
+                if plan_id != name:
+                    finish()
+                    plan, name = PlanInMemory(), plan_id
+                tombstone = kind == v.ABORT
+                arrival = Arrival(int(pos), None if tombstone else int(seq), payload, int(at), bool(refused), (order_id, event_id))
+                outcome = step(plan, arrival, lifetimes)
+                for member in outcome.expired:
+                    say("timeout", plan_id, member)
+                say("abort" if tombstone else "verdict", plan_id, arrival, outcome.verdict)
+                for member in outcome.applied:
+                    say("applied", plan_id, member, None, int(pos))
+            yield ready()
+        finish()
+        yield ready()
+
+    return run
+
+
+def streamed(rows: DataFrame, lifetimes: Lifetimes = Lifetimes(), end: int | None = None) -> DataFrame:
+    """Replay plans of any size: each is a sorted stream through one task, which holds its waiting room and nothing else.
+
+    Rows need ``_at`` (microseconds) and ``_refused``; what comes back are facts, not rows.
+    """
+    ordered = rows.select(*_FACT_INPUT).repartition("plan_id").sortWithinPartitions("plan_id", "pos")
+    return ordered.mapInPandas(_streamed(lifetimes, end), FACTS)

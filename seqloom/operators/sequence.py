@@ -25,6 +25,7 @@ from seqloom.functions import vocabulary as v
 from seqloom.operators import replay, skew
 
 START = -(2**63)  # before every position
+ROUNDS = 3  # of a hot plan, before the rest of it is replayed as a stream
 PLAN = ["plan_id"]
 STEP = ["plan_id", "_step"]
 
@@ -160,13 +161,14 @@ def _gate_hot(rows: DataFrame) -> DataFrame:
 
     Without refused events one round settles everything. A refusal that strands
     waiting steps ends the round for its plan there; the next round takes the
-    plan up behind it.
+    plan up behind it. A plan with more of them than ROUNDS is replayed as a sorted
+    stream, so the number of jobs is fixed whatever the log holds.
     """
     # One row per hot plan, hence at most skew.HOT_KEYS rows to broadcast.
     aborts = skew.cut(rows.groupBy(*PLAN).agg(F.min(_tombstone_pos()).alias("_abort")))
     open_rows = rows.withColumns({"_done": F.lit(0), "_since": F.lit(START)})
-    settled = None
-    while open_rows is not None:
+    settled, streamed = None, None
+    for n in range(ROUNDS + 1):
         facts = skew.cut(step_facts(open_rows))
         facts = reach_of(facts).join(F.broadcast(aborts), PLAN, "left")
         facts = skew.cut(
@@ -184,12 +186,33 @@ def _gate_hot(rows: DataFrame) -> DataFrame:
             *STEP, "_first", "_before", "_whole", "_floor", "_next_first", "applied_ts", "_n"
         )
         settled = done if settled is None else settled.unionByName(done)
-        open_rows = None
-        if not stops.isEmpty():
-            resume = stops.select("plan_id", F.col("_stop").alias("_done"), F.col("_stop_pos").alias("_since"))
-            open_rows = rows.join(F.broadcast(resume), PLAN).filter(F.col("_step") > F.col("_done"))
-    found = skew.spread_lookup(rows, settled, STEP, "_n", by="pos")
-    return _verdicts(found.join(F.broadcast(aborts), PLAN, "left"))
+        if stops.isEmpty():
+            break
+        if n == ROUNDS:
+            streamed = F.broadcast(stops.select(*PLAN))
+            break
+        resume = stops.select("plan_id", F.col("_stop").alias("_done"), F.col("_stop_pos").alias("_since"))
+        open_rows = rows.join(F.broadcast(resume), PLAN).filter(F.col("_step") > F.col("_done"))
+    kept = rows if streamed is None else rows.join(streamed, PLAN, "left_anti")
+    found = skew.spread_lookup(kept, settled, STEP, "_n", by="pos")
+    gated = _pick_hot(_verdicts(found.join(F.broadcast(aborts), PLAN, "left")))
+    if streamed is None:
+        return gated
+    again = _gate_streamed(rows.join(streamed, PLAN, "left_semi")).join(F.broadcast(aborts), PLAN, "left")
+    return gated.unionByName(again, allowMissingColumns=True)
+
+
+def _gate_streamed(rows: DataFrame) -> DataFrame:
+    """Verdicts by replay as a stream, and what it applied looked up by every row of the step."""
+    timed = rows.withColumns({"_at": F.unix_micros(F.col("ts").cast("timestamp")), "_refused": F.col("_poison")})
+    facts = skew.cut(replay.streamed(timed).filter("kind <> 'abort'"))
+    verdicts = facts.filter("kind = 'verdict'").select(*PLAN, "pos", "verdict")
+    applied = facts.filter("kind = 'applied'").select(*PLAN, F.col("seq_id").alias("_step"), F.col("pos").alias("_pick"), "applied_pos")
+    moved = rows.select(*PLAN, F.col("pos").alias("applied_pos"), F.col("ts").alias("applied_ts"))
+    applied = applied.join(moved, [*PLAN, "applied_pos"])
+    held = rows.groupBy(*STEP).agg(F.count(F.lit(1)).alias("_n")).join(applied, STEP)
+    found = skew.spread_lookup(rows, held, STEP, "_n", by="pos").join(verdicts, [*PLAN, "pos"], "left")
+    return found.withColumn("applied", F.coalesce(F.col("pos") == F.col("_pick"), F.lit(False))).drop("_pick")
 
 
 def _takers() -> Column:
@@ -267,7 +290,7 @@ def seq_gate(log: DataFrame, store_faults: bool = False) -> DataFrame:
         PLAN,
         skew.hot_keys(log, PLAN),
         lambda df: _gate_whole_plans(df, store_faults),
-        lambda df: _public(_pick_hot(_gate_hot(df))),
+        lambda df: _public(_gate_hot(df)),
     )
 
 
