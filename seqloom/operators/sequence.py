@@ -338,16 +338,21 @@ def seq_counters(gated: DataFrame) -> DataFrame:
 
 
 def buffer_snapshot(gated: DataFrame, as_of: Column, ttl_seconds: int) -> DataFrame:
-    """Live buffers: size, step range and seconds left to live at ``as_of``."""
+    """Live buffers: size, step range and seconds left to live at ``as_of``.
+
+    Every event added to a plan's buffer renews its life, also one that has left it since.
+    """
+    left = ~F.col("applied") & F.col("abort_pos").isNull()
     return (
-        still_buffered(gated)
+        waiting_room(gated)
         .groupBy("plan_id")
         .agg(
-            F.count(F.lit(1)).alias("members"),
-            F.min("seq_id").alias("min_seq"),
-            F.max("seq_id").alias("max_seq"),
+            F.count_if(left).alias("members"),
+            F.min(F.when(left, F.col("seq_id"))).alias("min_seq"),
+            F.max(F.when(left, F.col("seq_id"))).alias("max_seq"),
             F.max("last_ts").alias("last_add"),
         )
+        .filter("members > 0")
         .withColumn(
             "ttl_left",
             F.lit(ttl_seconds) - F.timestamp_diff("SECOND", F.col("last_add"), as_of),

@@ -197,10 +197,10 @@ ORACLES = {
     "buffer_snapshot": q(
         EVENTS,
         WAITING,
-        """select plan_id, count(*) as members, min(seq_id) as min_seq, max(seq_id) as max_seq,
-           max(last_ts) as last_add,
-           3600 - date_sub('second', max(last_ts), timestamp '2024-02-01 00:00:00') as ttl_left
-           from still group by plan_id""",
+        """select plan_id, count(*) as members, min(still.seq_id) as min_seq, max(still.seq_id) as max_seq,
+           any_value(added) as last_add,
+           3600 - date_sub('second', any_value(added), timestamp '2024-02-01 00:00:00') as ttl_left
+           from still join (select plan_id, max(last_ts) as added from wait group by all) using (plan_id) group by plan_id""",
     ),
     "seq_counters": q(
         EVENTS,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seqloom.functions import vocabulary as v
 from seqloom.operators import lifetimes, skew
 from seqloom.operators.replay import Lifetimes
 from seqloom.plans import ordering, sequencing, wiring
 from seqloom.sources import messages, tables, wire
-from seqloom.streaming import ledger, sinks
+from seqloom.streaming import gate, inspect, ledger, sinks
 
 
 def _forever(spark, sf):
@@ -79,14 +80,34 @@ def stream_abort_expiry(spark, sf):
     return lifetimes.resumed(_clocked(spark, sf))
 
 
+def _checkpoint(spark, sf):
+    """The click-stream log run to its end; where its state lies."""
+    folder = sinks.scratch(spark)
+    with sinks.rocksdb(spark):
+        out = gate.gate_stream(tables.log_events(spark, sf, stream=True), Lifetimes())
+        sinks.write_batches(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/checkpoint"
+
+
+def state_buffer_snapshot(spark, sf):
+    as_of = F.lit(sequencing.AS_OF).cast("timestamp_ntz")
+    return inspect.buffer_snapshot(spark, _checkpoint(spark, sf), as_of, v.BUFFER_TTL_SECONDS)
+
+
+def state_seq_counters(spark, sf):
+    return inspect.seq_counters(spark, _checkpoint(spark, sf))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (src_event_log, stream_gate, sink_orders, sink_outbox, stream_dead_letters, stream_buffer_timeout, stream_abort_expiry)
+    for f in (src_event_log, stream_gate, sink_orders, sink_outbox, stream_dead_letters, stream_buffer_timeout, stream_abort_expiry, state_buffer_snapshot, state_seq_counters)
 }
 ORACLES = {
     "stream_gate": sequencing.ORACLES["seq_gate"],
     "sink_orders": ordering.ORACLES["order_state_events"],
     "sink_outbox": ordering.ORACLES["outbox_rows"],
+    "state_buffer_snapshot": sequencing.ORACLES["buffer_snapshot"],
+    "state_seq_counters": sequencing.ORACLES["seq_counters"],
     "stream_buffer_timeout": sequencing.ORACLES["buffer_timeout"],
     "stream_abort_expiry": sequencing.ORACLES["abort_expiry"],
     "stream_dead_letters": f"""with letters as ({wiring.ORACLES["sink_dlq"]}), unread as ({wiring.ORACLES["sink_dlq_raw"]})
