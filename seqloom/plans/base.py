@@ -218,20 +218,5 @@ pe as (
 
 PLAN_LIMIT = 400_000
 PLANNED = planned(PLAN_LIMIT) + ",\nev as (select *, event_id as payload from pe)"
-VALID_LATE = (
-    planned(PLAN_LIMIT)
-    + """,
-ev as (select * exclude (pos), event_id as payload, case when seq_id = 2 then pos + 1000 else pos end as pos
-       from pe where seq_id is not null)"""
-)
-VALID_ABORTED = (
-    planned(PLAN_LIMIT)
-    + """,
-ev as (select * exclude (pos), event_id as payload, pos * 2 as pos from pe where seq_id is not null
-       union all by name
-       select plan_id, order_id, null as seq_id, md5(event_id) as event_id, 'ABORT_PLAN' as event_type, ts,
-         md5(event_id) as payload, null as user_id, null as total_amount, pos * 2 + 1 as pos
-       from pe where seq_id = 1)"""
-)
 EVENTS_TWICE = EVENTS.replace("ev as (", "once as (", 1) + """,
 ev as (select * from once union all select * replace (pos + 1000000000000 as pos) from once)"""

@@ -24,12 +24,6 @@ def planned_log(spark, sf):
     return skew.stage(planner.as_log(planner.plan_route(validated(spark, sf))))
 
 
-def valid_log(spark, sf):
-    """Only orders that pass the rules: complete plans of five events."""
-    valid = validated(spark, sf).filter(F.col("abort_reason").isNull())
-    return skew.stage(planner.as_log(planner.plan_events(valid)))
-
-
 def src_orders_json(spark, sf):
     return requests(spark, sf).select(
         "request_key", "order_id", "user_id", F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), "currency"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import vocabulary as v
 from seqloom.operators import faults, pipeline, reports, sequence
 from seqloom.plans import planning
-from seqloom.plans.base import EVENTS, GATE, LINEITEM, PLANNED, STORE, VALID_ABORTED, VALID_LATE, WAITING, q
+from seqloom.plans.base import EVENTS, GATE, LINEITEM, PLANNED, STORE, WAITING, q
 from seqloom.sources import tables
 
 
@@ -15,10 +15,6 @@ def _planned(spark, sf):
     return pipeline.process_log(planning.planned_log(spark, sf))
 
 
-def _late(spark, sf):
-    return pipeline.process_log(faults.late_step(planning.valid_log(spark, sf)))
-
-
 def _audit(spark, sf):
     return reports.audit_events(sequence.seq_gate(tables.log_events(spark, sf)))
 
@@ -66,12 +62,13 @@ def partial_progress(spark, sf):
 
 
 def gap_scenario_check(spark, sf):
-    return reports.gap_scenario_check(_late(spark, sf).orders)
+    """All order rows of the order lines: late steps, gaps and refusals are the table's own."""
+    return reports.gap_scenario_check(pipeline.process_log(tables.log_lineitem(spark, sf)).orders)
 
 
 def zombie_check(spark, sf):
-    log = faults.abort_after(planning.valid_log(spark, sf))
-    return reports.zombie_check(pipeline.process_log(log).orders)
+    """All order rows of the click stream, which the table's own errors abort, or do not."""
+    return reports.zombie_check(pipeline.process_log(tables.log_events(spark, sf)).orders)
 
 
 def recent_orders(spark, sf):
@@ -175,13 +172,13 @@ ORACLES = {
         "select count(*) as total, count(*) filter (last_seq_processed >= 2) as progressed from ord",
     ),
     "gap_scenario_check": q(
-        VALID_LATE,
+        LINEITEM,
         STORE,
         """select count(*) as total, count(*) filter (status = 'completed' and last_seq_processed = 5) as completed,
            count(*) = count(*) filter (status = 'completed' and last_seq_processed = 5) as passed from ord""",
     ),
     "zombie_check": q(
-        VALID_ABORTED,
+        EVENTS,
         STORE,
         """select count(*) as total, count(*) filter (status = 'aborted') as aborted,
            count(*) = count(*) filter (status = 'aborted') as passed from ord""",

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from seqloom.functions import vocabulary as v
 from seqloom.operators import lifetimes, skew
 from seqloom.operators.replay import Lifetimes
-from seqloom.plans import ordering, sequencing, wiring
+from seqloom.plans import ordering, reporting, sequencing, wiring
 from seqloom.sources import messages, tables, wire
-from seqloom.streaming import gate, inspect, ledger, sinks
+from seqloom.streaming import gate, inspect, ledger, rates, sinks
 
 
 def _forever(spark, sf):
@@ -80,6 +80,14 @@ def stream_abort_expiry(spark, sf):
     return lifetimes.resumed(_clocked(spark, sf))
 
 
+def stream_verdict_rate(spark, sf):
+    """Verdicts per minute of a log in several micro-batches, each amending the counts of those before."""
+    log = _in_slices(tables.log_events(spark, sf), "log")
+    with sinks.rocksdb(spark):
+        written = sinks.run_to_end(rates.verdict_counts(gate.gate_stream(log, Lifetimes())).withColumn("kind", F.lit("count")))
+    return rates.per_minute(written)
+
+
 def _checkpoint(spark, sf):
     """The click-stream log run to its end; where its state lies."""
     folder = sinks.scratch(spark)
@@ -100,12 +108,13 @@ def state_seq_counters(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (src_event_log, stream_gate, sink_orders, sink_outbox, stream_dead_letters, stream_buffer_timeout, stream_abort_expiry, state_buffer_snapshot, state_seq_counters)
+    for f in (src_event_log, stream_gate, sink_orders, sink_outbox, stream_dead_letters, stream_buffer_timeout, stream_abort_expiry, stream_verdict_rate, state_buffer_snapshot, state_seq_counters)
 }
 ORACLES = {
     "stream_gate": sequencing.ORACLES["seq_gate"],
     "sink_orders": ordering.ORACLES["order_state_events"],
     "sink_outbox": ordering.ORACLES["outbox_rows"],
+    "stream_verdict_rate": reporting.ORACLES["verdicts_per_minute"],
     "state_buffer_snapshot": sequencing.ORACLES["buffer_snapshot"],
     "state_seq_counters": sequencing.ORACLES["seq_counters"],
     "stream_buffer_timeout": sequencing.ORACLES["buffer_timeout"],
