@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small_batches, staged
+from seqloom.llm.common import bind, small_batches, staged
 from seqloom.llm.linking import linked
 from seqloom.llm.shingles import mix
+from seqloom.operators.skew import spread_lookup
 
 COSINE = 0.98
 TABLES = 10
@@ -143,10 +144,14 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     """Per row of embeddings: vec_id, n_links, component_id, kept."""
     small_batches(embeddings.sparkSession, 4 << 20)
     v = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    # In units of the largest component, so that no square overflows or vanishes.
+    largest = F.array_max(F.transform(v, F.abs))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = embeddings.select("vec_id", "label", "embedding", norm.alias("norm"), finite.alias("finite"))
-    valid = F.col("label").isNotNull() & F.coalesce(F.col("finite"), F.lit(False)) & (F.coalesce(F.col("norm"), F.lit(0.0)) > 0)
+    rows = embeddings.select("vec_id", "label", "embedding", largest.alias("largest"), finite.alias("finite"))
+    valid = F.col("label").isNotNull() & F.coalesce(F.col("finite"), F.lit(False)) & (F.coalesce(F.col("largest"), F.lit(0.0)) > 0)
+    scaled = F.transform(v, lambda x: x / F.col("largest"))
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
+    unit = bind(scaled, lambda w: bind(norm(w), lambda n: F.transform(w, lambda x: x / n)))
     name = F.unhex(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.concat_ws(",", v.cast("array<string>")))))
     rows = staged(rows.withColumn("node", F.when(valid, name)), "vectors")
     classes = (
@@ -156,7 +161,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
             F.min("vec_id").alias("first_id"),
             F.count("*").alias("times"),
             F.first(F.xxhash64(F.col("label").cast("string"))).alias("label_hash"),
-            F.first(F.transform(v, lambda x: x / F.col("norm"))).alias("unit"),
+            F.first(unit).alias("unit"),
         )
         .withColumn("size", F.size("unit"))
     )
@@ -168,8 +173,10 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     roots = linked(staged(members, "members"), cosine_links, BLOCK, pack=4000)
 
     grouped = staged(roots.join(classes, "node").select("root", "node", "first_id", "times", "unit"), "grouped")
-    width = grouped.groupBy("root").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("blocks"), F.min("first_id").alias("component_id"))
-    placed = grouped.join(width, "root").withColumn("at", F.pmod(F.xxhash64("node", "root"), F.col("blocks")).cast("int"))
+    width = grouped.groupBy("root").agg(
+        F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("blocks"), F.min("first_id").alias("component_id"), F.count("*").alias("held")
+    )
+    placed = spread_lookup(grouped, staged(width, "width"), ["root"], "held", "node").withColumn("at", F.pmod(F.xxhash64("node", "root"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = placed.withColumn("other", F.explode(others)).select(
         "root", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "times", "unit"

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from seqloom.llm import html, langid, linking, minhash, quality
+from seqloom.llm import html, langid, lattice, linking, minhash, quality
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, _place int, _measures int, _language string, row string"
@@ -76,3 +76,11 @@ def test_components(spark, monkeypatch):
         got = {int.from_bytes(r.node): int.from_bytes(r.root) for r in linking.components(edges).collect()}
         assert got == want
     assert linking.components(edges.limit(0)).count() == 0
+
+
+def test_vectors_of_any_length(spark, hot):
+    """Squares that overflow or vanish; a component that is looked up through copies."""
+    rows = [[1e200, 1e200], [1e200, 1.0001e200], [1e-200, 0.0], [2e-200, 0.0], [5e-324, 0.0], [0.0, 0.0], [1.0, 1.0], [-1.0, 0.0], [1e308, -1e308]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 6: (2, 0), 2: (2, 2), 3: (2, 2), 4: (2, 2), 5: (0, 5), 7: (0, 7), 8: (0, 8)}
