@@ -96,8 +96,17 @@ def plan_abort_event(spark, sf):
 
 
 def envelope_json(spark, sf):
+    """What a reader finds in the message texts: a tombstone has no step number at all."""
     events = planner.plan_route(validated(spark, sf))
-    return events.select("event_id", planner.envelope_json(events).alias("value"))
+    texts = events.select(planner.envelope_json(events).alias("value"))
+    found = lambda path: F.get_json_object("value", f"$.{path}")
+    fields = ["event_id", "event_type", "plan_id", "order_id", "timestamp", "schema_version"]
+    return texts.select(
+        *[found(f).alias(f) for f in fields],
+        F.coalesce(found("seq_id").cast("int"), F.lit(0)).alias("seq_id"),
+        F.contains("value", F.lit('"seq_id":')).alias("has_seq"),
+        found("data.user_id").alias("user_id"),
+    )
 
 
 def make_ids(spark, sf):
@@ -171,6 +180,9 @@ ORACLES = {
         case when s = 4 then {_ISO.format("created + interval 5 day")} end as estimated_delivery,
         case when s = 5 then 'delivered' end as final_status
         from val join steps on abort_reason is null and request_error is null""",
+    "envelope_json": _WITH
+    + f"""select event_id, event_type, plan_id, order_id, {_ISO.format("ts")} as "timestamp", '1.0' as schema_version,
+        coalesce(seq_id, 0) as seq_id, event_type <> 'ABORT_PLAN' as has_seq, user_id from pe""",
     "plan_abort_event": _WITH
     + f"""select {uuid_sql("md5(concat_ws('|', 'event', plan_id, 0))")} as event_id, plan_id, order_id,
         'Validacao do plano falhou: ' || abort_reason as reason,

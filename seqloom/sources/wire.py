@@ -157,8 +157,13 @@ def message_text() -> Column:
 
 
 def position() -> Column:
-    """One number for (offset, partition): order within a partition is kept, and no two records share it."""
-    return F.col("offset") * MAX_PARTITIONS + F.col("partition")
+    """One number for (offset, partition): order within a partition is kept, and no two records share it.
+
+    A topic with more than MAX_PARTITIONS partitions is refused, as its positions would collide.
+    """
+    beyond = F.raise_error(F.format_string("partition %d is beyond the limit of %d", "partition", F.lit(MAX_PARTITIONS)))
+    part = F.when(F.col("partition") < MAX_PARTITIONS, F.col("partition")).otherwise(beyond.cast("int"))
+    return F.col("offset") * MAX_PARTITIONS + part
 
 
 def typed_rows(parsed: DataFrame) -> DataFrame:

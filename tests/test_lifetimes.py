@@ -92,3 +92,10 @@ def test_one_message_and_nothing_else(spark):
     assert [got[i] for i in range(len(texts))] == [True] * 3 + [False] * (len(texts) - 3)
     whole = raw.select("offset", wire.whole_json(F.col("value")).isNotNull().alias("ok")).collect()
     assert [r.ok for r in sorted(whole)] == [True] * 3 + [False] * (len(texts) - 3)
+
+
+def test_partitions_beyond_the_limit_are_refused(spark):
+    rows = spark.createDataFrame([(wire.MAX_PARTITIONS - 1, 7), (3, 7)], "partition int, offset bigint")
+    assert rows.select(wire.position().alias("p")).distinct().count() == 2
+    with pytest.raises(Exception, match="beyond the limit"):
+        spark.createDataFrame([(wire.MAX_PARTITIONS, 7)], "partition int, offset bigint").select(wire.position()).collect()
