@@ -129,6 +129,47 @@ def audit_events(gated: DataFrame) -> DataFrame:
     )
 
 
+def record_spans(received: DataFrame, gated: DataFrame) -> DataFrame:
+    """The spans of every received record, readable or not: one for the record, and one for each event that its arrival
+    drained from the waiting room, as its child.
+
+    ``received`` has pos, ts, the ids of the sender's span (``trace_id``, ``parent_id``), ``reject`` (the error code of
+    what never gets to the gate), event_type and plan_id; ``gated`` is the gated log of the rest. Positions are unique, so
+    no join here meets a key twice.
+    """
+    own = lambda kind, pos: F.substring(F.md5(F.concat_ws("|", F.lit(kind), F.col(pos).cast("string"))), 1, 16)
+    verdicts = gated.select("pos", "verdict")
+    tombstone = F.col("event_type") == v.ABORT
+    records = received.join(verdicts, "pos", "left").select(
+        F.lit("process-event").alias("operation"),
+        "pos",
+        "ts",
+        "trace_id",
+        own("record", "pos").alias("span_id"),
+        "parent_id",
+        "event_type",
+        "plan_id",
+        F.coalesce("reject", "verdict").alias("result"),
+        F.when(F.col("reject").isNotNull() | tombstone, F.lit("error")).otherwise("ok").alias("status"),
+    )
+    drained = gated.filter("applied AND pos <> applied_pos").select(
+        F.col("pos").alias("_member"), F.col("event_type").alias("_type"), F.col("plan_id").alias("_plan"), "persist_error", F.col("applied_pos").alias("pos")
+    )
+    children = drained.join(received.select("pos", "ts", "trace_id"), "pos").select(
+        F.lit("drain-event").alias("operation"),
+        F.col("_member").alias("pos"),
+        "ts",
+        "trace_id",
+        own("drain", "_member").alias("span_id"),
+        own("record", "pos").alias("parent_id"),
+        F.col("_type").alias("event_type"),
+        F.col("_plan").alias("plan_id"),
+        F.lit(None).cast("string").alias("result"),
+        F.when(F.col("persist_error").isNotNull(), F.lit("error")).otherwise("ok").alias("status"),
+    )
+    return records.unionByName(children)
+
+
 def trace_search(
     audit: DataFrame, service: str, operation: str | None = None, n: int = 20, **tags: str
 ) -> DataFrame:

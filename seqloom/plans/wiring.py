@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as s
-from seqloom.operators import contracts, orders, pipeline, planner, skew
+from seqloom.functions import vocabulary as v
+from seqloom.operators import contracts, orders, pipeline, planner, reports, skew
 from seqloom.plans import planning
 from seqloom.plans.base import REPLAY, STATUS_SQL, uuid_sql
 from seqloom.sources import messages, tables, wire
@@ -143,6 +144,21 @@ def sink_event_log(spark, sf):
     return wire.to_records(events, planner.envelope_json(events))
 
 
+def record_spans(spark, sf):
+    """Every message of the raw log, the unreadable and stepless ones too, with what its arrival drained."""
+    raw = messages.raw_events(spark, sf)
+    header = wire.header_map(F.col("headers"))["traceparent"]
+    ids = {"trace_id": s.trace_id_of(header), "parent_id": s.span_id_of(header)}
+    parsed = wire.parse_envelope(raw.withColumns(ids))
+    typed = skew.stage(wire.typed_rows(parsed, "trace_id", "parent_id"))
+    missing = F.col("seq_id").isNull() & (F.col("event_type") != v.ABORT)
+    reject = F.when(~F.col("parse_ok"), F.lit(v.PARSE_ERROR)).when(missing, F.lit(v.MISSING_SEQ_ID))
+    gated = pipeline.process_log(wire.log_of(typed)).gated
+    spans = reports.record_spans(typed.withColumn("reject", reject), gated)
+    named = {c: F.coalesce(c, F.lit("-")) for c in ("event_type", "plan_id", "result")}
+    return spans.withColumns(named)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -162,6 +178,7 @@ QUERIES = {
         sink_dlq_raw,
         dead_letter_messages,
         sink_event_log,
+        record_spans,
     )
 }
 
@@ -341,6 +358,21 @@ bad as (select pos, order_id as key, 'MISSING_SEQ_ID' as error_code, 'missing se
 select * from bad"""
 
 ORACLES = {
+    "record_spans": f"""with recursive {_RAW},\n{_REPLAY},
+        rec as (select parsed.pos, parsed.ts, md5(parsed.owner) as trace_id, substr(md5(parsed.event_uuid), 1, 16) as parent_id,
+          substr(md5('record|' || parsed.pos), 1, 16) as span_id, parsed.parse_ok, msg.event_type, msg.plan_id, msg.seq_id
+          from parsed left join msg on msg.pos = parsed.pos),
+        known as (select rec.*, case when not parse_ok then 'PARSE_ERROR'
+            when seq_id is null and event_type <> 'ABORT_PLAN' then 'MISSING_SEQ_ID' end as reject, run.verdict
+          from rec left join run on run.pos = rec.pos)
+        select 'process-event' as operation, pos, ts, trace_id, span_id, parent_id, coalesce(event_type, '-') as event_type,
+          coalesce(plan_id, '-') as plan_id, coalesce(reject, verdict, '-') as result,
+          case when reject is not null or event_type = 'ABORT_PLAN' then 'error' else 'ok' end as status from known
+        union all
+        select 'drain-event', pos, at_ts, trace_id, substr(md5('drain|' || pos), 1, 16), moved_by, event_type, plan_id, '-',
+          case when ({_ERROR}) is not null then 'error' else 'ok' end
+        from (select e.*, a.applied_pos from applied a join ev e on e.plan_id = a.plan_id and e.pos = a.taken where a.taken <> a.applied_pos) d
+        join (select pos as at_pos, ts as at_ts, trace_id, span_id as moved_by from known) k on k.at_pos = d.applied_pos""",
     "src_headers": _W
     + """select pos, '00-' || md5(owner) || '-' || substr(md5(event_uuid), 1, 16) || '-01' as traceparent
         from raw""",

@@ -166,7 +166,7 @@ def position() -> Column:
     return F.col("offset") * MAX_PARTITIONS + part
 
 
-def typed_rows(parsed: DataFrame) -> DataFrame:
+def typed_rows(parsed: DataFrame, *more: str) -> DataFrame:
     """The log columns of every message, with ``parse_ok`` and the raw text of
     those that cannot be read. Positions are unique over all partitions: offset,
     then partition."""
@@ -182,6 +182,7 @@ def typed_rows(parsed: DataFrame) -> DataFrame:
         position().alias("pos"),
         F.when(F.col("parse_ok"), message_text()).alias("payload"),
         *[c.alias(name) for name, c in payload_fields(F.col("data")).items()],
+        *more,
     )
 
 
