@@ -32,7 +32,8 @@ from seqloom.operators.skew import spread_lookup
 LONGEST = 5
 MIN = 100
 TOP = 2000
-CODES = 1 << 19
+RANK_BITS = 19
+CODES = (1 << RANK_BITS) - 1
 FILTER_BITS = 1 << 24
 HOT = 256
 SALTS = 32
@@ -109,6 +110,25 @@ def windows(lists: DataFrame, coder: Coder, seed: int) -> DataFrame:
     return rows.where("w2 is not null")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(head, tail, wide) of each window: two numbers where all its words are ranks, which is most of a shuffle's bytes;
+    the codes as they are (`wide`) elsewhere. Equal first words have equal heads."""
+    small = lambda w: F.coalesce(F.col(w).between(1, (1 << RANK_BITS) - 1), F.lit(True))
+    place = lambda w, k: F.call_function("shiftleft", F.coalesce(w, F.lit(0).cast("long")), F.lit(k * RANK_BITS))
+    first = small("w1") & small("w2")
+    head = F.when(first, place("w1", 1) + F.col("w2")).otherwise(F.xxhash64("w1", "w2").bitwiseOR(F.lit(_SIGN)))
+    fits = first & small("w3") & small("w4") & small("w5")
+    tail = F.when(fits, place("w3", 2) + place("w4", 1) + place("w5", 0)).otherwise(F.lit(0).cast("long"))
+    return rows.select(head.alias("head"), tail.alias("tail"), F.when(~fits, F.array(*W)).alias("wide"), *[c for c in rows.columns if c not in W])
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    part = lambda c, k: F.nullif(F.shiftright(c, k * RANK_BITS).bitwiseAND(F.lit((1 << RANK_BITS) - 1).cast("long")), F.lit(0).cast("long"))
+    packed = [part("head", 1), part("head", 0), part("tail", 2), part("tail", 1), part("tail", 0)]
+    codes = [F.when(F.col("wide").isNull(), c).otherwise(F.get("wide", k)).alias(W[k]) for k, c in enumerate(packed)]
+    return rows.select(*[c for c in rows.columns if c not in ("tail", "wide")], *codes)
+
+
 def grams(rows: DataFrame, hot: int, least: int = MIN) -> DataFrame:
     """(key, f) of all phrases of two words and more that occur `least` times or more; key is the array of their codes.
 
@@ -116,10 +136,10 @@ def grams(rows: DataFrame, hot: int, least: int = MIN) -> DataFrame:
     """
     is_hot = F.col("w1").between(1, hot) & F.col("w2").between(1, hot)
     salt = F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(SALTS)) + 1).otherwise(F.lit(0))
-    dealt = rows.withColumn("salt", salt).repartition("salt", "w1", "w2")
-    counted = dealt.groupBy("salt", *W).agg(F.count("*").alias("n"))
+    dealt = _unpacked(_packed(rows.withColumn("salt", salt)).repartition("salt", "head"))
+    counted = dealt.groupBy("salt", "head", *W).agg(F.count("*").alias("n"))
     for k in range(LONGEST - 1, 1, -1):
-        counted = counted.withColumn(f"c{k}", F.sum("n").over(Window.partitionBy("salt", *W[:k])))
+        counted = counted.withColumn(f"c{k}", F.sum("n").over(Window.partitionBy("salt", "head", *W[:k])))
     kept = counted.where((F.col("salt") > 0) | (F.col("c2") >= least))
     for k in range(3, LONGEST + 1):
         times = F.col(f"c{k}" if k < LONGEST else "n")

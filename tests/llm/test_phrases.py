@@ -76,6 +76,24 @@ def test_hashes_that_meet(spark, monkeypatch):
     assert got == expected(rows, 3, 2000)
 
 
+def test_packing(spark):
+    """Ranks and hashes in all places come back as they were; equal first words have equal heads."""
+    rng = np.random.default_rng(3)
+    top = (1 << phrases.RANK_BITS) - 1
+    rows = []
+    for _ in range(400):
+        n = rng.integers(2, 6)
+        w = [int(rng.choice([1, 2, top, top - 1, -5, -(1 << 63), -(1 << 40)], p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05])) for _ in range(n)]
+        rows.append((*w, *[None] * (5 - n), 0))
+    df = spark.createDataFrame(rows, "w1 long, w2 long, w3 long, w4 long, w5 long, salt int")
+    packed = phrases._packed(df).cache()
+    assert packed.where("wide is null").count() > 50
+    back = phrases._unpacked(packed)
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in back.select(*df.columns).collect()), key=key) == sorted(rows, key=key)
+    assert back.select("w1", "w2").distinct().count() == back.select("w1", "w2", "head").distinct().count()
+
+
 def test_scores_are_exact(spark):
     big = 4_000_000_000_000_000_007
     row = spark.createDataFrame([(big, big, 3, 7)], "a long, n long, l1 long, r1 long")
