@@ -63,8 +63,11 @@ class PlanInMemory:
             del self._waiting[seq]
         return first
 
+    def members(self) -> list:
+        return [a for _, group in sorted(self._waiting.items()) for _, a in sorted(group.items())]
+
     def empty_out(self) -> list:
-        members = [a for _, group in sorted(self._waiting.items()) for _, a in sorted(group.items())]
+        members = self.members()
         self._waiting = {}
         return members
 

@@ -22,18 +22,20 @@ def variable(spark: SparkSession, checkpoint: str, name: str, operator: int = 0,
 
 
 def waiting(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
-    """plan_id, seq_id, payload, pos, ts of everything that waits: the head of each step and the twins behind it."""
-    held = []
+    """plan_id, seq_id, payload, pos, ts of everything that waits: in the plan's value, or the head of each step and the
+    twins behind it."""
+    inside = variable(spark, checkpoint, "plan", batch=batch)
+    held = [inside.select("user_map_key.plan_id", F.explode("user_map_value.room").alias("_r")).select("plan_id", "_r.*")]
     for name in ("heads", "twins"):
-        rows = variable(spark, checkpoint, name, batch=batch).select(F.col("key.gate_key").alias("plan_id"), "user_map_value.*")
-        held.append(rows.select("plan_id", "seq_id", "payload", "pos", "ts", "event_id", "order_id"))
-    return held[0].unionByName(held[1])
+        held.append(variable(spark, checkpoint, name, batch=batch).select("user_map_key.plan_id", "user_map_value.*"))
+    kept = [rows.select("plan_id", "seq_id", "payload", "pos", "ts", "event_id", "order_id") for rows in held]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 def plans(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
     """plan_id, counter, abort_until, last_add (microseconds) of every plan the stream has seen."""
     rows = variable(spark, checkpoint, "plan", batch=batch)
-    return rows.select(F.col("key.gate_key").alias("plan_id"), "value.counter", "value.abort_until", "value.last_add")
+    return rows.select("user_map_key.plan_id", *[f"user_map_value.{name}" for name in ("counter", "abort_until", "last_add")])
 
 
 def seq_counters(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:

@@ -71,20 +71,25 @@ class OrderRow:
 
 
 class OrderFold(StatefulProcessor):
-    """Folds a batch's applied events and tombstones into each order's row; other rows pass through."""
+    """Folds a batch's applied events and tombstones into each order's row; other rows pass through.
+
+    As in the gate, a key is a bucket of orders, and an order an entry of its state.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("order", STATE)
+        self._orders = handle.getMapState("order", "order_id string", STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        taken = []
+        orders = {}
         for row in rows:
             yield _OUT(*[row[f] for f in _FIELDS])
             if row["kind"] in ("applied", "abort") and row["persist_error"] is None:
-                taken.append(row)
-        if not taken:
-            return
-        order, changed = OrderRow(self._state.get()), False
+                orders.setdefault(row["order_id"] or "", []).append(row)
+        for order_id, taken in orders.items():
+            yield from self._fold(order_id, taken)
+
+    def _fold(self, order_id: str, taken: list):
+        order, changed = OrderRow(gate.entry(self._orders, (order_id,))), False
         # Applied events in the order of application, tombstones at their own place.
         for row in sorted(taken, key=lambda r: (r["pos"], 0) if r["kind"] == "abort" else (r["applied_pos"], r["seq_id"])):
             if row["kind"] == "abort":
@@ -98,9 +103,9 @@ class OrderFold(StatefulProcessor):
                 kept = {f: row[f] for f in _FIELDS}
                 yield _OUT(*(kept | {"kind": "outbox", "created_at": at}).values())
         if changed:
-            self._state.update(order.values())
+            self._orders.updateValue((order_id,), order.values())
             kept = dict.fromkeys(_FIELDS) | {
-                "kind": "order", "order_id": key[0], "status": order.status, "user_id": order.user, "amount": order.amount,
+                "kind": "order", "order_id": order_id, "status": order.status, "user_id": order.user, "amount": order.amount,
                 "plan_id": order.plan, "last_seq": order.last, "created_at": order.created, "updated_at": order.updated,
             }
             yield _OUT(*kept.values())
@@ -114,7 +119,10 @@ def _folded(gated: DataFrame) -> DataFrame:
         {"status": s.status_of_event(F.col("event_type")), "amount": s.money(F.col("total_amount"))}
         | {f: c.cast(kinds[f]) for f, c in none.items()}
     )
-    rows = rows.select(*_FIELDS).withColumn("order_key", F.coalesce("order_id", F.lit("")))
+    # Rows that only pass through are dealt out by their positions.
+    taken = F.col("kind").isin("applied", "abort") & F.col("persist_error").isNull()
+    key = F.when(taken, F.coalesce("order_id", F.lit(""))).otherwise(F.col("pos").cast("string"))
+    rows = rows.select(*_FIELDS).withColumn("order_key", gate.bucket_of(key))
     return rows.groupBy("order_key").transformWithState(
         statefulProcessor=OrderFold(), outputStructType=ROW, outputMode="Append", timeMode="None"
     )

@@ -15,6 +15,8 @@ from seqloom.streaming import gate
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Without a count of all keys, which costs a read per write.
+STORE = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 
 
 def write_batches(out: DataFrame, path: str, checkpoint: str, once: bool = True):
@@ -41,15 +43,17 @@ def scratch(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession):
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def run_to_end(out: DataFrame) -> DataFrame:
