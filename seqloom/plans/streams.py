@@ -12,6 +12,10 @@ from seqloom.sources import messages, tables, wire
 from seqloom.streaming import gate, inspect, ledger, rates, sinks
 
 
+# Rows of a file that a slice of a table is written in.
+FILE_ROWS = 100_000
+
+
 def _forever(spark, sf):
     return sinks.run_gate(tables.log_events(spark, sf, stream=True), Lifetimes())
 
@@ -32,17 +36,20 @@ def src_event_log(spark, sf):
 
 
 def _in_slices(df, name, parts=3):
-    """A table as a stream of several micro-batches: slices by position, one file a trigger."""
+    """A table as a stream of several micro-batches: slices by position, equally many files each, those of one a trigger."""
     folder = sinks.scratch(df.sparkSession)
     df = skew.stage(df)
     cuts = df.approxQuantile("pos", [i / parts for i in range(1, parts)], 0.01)
     at = F.lit(0)
     for c in cuts:
         at = at + F.when(F.col("pos") > c, 1).otherwise(0)
+    counts = {r["at"]: r["count"] for r in df.groupBy(at.alias("at")).count().collect()}  # a row per slice
+    # Rows are dealt out in turn, and of so few files to so many rows none stays empty.
+    files = max(1, min(counts.get(i, 0) for i in range(parts)) // FILE_ROWS)
     for i in range(parts):
-        df.filter(at == i).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
-    files = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
-    return files.parquet(f"{folder}/{name}")
+        df.filter(at == i).repartition(files).write.mode("append").parquet(f"{folder}/{name}")
+    stream = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files)
+    return stream.parquet(f"{folder}/{name}")
 
 
 def _ledger(spark, sf):
