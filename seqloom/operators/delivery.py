@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -410,7 +411,7 @@ def breaker_replay(
     the failure threshold is looked up anew at every failure; a breaker is made anew
     before the first attempt that finds another success threshold or open duration.
 
-    An ordinary endpoint is one bounded group. A hot endpoint is cut into time ranges.
+    An ordinary endpoint is one sorted stream. A hot endpoint is cut into time ranges.
     All ranges are summed up at the same time for every state a breaker may come in
     with, one small fold per endpoint hands the states on, and all ranges are replayed
     at the same time: a fixed number of jobs, and the sequential result.
@@ -426,21 +427,36 @@ def breaker_replay(
     added = [T.StructField("called", T.BooleanType()), T.StructField("breaker_state", T.StringType())]
     kept = [*attempts.columns, "breaker_failure", "outcome", "called", "breaker_state"]
 
-    def replayed(state: State, pdf: pd.DataFrame) -> pd.DataFrame:
-        breaker, called, states = Breaker(*state), [], []
-        for now, failed, limit, needed, open_micros, fresh in pdf[_SEEN].itertuples(index=False, name=None):
-            if fresh:
-                breaker = Breaker()
-            called.append(breaker.call(int(now), bool(failed), int(limit), int(needed), int(open_micros)))
-            states.append(_NAMES[breaker.mode])
-        return pdf.assign(called=called, breaker_state=states)
+    def replayed(df: DataFrame, place: list[str]) -> DataFrame:
+        """Every place a sorted stream through one task, from the state in ``_mode, _count, _until`` on; a task holds one
+        Arrow batch, however many attempts an endpoint has."""
+        entry = ["_mode", "_count", "_until"]
+        names = [*attempts.columns, "breaker_failure", "outcome"]
+        schema = T.StructType([*df.select(*names).schema.fields, *added])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, breaker = None, None
+            for frame in frames:
+                called, states = [], []
+                keys, begun = frame[place].itertuples(index=False, name=None), frame[entry].itertuples(index=False, name=None)
+                for key, state, seen in zip(keys, begun, frame[_SEEN].itertuples(index=False, name=None), strict=True):
+                    now, failed, limit, needed, open_micros, fresh = seen
+                    if key != at:
+                        at, breaker = key, Breaker(*map(int, state))
+                    if fresh:
+                        breaker = Breaker()
+                    called.append(breaker.call(int(now), bool(failed), int(limit), int(needed), int(open_micros)))
+                    states.append(_NAMES[breaker.mode])
+                yield frame[names].assign(called=called, breaker_state=states)
+
+        rows = df.select(*dict.fromkeys([*names, *place, *order, *entry, *_SEEN]))
+        return rows.repartition(*place).sortWithinPartitions(*place, *order).mapInPandas(run, schema)
 
     def ordinary(df: DataFrame) -> DataFrame:
         before = Window.partitionBy(*ENDPOINT).orderBy(*order)
         df = df.withColumn("_fresh", F.coalesce(F.lag(shape).over(before) != shape, F.lit(False)))
-        schema = T.StructType([*df.schema.fields, *added])
-        whole = lambda pdf: replayed((CLOSED, 0, 0), pdf.sort_values(order, kind="stable"))
-        return df.groupBy(*ENDPOINT).applyInPandas(whole, schema).select(*kept)
+        closed = {name: F.lit(0).cast("bigint") for name in ("_mode", "_count", "_until")}
+        return replayed(df.withColumns(closed), ENDPOINT).select(*kept)
 
     def hot(df: DataFrame) -> DataFrame:
         chunk = [*ENDPOINT, "_chunk"]
@@ -463,14 +479,6 @@ def breaker_replay(
         sums = df.select(*chunk, "attempt_id", *_SEEN).groupBy(*chunk).applyInPandas(passage, f"{keys}, summary string")
         # One row per range of an endpoint.
         entries = skew.cut(sums.groupBy(*ENDPOINT).applyInPandas(chained, f"{keys}, _mode bigint, _count bigint, _until bigint"))
-        joined = df.join(entries, chunk)
-        schema = T.StructType([*joined.schema.fields, *added])
-
-        def part(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            first = pdf.iloc[0]
-            return replayed((int(first["_mode"]), int(first["_count"]), int(first["_until"])), pdf)
-
-        return joined.groupBy(*chunk).applyInPandas(part, schema).select(*kept)
+        return replayed(df.join(entries, chunk), chunk).select(*kept)
 
     return skew.both(rows, ENDPOINT, skew.hot_keys(attempts, ENDPOINT), ordinary, hot)

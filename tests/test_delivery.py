@@ -159,3 +159,22 @@ def test_attempts_find_their_row(spark):
             assert {r.attempt_id: r.outbox_id for r in delivery.matched_attempts(outbox, attempts).collect()} == want
         finally:
             spark.conf.unset("spark.seqloom.hotRows")
+
+
+def test_an_endpoint_is_replayed_as_a_stream(spark):
+    """An endpoint's breaker passes from one Arrow batch to the next; nothing is grouped whole."""
+    rows, _, attempts, _ = random_attempts(spark, 11)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        replayed = delivery.breaker_replay(attempts, open_seconds=60)
+        assert "FlatMapGroupsInPandas" not in replayed._jdf.queryExecution().toString()
+        got = {r.attempt_id: (r.called, r.breaker_state) for r in replayed.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, breakers = {}, {}
+    for endpoint, number, ts, code, lost in sorted(rows, key=lambda r: (r[2], r[1])):
+        b = breakers.setdefault(endpoint, Breaker())
+        failed = lost or code >= 500
+        called = b.call(int((ts - T0).total_seconds() * 1e6), failed, v.BREAKER_DEFAULTS["failure_threshold"], v.BREAKER_DEFAULTS["success_threshold"], 60_000_000)
+        want[number] = (called, delivery._NAMES[b.mode])
+    assert got == want
