@@ -26,6 +26,8 @@ HOT_ROWS = 1_000_000
 # Hot keys handled apart. A key outside this list has at most 1/HOT_KEYS of
 # all rows, whatever the data; the list itself is small enough to broadcast.
 HOT_KEYS = 100_000
+# Hashes that rows are counted by before keys are.
+HOT_BUCKETS = 65_536
 # Steps per bucket of a running aggregate; only buckets that hold steps exist.
 SEQ_BUCKET = 65_536
 # Parts a range is cut into at a time, and the most rounds of it (64**9 parts are more than rows can fill).
@@ -81,13 +83,23 @@ def stage(df: DataFrame) -> DataFrame:
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys with too many rows for one task, or None when there are none.
 
-    One pass over the key columns, counted map-side first. What comes back is
-    bounded whatever the data: at most HOT_KEYS keys.
+    A key is at most as frequent as its hash, so hashes are counted first: HOT_BUCKETS
+    of them, which the map side brings down to so many rows a task whatever the number
+    of keys. Only keys of hashes with too many rows are counted one by one. What comes
+    back is bounded whatever the data: at most HOT_BUCKETS hashes and HOT_KEYS keys.
     """
+    limit = hot_rows(df)
+    hashed = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(HOT_BUCKETS)).cast("int").alias("_bucket"))
+    counted = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    crowded = counted.filter(F.col("_rows") > limit).select("_bucket").collect()
+    if not crowded:
+        return None
+    crowded = F.broadcast(df.sparkSession.createDataFrame(crowded, "_bucket int"))
     found = (
-        df.groupBy(*keys)
+        hashed.join(crowded, "_bucket", "left_semi")
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows(df))
+        .filter(F.col("_rows") > limit)
         .orderBy(F.desc("_rows"), *keys)
         .limit(HOT_KEYS)
         .select(*keys)
