@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,21 +62,17 @@ ENVELOPE = (
 )
 
 
-def _kind(message: Column | str, field: str | Column) -> Column:
-    path = F.concat(F.lit("$."), field) if isinstance(field, Column) else f"$.{field}"
-    return s.variant_kind(F.try_variant_get(message, path, "variant"))
+def _kind(message: Column | str, field: str) -> Column:
+    return s.variant_kind(F.try_variant_get(message, f"$.{field}", "variant"))
 
 
 def _well_typed() -> Column:
     """Text fields are strings, the step number an integer, ``data`` an object,
     as far as they are there at all."""
     kinds = {f: "STRING" for f in TEXT_FIELDS} | {"seq_id": "BIGINT", "data": "OBJECT"}
-    fields = F.array(
-        *[F.struct(F.lit(f).alias("name"), F.lit(k).alias("kind")) for f, k in kinds.items()]
-    )
-    return F.forall(
-        fields, lambda f: F.coalesce(_kind("_m", f["name"]), F.lit("VOID")).isin("VOID", f["kind"])
-    )
+    # Paths are literals: Spark reads a path that is a column anew for every row.
+    fits = [F.coalesce(_kind("_m", f), F.lit("VOID")).isin("VOID", k) for f, k in kinds.items()]
+    return reduce(Column.__and__, fits)
 
 
 def last_key_wins(spark: SparkSession) -> None:
@@ -81,6 +80,11 @@ def last_key_wins(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def whole_json(text: Column) -> Column:
     """The text as a VARIANT if it is one JSON value and nothing else; null otherwise.
 
@@ -88,10 +92,13 @@ def whole_json(text: Column) -> Column:
     of its own digest: only if it is one value is the digest the second member, and
     no text can bring its own digest along.
     """
-    digest = F.sha2(text, 256)
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
-    second = F.try_variant_get(listed, "$[1]", "string")
-    return F.when(second == digest, F.try_variant_get(listed, "$[0]", "variant"))
+
+    def sealed(digest: Column) -> Column:
+        listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
+        whole = lambda m: F.try_variant_get(m, "$[1]", "string") == digest
+        return _once(listed, lambda m: F.when(whole(m), F.try_variant_get(m, "$[0]", "variant")))
+
+    return _once(F.sha2(text, 256), sealed)
 
 
 def parse_envelope(raw: DataFrame) -> DataFrame:
